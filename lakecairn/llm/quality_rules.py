@@ -20,7 +20,7 @@ MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words
 RULES: dict[str, str] = {
     "few_words": "n_words < 50",
     "repeated_words": "100 * n_repeat_words > 50 * n_words",
-    "many_symbols": "n_symbols > 2 * n_words",
+    "many_symbols": "10 * n_symbols > 3 * n_words",
     "shouting": "n_letters >= 50 and 10 * n_upper > 7 * n_letters",
     "odd_word_length": "n_words > 0 and (word_chars < 2 * n_words or word_chars > 25 * n_words)",
     "repeated_lines": "n_lines >= 4 and 10 * n_dup_lines > 7 * n_lines",
