@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .bpe import op2_byte_bpe
 from .decontaminate import op4_decontaminate
 from .licenses import op3_license_scan
+from .ppm import op1_ppm_score
 from .quality_model import op8_quality_classifier
 from .quality_rules import op9_quality_rules
 from .secrets import op10_secret_scan
@@ -18,7 +19,7 @@ from .toxicity import op5_toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_byte_bpe, op3_license_scan, op4_decontaminate, op5_toxicity, op6_feistel_shards, op7_simhash, op8_quality_classifier, op9_quality_rules, op10_secret_scan)}
+    return {f.__name__: f for f in (op1_ppm_score, op2_byte_bpe, op3_license_scan, op4_decontaminate, op5_toxicity, op6_feistel_shards, op7_simhash, op8_quality_classifier, op9_quality_rules, op10_secret_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
