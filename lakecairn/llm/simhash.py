@@ -55,8 +55,8 @@ def _printer() -> Callable[[list[bytes]], list[list]]:
     return lambda texts: [[fingerprint(t) for t in texts]]
 
 
-def fingerprints(rows: DataFrame, keep: tuple[str, ...]) -> DataFrame:
-    return C.map_texts(rows, _printer, [C.long("fp")], keep)
+def fingerprints(rows: DataFrame, keep: tuple[str, ...], name: str = "fp") -> DataFrame:
+    return C.map_texts(rows, _printer, [C.long(name)], keep)
 
 
 def anchors(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -185,7 +185,7 @@ def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text")
     """docs with one row of each component: that of the smallest id (null ids last), of equal ids any one. Columns stay."""
     names = docs.columns
     kept = docs.select(*[F.col(f"`{c}`") for c in names], *([F.col(f"`{text_col}`").alias("text")] if "text" not in names else []))
-    found = fingerprints(kept, tuple(names)).withColumnRenamed("fp", "__fp").withColumn("__row", F.monotonically_increasing_id())
+    found = fingerprints(kept, tuple(names), "__fp").withColumn("__row", F.monotonically_increasing_id())
     found = C.written(found, "prints")
     rows = found.select(F.coalesce(F.col(f"`{id_col}`").isNull(), F.lit(True)).cast("int").alias("none"), F.col(f"`{id_col}`").alias("id"), F.col("__row").alias("row"), F.col("__fp").alias("fp"))
     firsts = grouped(rows, "none", "id", "row").select(F.col("first.row").alias("__row")).distinct()
