@@ -1 +1 @@
-
+"""Change feeds into a versioned table."""
