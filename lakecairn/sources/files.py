@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from fnmatch import fnmatch
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,14 +12,35 @@ from ..functions import paths as P
 
 
 def directory(spark: SparkSession, root: str, pattern: str | None = None) -> DataFrame:
-    """path, size, mtime_ns, content of every file below root. A query without content reads none."""
+    """path, size, mtime_ns, content of every file below root. A query without content reads none.
+
+    Spark's scan leaves out files without bytes; those are listed apart, on the driver,
+    which keeps no more than their names.
+    """
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
     if pattern:
         reader = reader.option("pathGlobFilter", pattern)
     base = root.rstrip("/").removeprefix("file:")
     found = reader.load(root)
-    path = F.regexp_replace(F.regexp_replace("path", "^[a-z0-9]+:/+", "/"), "^" + "".join(f"\\Q{base}\\E"), "")
-    return found.select(P.normalise(path).alias("path"), F.col("length").alias("size"), (F.unix_micros("modificationTime") * 1000).alias("mtime_ns"), "content")
+    columns = [F.col("path"), F.col("length").alias("size"), (F.unix_micros("modificationTime") * 1000).alias("mtime_ns"), F.col("content")]
+    every = found.select(*columns)
+    if empty := _empty_files(spark, root, pattern):
+        rows = [(p, 0, t * 1_000_000, bytearray()) for p, t in empty]
+        every = every.unionByName(spark.createDataFrame(rows, "path string, size long, mtime_ns long, content binary"))
+    path = F.regexp_replace(F.regexp_replace("path", "^[a-z0-9]+:/+", "/"), f"^\\Q{base}\\E", "")
+    return every.select(P.normalise(path).alias("path"), "size", "mtime_ns", "content")
+
+
+def _empty_files(spark: SparkSession, root: str, pattern: str | None) -> list[tuple[str, int]]:
+    """(path, modification time in ms) of the files of no bytes."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    system = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    listed, out = system.listFiles(place, True), []
+    while listed.hasNext():
+        f = listed.next()
+        if not f.getLen() and (pattern is None or fnmatch(f.getPath().getName(), pattern)):
+            out.append((f.getPath().toString(), f.getModificationTime()))
+    return out
 
 
 def stream(spark: SparkSession, named: Iterable[tuple[str, bytes]]) -> DataFrame:

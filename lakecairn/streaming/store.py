@@ -10,6 +10,7 @@ from __future__ import annotations
 import json
 import time
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
@@ -17,13 +18,15 @@ from pyspark.sql.streaming import StreamingQuery
 from ..operators.changes import fold
 
 
-class Store:
-    def __init__(self, spark: SparkSession, root: str, key: str) -> None:
-        self.spark, self.root, self.key = spark, root.rstrip("/"), key
+class Versions:
+    """A list of versions under a root and the pointer to it."""
+
+    def __init__(self, spark: SparkSession, root: str) -> None:
+        self.spark, self.root = spark, root.rstrip("/")
         jvm = spark.sparkContext._jvm
         self._path = jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        self._bytes = jvm.org.apache.commons.io.IOUtils
+        self._text = jvm.org.apache.commons.io.IOUtils
 
     def history(self) -> list[dict]:
         """One entry for each commit, oldest first."""
@@ -32,7 +35,7 @@ class Store:
             return []
         stream = self._fs.open(path)
         try:
-            return json.loads(self._bytes.toString(stream, "UTF-8"))
+            return json.loads(self._text.toString(stream, "UTF-8"))
         finally:
             stream.close()
 
@@ -48,24 +51,39 @@ class Store:
         if not self._fs.rename(aside, current):
             raise OSError(f"{current} could not be replaced")
 
-    def read(self, version: int | None = None) -> DataFrame | None:
-        entries = self.history()
-        if not entries:
-            return None
-        entry = entries[-1] if version is None else next(e for e in entries if e["version"] == version)
-        return self.spark.read.parquet(entry["path"])
-
-    def commit(self, table: DataFrame, op: str, batch: str | None = None) -> int:
-        """Writes the table as the next version; returns its number."""
+    def publish(self, write: Callable[[str], None], op: str, batch: str | None = None, params: str = "") -> int:
+        """Lets ``write`` fill a new place, then points to it; a known batch id changes nothing."""
         entries = self.history()
         if batch is not None and any(e["batch"] == batch for e in entries):
             return entries[-1]["version"]
         version = entries[-1]["version"] + 1 if entries else 0
         path = f"{self.root}/v{version}-{uuid.uuid4().hex}"
-        table.write.parquet(path)
-        self._point([*entries, {"version": version, "op": op, "batch": batch, "ts_ns": time.time_ns(), "inputs": [entries[-1]["path"]] if entries else [], "path": path}])
+        write(path)
+        self._point([*entries, {"version": version, "op": op, "batch": batch, "ts_ns": time.time_ns(), "inputs": [entries[-1]["path"]] if entries else [], "params": params, "path": path}])
         return version
 
+    def place(self, version: int | None = None) -> str:
+        entries = self.history()
+        found = [e["path"] for e in entries if version in (None, e["version"])]
+        if not found:
+            raise FileNotFoundError(f"{self.root} has no version {'' if version is None else version}")
+        return found[-1]
+
+
+class Store(Versions):
+    """One keyed table in versions."""
+
+    def __init__(self, spark: SparkSession, root: str, key: str) -> None:
+        super().__init__(spark, root)
+        self.key = key
+
+    def read(self, version: int | None = None) -> DataFrame | None:
+        return self.spark.read.parquet(self.place(version)) if self.history() else None
+
+    def commit(self, table: DataFrame, op: str, batch: str | None = None) -> int:
+        """Writes the table as the next version; returns its number."""
+        return self.publish(table.write.parquet, op, batch)
+
     def apply(self, changes: DataFrame, *order: str, batch: str | None = None) -> int:
         """Folds changes (key, op, order, columns of the table) into a new version."""
         if batch is not None and any(e["batch"] == batch for e in self.history()):
