@@ -22,5 +22,34 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_ppm_score, op2_byte_bpe, op3_license_scan, op4_decontaminate, op5_toxicity, op6_feistel_shards, op7_simhash, op8_quality_classifier, op9_quality_rules, op10_secret_scan)}
 
 
+#: Words of the text with A-Z lower-cased, the same set of characters as ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]``.
+_ALNUM = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+')"
+
+DECONTAMINATE = f"""
+WITH d AS (SELECT doc_id, {_ALNUM} AS w FROM documents), b AS (SELECT coalesce(item_id::VARCHAR, '') AS item, {_ALNUM} AS w FROM benchmark),
+bk AS (SELECT item, w, least(13, len(w)) AS k FROM b WHERE len(w) > 0),
+win AS (SELECT DISTINCT item, k, array_to_string(w[i : i + k - 1], ' ') AS key FROM bk, unnest(range(1, len(w) - k + 2)) t(i)),
+dw AS (SELECT doc_id, i, k, array_to_string(w[i : i + k - 1], ' ') AS key FROM d JOIN (SELECT DISTINCT k FROM win) ks ON len(w) >= k, unnest(range(1, len(w) - k + 2)) t(i)),
+hit AS (SELECT doc_id, i, dw.k, item FROM dw JOIN win ON dw.key = win.key AND dw.k = win.k),
+n AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + k)) AS p FROM hit) GROUP BY 1),
+it AS (SELECT doc_id, list_sort(list(DISTINCT item)) AS items FROM hit GROUP BY 1)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(len(items), 0)::BIGINT AS n_items, sha256(coalesce(array_to_string(items, ','), '')) AS items_sha256,
+  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN it USING (doc_id)"""
+
+QUALITY_RULES = r"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS x FROM documents),
+w AS (SELECT doc_id, x, regexp_extract_all(x, '[^\x20\x09-\x0D]+') AS w, list_filter(string_split(x, chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS l FROM t),
+g AS (SELECT doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS key FROM w, unnest(range(1, len(w) - 1)) u(i)),
+r AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, key) AS n FROM g) WHERE n > 1),
+c AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM r) GROUP BY 1),
+m AS (SELECT w.doc_id, len(w)::BIGINT AS n_words, length(regexp_replace(x, '[\x20\x09-\x0D]', '', 'g'))::BIGINT AS word_chars, (length(x) - length(regexp_replace(x, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
+  (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(c.n, 0)::BIGINT AS n_repeat_words, len(l) AS n_lines, length(regexp_replace(x, '[^A-Za-z\x{80}-\x{10FFFF}]', '', 'g')) AS n_letters, length(regexp_replace(x, '[^A-Z]', '', 'g')) AS n_upper
+  FROM w LEFT JOIN c USING (doc_id)),
+f AS (SELECT *, ((n_words < 50)::INT + 2 * (100 * n_repeat_words > 50 * n_words)::INT + 4 * (10 * n_symbols > 3 * n_words)::INT + 8 * (n_letters >= 50 AND 10 * n_upper > 7 * n_letters)::INT
+  + 16 * (n_words > 0 AND (word_chars < 2 * n_words OR word_chars > 25 * n_words))::INT + 32 * (n_lines >= 4 AND 10 * n_dup_lines > 7 * n_lines)::INT + 64 * (n_words > 0 AND 4 * n_letters < word_chars)::INT)::BIGINT AS failed FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (failed & 3) <> 0 AS base_failed, (failed & 79) = 0 AS kept, failed FROM f"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_decontaminate": DECONTAMINATE, "op9_quality_rules": QUALITY_RULES}
