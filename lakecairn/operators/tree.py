@@ -15,7 +15,7 @@ def path_index(edges: DataFrame, root: Column, *, parent: str = "parent_id", chi
     """id, path, depth for the root and everything below it: one join a level.
 
     A node that is its own ancestor ends there instead of looping. The loop runs once
-    for each level of the tree, over the last level only.
+    for each level of the tree, over the last level only, which is kept for the next.
     """
     spark = edges.sparkSession
     level = spark.range(1).select(root.alias("id"), F.lit("/").alias("path"), F.lit(0).alias("depth"), F.array(root).alias("above"))
@@ -23,7 +23,7 @@ def path_index(edges: DataFrame, root: Column, *, parent: str = "parent_id", chi
     out = level
     for depth in range(1, MAX_DEPTH + 1):
         below = level.join(own, level["id"] == own["p"]).filter(~F.array_contains("above", F.col("c")))
-        level = below.select(F.col("c").alias("id"), F.concat(F.when(F.col("path") == "/", "").otherwise(F.col("path")), F.lit("/"), F.col("n")).alias("path"), F.lit(depth).alias("depth"), F.concat("above", F.array("c")).alias("above"))
+        level = below.select(F.col("c").alias("id"), F.concat(F.when(F.col("path") == "/", "").otherwise(F.col("path")), F.lit("/"), F.col("n")).alias("path"), F.lit(depth).alias("depth"), F.concat("above", F.array("c")).alias("above")).persist()
         if level.isEmpty():
             return out.select("id", "path", "depth")
         out = out.unionByName(level)

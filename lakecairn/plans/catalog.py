@@ -425,6 +425,62 @@ def bloom_membership(spark: SparkSession, sf: str) -> DataFrame:
     return found.agg(F.count("*").alias("n"), F.sum(F.col("maybe").cast("long")).alias("members"), F.min("maybe").alias("all_found"))
 
 
+# Images
+
+
+def _image(spark: SparkSession, files: DataFrame, profile: str = "max-speed"):  # noqa: ANN202
+    from ..image import Image
+
+    image = Image(spark, _scratch(spark, "image"))
+    image.build(files.select("path", F.lit(0).cast("long").alias("mtime_ns"), "content"), profile)
+    return image
+
+
+@query("SELECT '/' || lang || '/' || source || '/' || doc_id AS path, octet_length(encode(text)) AS size, sha256(text) AS content_id FROM documents")
+def image_round_trip(spark: SparkSession, sf: str) -> DataFrame:
+    """A whole image built, published and read back, inline and chunked files alike."""
+    read = _image(spark, S.documents(spark, sf)).contents()
+    return read.select("path", F.octet_length("content").cast("long").alias("size"), digest(F.col("content")).alias("content_id"))
+
+
+@query("""SELECT '/' || lang || '/' || source || '/' || doc_id AS path, substring(hex(encode(text)), 2001, 1000) AS part FROM documents WHERE doc_id % 3 = 0 AND doc_id < 60""")
+def cat_multi(spark: SparkSession, sf: str) -> DataFrame:
+    """Bytes 1000 to 1499 of a list of files in one pass."""
+    files = S.documents(spark, sf)
+    wanted = [r["path"] for r in files.filter("file_id % 3 = 0 and file_id < 60").select("path").collect()]
+    return _image(spark, files).cat_multi(wanted, 1000, 500).select("path", F.hex("content").alias("part"))
+
+
+@query("SELECT count(*) AS n_files, count(DISTINCT lang) + count(DISTINCT (lang, source)) + 1 AS n_dirs FROM documents")
+def image_counters(spark: SparkSession, sf: str) -> DataFrame:
+    return _image(spark, S.documents(spark, sf)).counters().select("n_files", "n_dirs")
+
+
+@query("SELECT count(*) AS n, true AS sound FROM documents")
+def layered_image(spark: SparkSession, sf: str) -> DataFrame:
+    """An image of all documents stored on top of one of three sources, read with its base."""
+    files = S.documents(spark, sf)
+    base = _image(spark, files.filter(F.col("path").rlike("/src[0-2]/")))
+    from ..image import Image
+
+    layer = Image(spark, _scratch(spark, "layer"))
+    layer.build(files.select("path", F.lit(0).cast("long").alias("mtime_ns"), "content"), "max-speed", base=base)
+    read = layer.contents(base=base).select("path", digest(F.col("content")).alias("a")).join(files.select("path", digest(F.col("content")).alias("b")), "path")
+    return read.agg(F.count("*").alias("n"), F.min(F.col("a") == F.col("b")).alias("sound"))
+
+
+@query("SELECT * FROM (VALUES ('bad_name', 0::BIGINT), ('duplicate_name', 0), ('orphan', 0), ('missing_file', 0), ('slice_gap', 0), ('missing_drop', 0)) t(rule, n)")
+def image_verify(spark: SparkSession, sf: str) -> DataFrame:
+    return _image(spark, S.documents(spark, sf)).verify()
+
+
+@query("SELECT * FROM (VALUES ('erasure', 3::BIGINT), ('sharing', 2), ('cipher', 5), ('codec', " + str(len(CODECS)) + ")) t(kind, n)")
+def scheme_registry(spark: SparkSession, sf: str) -> DataFrame:
+    from .registries import table
+
+    return table(spark).groupBy("kind").agg(F.count("*").alias("n"))
+
+
 # Versions
 
 _NEW = "SELECT DISTINCT sha256(text) AS drop_id FROM documents WHERE source IN ('src1', 'src3') AND sha256(text) NOT IN (SELECT sha256(text) FROM documents WHERE source NOT IN ('src1', 'src3'))"
