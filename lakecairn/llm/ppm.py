@@ -42,9 +42,9 @@ GRAM = ORDER + 1
 END = 255
 SYMBOLS = 256
 #: Bytes of text in a chunk, which bounds the memory of a task; a longer text is a chunk of its own size.
-CHUNK_BYTES = 24_000_000
+CHUNK_BYTES = 16_000_000
 #: Texts whose grams are sorted out together.
-PART_BYTES = 3_000_000
+PART_BYTES = 1_000_000
 U8 = np.uint64(8)
 
 
@@ -58,15 +58,15 @@ def grams(raw: bytes) -> np.ndarray:
     return out.view(np.int64)
 
 
-def _parts(texts: list[bytes]) -> Iterator[tuple[int, int]]:
+def _parts(sizes: list[int]) -> Iterator[tuple[int, int]]:
     start, size = 0, 0
-    for i, t in enumerate(texts):
-        size += len(t)
+    for i, n in enumerate(sizes):
+        size += n
         if size > PART_BYTES:
             yield start, i + 1
             start, size = i + 1, 0
-    if start < len(texts):
-        yield start, len(texts)
+    if start < len(sizes):
+        yield start, len(sizes)
 
 
 def _count(texts: list[bytes], learn: list[bool]) -> tuple[np.ndarray, np.ndarray, Counter]:
@@ -74,7 +74,7 @@ def _count(texts: list[bytes], learn: list[bool]) -> tuple[np.ndarray, np.ndarra
     pieces: list[tuple[np.ndarray, np.ndarray]] = []
     tokens: Counter[bytes] = Counter()
     unlearned: set[bytes] = set()
-    for a, b in _parts(texts):
+    for a, b in _parts([len(t) for t in texts]):
         own = [grams(t) for t in texts[a:b]]
         weight = np.repeat(np.array(learn[a:b], np.int64), [len(g) for g in own])
         index = pa.array(np.concatenate(own)).dictionary_encode()
@@ -98,6 +98,7 @@ def _packed(id_type: pa.DataType) -> Callable[[Iterator[pa.RecordBatch]], Iterat
         whole = [[chunk], [None], [None], [None], [ids], [learn], [[len(t) for t in texts]], [blob]]
         kinds = [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.list_(id_type), pa.list_(pa.bool_()), pa.list_(pa.int64()), pa.binary()]
         yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(whole, kinds, strict=True)], names)
+        del whole, blob
         held, counts, tokens = _count(texts, learn)
         words = list(tokens)
         for at in range(0, len(held), ROWS):
@@ -235,23 +236,23 @@ def _scorer(n_all: int, distinct: int, ends: int, id_type: pa.DataType) -> Calla
         keys = gram.drop_null().to_numpy()
         sort = np.argsort(keys)
         keys, bits = keys[sort], value[is_gram][sort]
-        words = back.column("token").combine_chunks().drop_null().to_pylist()
-        known = dict(zip(words, value[~is_gram].tolist(), strict=True))
+        known = dict(zip((w.as_py() for w in back.column("token").combine_chunks().drop_null()), value[~is_gram].tolist(), strict=True))
+        del back, gram, value, is_gram
         out: list[tuple] = []
         for row in chunks.to_pylist():
-            whole = zstandard.ZstdDecompressor().decompress(row["texts"], max_output_size=sum(row["sizes"]) + 1)
-            cuts = np.cumsum([0, *row["sizes"]]).tolist()
-            texts = [whole[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
-            totals: list[float] = []
-            for a, b in _parts(texts):
-                own = [grams(t) for t in texts[a:b]]
+            sizes = row["sizes"]
+            whole = zstandard.ZstdDecompressor().decompress(row.pop("texts"), max_output_size=sum(sizes) + 1)
+            cuts = np.cumsum([0, *sizes]).tolist()
+            for a, b in _parts(sizes):
+                texts = [whole[i:j] for i, j in zip(cuts[a:b], cuts[a + 1 : b + 1], strict=True)]
+                own = [grams(t) for t in texts]
                 index = pa.array(np.concatenate(own)).dictionary_encode()
                 each = bits[np.searchsorted(keys, index.dictionary.to_numpy())][index.indices.to_numpy()]
                 starts = np.cumsum([0, *map(len, own)])[:-1]
-                totals += np.add.reduceat(each, starts).tolist()
-            for i, on, t, total in zip(row["ids"], row["learn"], texts, totals, strict=True):
-                counts = np.array([*map(known.__getitem__, t.split()), ends], float)
-                out.append((i, not on, len(counts), int((counts > 0).sum()), n_all, float(np.log10(counts + 0.1).sum()) - floor * len(counts), total))
+                totals = np.add.reduceat(each, starts).tolist()
+                for i, on, t, total in zip(row["ids"][a:b], row["learn"][a:b], texts, totals, strict=True):
+                    counts = np.array([*map(known.__getitem__, t.split()), ends], float)
+                    out.append((i, not on, len(counts), int((counts > 0).sum()), n_all, float(np.log10(counts + 0.1).sum()) - floor * len(counts), total))
         kinds = [id_type, pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
         columns = list(zip(*out, strict=True)) or [()] * len(kinds)
         return pa.table([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names=NAMES)
