@@ -95,15 +95,16 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, *, rows: int
         return []
     small = docs.sparkSession.createDataFrame(chosen, ids.schema)
     found = C.text_rows(docs, id_col, text_col).join(F.broadcast(small), F.col("doc_id") == F.col("id"))
-    sizes = found.select("id", "y", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n")).collect()
-    left, kept = {0: max_bytes, 1: max_bytes}, []
-    for r in sorted(sizes, key=lambda r: (zlib.crc32(str(r["id"]).encode()), r["id"], r["n"])):
-        left[r["y"]] -= r["n"]
-        if left[r["y"]] >= 0:
-            kept.append(r["id"])
-    small = docs.sparkSession.createDataFrame([c for c in chosen if c[0] in set(kept)], ids.schema)
-    found = C.text_rows(docs, id_col, text_col).join(F.broadcast(small), F.col("doc_id") == F.col("id"))
-    out = [((r["text"] or "").encode(), r["y"], str(r["id"])) for r in found.select("id", "text", "y").collect()]
+    # Of an id that stands in several rows, however many, the smallest text counts.
+    found = C.written(found.groupBy("id", "y").agg(F.min(F.coalesce("text", F.lit(""))).alias("text")), "sample")
+    sizes = found.select("id", "y", F.octet_length("text").cast("long").alias("n")).collect()
+    left, kept = {0: max_bytes, 1: max_bytes}, set()
+    for r in sorted(sizes, key=lambda r: (zlib.crc32(str(r["id"]).encode()), r["id"])):
+        if r["n"] <= left[r["y"]]:
+            left[r["y"]] -= r["n"]
+            kept.add(r["id"])
+    fitting = docs.sparkSession.createDataFrame([c for c in chosen if c[0] in kept], ids.schema)
+    out = [(r["text"].encode(), r["y"], str(r["id"])) for r in found.join(F.broadcast(fitting.select("id")), "id").collect()]
     return [(t, y) for t, y, _ in sorted(out, key=lambda x: (zlib.crc32(x[2].encode()), x))]
 
 
