@@ -30,7 +30,7 @@ from . import common as C
 WIDTHS = (2, 3, 4, 5, 6, 7, 8, 10, 12, 14, 16, 20, 24, 32, 48, 64, 96, 128)
 MATRIX_BYTES = WIDTHS[-1]
 #: Pieces in each of the two generations that a worker remembers; forgetting changes no result.
-REMEMBERED = 400_000
+REMEMBERED = 150_000
 #: Cells of one matrix at most.
 CELLS = 1 << 18
 NONE = np.int32(2**31 - 1)

@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
+import gc
 import shutil
 import tempfile
 import uuid
@@ -19,7 +22,7 @@ LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 #: Lower-cases A-Z and turns every ASCII byte outside [0-9a-z] into a space; bytes of non-ASCII characters stay.
 WORDS = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 #: Rows handed to a text function at once; bounds the memory beside the Arrow batch.
-SLICE_ROWS = 512
+SLICE_ROWS = 256
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -66,6 +69,14 @@ def drop_written(df: DataFrame) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def give_back() -> None:
+    """Returns what a task no longer uses to the system: Python workers live on and serve other tasks."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def text_rows(docs: DataFrame, id_col: str, text_col: str, *more: str) -> DataFrame:
     """Only the named columns, so extra columns never reach Python nor clash with results."""
     return docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"), *[F.col(f"`{c}`") for c in more])
@@ -89,7 +100,12 @@ def map_texts(rows: DataFrame, make: Callable[[], Callable[[list[bytes]], list[l
                 part = batch.slice(at, SLICE_ROWS)
                 texts = [x or b"" for x in part.column("text").cast(pa.binary()).to_pylist()]
                 out = texts_of(texts)
+                del texts
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), *(pa.array(v, t) for v, t in zip(out, types, strict=True))], names)
+                del out, part
+            del batch
+        del texts_of
+        give_back()
 
     return rows.select(*dict.fromkeys([*keep, "text"])).mapInArrow(run, schema)
 

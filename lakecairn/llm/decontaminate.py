@@ -83,6 +83,17 @@ class Segment:
         return np.searchsorted(self.starts, positions, side="right") - 1
 
 
+def merged(spans: list[tuple[int, int]]) -> list[int]:
+    """The union of the spans as flat start, end pairs in order."""
+    out: list[int] = []
+    for a, b in sorted(set(spans)):
+        if out and a <= out[-1]:
+            out[-1] = max(out[-1], b)
+        else:
+            out += [a, b]
+    return out
+
+
 class Queries:
     """The phrases of a block of items: their windows, grouped by rarest term."""
 
@@ -157,7 +168,7 @@ def _searcher(queries: Queries, counts: np.ndarray) -> Callable[[], Callable[[li
                     start = at - int(segment.starts[doc])
                     spans[doc].append((start, start + len(window)))
                     items[doc].update(own)
-        return [segment.sizes.tolist(), [[x for s in sorted(own) for x in s] for own in spans], [sorted(x) for x in items]]
+        return [segment.sizes.tolist(), [merged(own) for own in spans], [sorted(x) for x in items]]
 
     return lambda: texts_of
 
@@ -184,20 +195,13 @@ def search(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, block
     return out.select(*[F.col(f"`{c}`") for c in dict.fromkeys(keep)], "__n_words", "__spans", "__items")
 
 
-def covered(flat: list[int]) -> int:
-    """Words inside the union of the spans."""
-    total, end = 0, 0
-    for a, b in sorted(zip(flat[::2], flat[1::2], strict=True)):
-        total += max(0, b - max(a, end))
-        end = max(end, b)
-    return total
-
-
 def _verdicts(rows: DataFrame, keep: list[str]) -> DataFrame:
-    """n_hit and the digest of the items beside the kept columns."""
-    n_hit = F.udf(covered, T.LongType(), useArrow=True)
+    """n_hit and the digest of the items beside the kept columns. JVM only: a fold over the spans in their order."""
     digest = F.sha2(F.array_join("__items", ","), 256)
-    hit = F.when(F.size("__spans") == 0, F.lit(0)).otherwise(n_hit("__spans")).cast("long")
+    zero = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("end"))
+    add = lambda s, x: F.struct((s["n"] + F.greatest(F.lit(0).cast("long"), x["b"] - F.greatest(x["a"], s["end"]))).alias("n"), F.greatest(s["end"], x["b"]).alias("end"))
+    pairs = F.transform(F.sequence(F.lit(0), (F.size("__spans") / 2).cast("int") - 1), lambda k: F.struct(F.get("__spans", 2 * k.cast("int")).alias("a"), F.get("__spans", 2 * k.cast("int") + 1).alias("b")))
+    hit = F.when(F.size("__spans") == 0, F.lit(0).cast("long")).otherwise(F.aggregate(F.array_sort(pairs), zero, add, lambda s: s["n"]))
     out = rows.select(*keep, F.col("__n_words").alias("n_words"), hit.alias("n_hit"), F.size("__items").cast("long").alias("n_items"), digest.alias("items_sha256"))
     return out.withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * HIT_SHARE >= F.col("n_words")))
 

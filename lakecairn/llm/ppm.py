@@ -126,6 +126,8 @@ def _packed(id_type: pa.DataType) -> Callable[[Iterator[pa.RecordBatch]], Iterat
                     size += len(text) + 64
         if texts:
             yield from flush(chunk, ids, learn, texts)
+        del ids, learn, texts
+        C.give_back()
 
     return run
 

@@ -44,7 +44,7 @@ RATIO = 30.0
 #: Bytes a window must save to count.
 SAVED = 6
 #: Coded words that a task remembers; forgetting changes no result.
-REMEMBERED = 500_000
+REMEMBERED = 120_000
 
 
 @dataclass(frozen=True)
