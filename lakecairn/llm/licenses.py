@@ -1,18 +1,21 @@
 """Operator 3: license scans as an exact set-similarity join of text blocks with templates.
 
-A block is a line; a line of more than WINDOW words is cut into overlapping
-windows. A block matches a template when it holds at least ``containment`` of the
-template's distinct tokens. Template tokens are ordered by their frequency in the
-whole corpus, rarest first. The join is exact: of m tokens at least o must be
-there, so a match holds one of the first m - o + 1 (prefix filter), has o
-distinct tokens itself (length filter), and, counted from its first common token
-at place p, can still reach o out of m - p (positional filter). The templates are
-a fixed set, so their index travels with the code.
+A block is a line or a run of words across line breaks; a line of more than WINDOW
+words is cut into overlapping windows, a run has at most RUN times the template's
+words and may begin at any word. A block matches a template when it holds at least
+``containment`` of the template's distinct tokens. Template tokens are ordered by
+their frequency in the whole corpus, rarest first. The join is exact: of m tokens
+at least o must be there, so a match holds one of the first m - o + 1 (prefix
+filter), has o distinct tokens itself (length filter), and, counted from its first
+common token at place p, can still reach o out of m - p (positional filter). The
+whole text passes these filters before its runs are searched. The templates are a
+fixed set, so their index travels with the code.
 """
 
 from __future__ import annotations
 
 import math
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
 
@@ -43,6 +46,8 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
 )
 CONTAINMENT = 0.8
 WINDOW = 256
+#: A run across line breaks has at most so many times the template's words: room for comment leaders and names put in.
+RUN = 2
 KEEP_LINES = bytes(10 if c == 10 else C.WORDS[c] for c in range(256))
 
 
@@ -51,13 +56,16 @@ class TemplateIndex:
 
     def __init__(self, templates: Iterable[tuple[str, str]], containment: float, counts: dict[bytes, int]) -> None:
         self.templates: list[tuple[str, list[bytes], int]] = []
+        self.widths: list[int] = []
         self.prefixes: dict[bytes, list[int]] = {}
         for label, text in templates:
-            tokens = sorted(set(C.alnum_words(text.encode())), key=lambda t: (counts.get(t, 0), t))
+            words = C.alnum_words(text.encode())
+            tokens = sorted(set(words), key=lambda t: (counts.get(t, 0), t))
             need = max(1, math.ceil(containment * len(tokens) - 1e-9))
             for t in tokens[: len(tokens) - need + 1]:
                 self.prefixes.setdefault(t, []).append(len(self.templates))
             self.templates.append((label, tokens, need))
+            self.widths.append(RUN * len(words))
         self.first = frozenset(self.prefixes)
 
     def matches(self, block: set[bytes]) -> Iterator[tuple[int, float]]:
@@ -75,6 +83,13 @@ class TemplateIndex:
             else:
                 yield k, common / len(tokens)
 
+    def runs(self, words: list[bytes]) -> Iterator[tuple[int, float, int, int]]:
+        """(template, containment, start, end) of the runs that match a template, see best_runs."""
+        for k, _ in self.matches(set(words)):
+            _, tokens, need = self.templates[k]
+            for n, start, end in best_runs(words, frozenset(tokens), need, self.widths[k]):
+                yield k, n / len(tokens), start, end
+
 
 def blocks(words: list[bytes], window: int = WINDOW) -> Iterator[tuple[int, list[bytes]]]:
     """(start, words) of the windows of a line: half overlapping, the last one flush with the end."""
@@ -86,6 +101,45 @@ def blocks(words: list[bytes], window: int = WINDOW) -> Iterator[tuple[int, list
         yield start, words[start : start + window]
 
 
+def best_runs(words: list[bytes], tokens: frozenset[bytes], need: int, width: int) -> list[tuple[int, int, int]]:
+    """(distinct tokens, start, end) of runs of at most width words with need distinct tokens, by start.
+
+    Each such run ends with the shortest one that still has need tokens. Of these,
+    leftmost ones that share no word are picked by their last words, so every run
+    holds a picked word. For each picked word the run around it with the most
+    tokens, then the shortest, stands for all others.
+    """
+    at = [i for i, w in enumerate(words) if w in tokens]
+    wide, tight = Counter(), Counter()
+    full, picked = [], []
+    a = b = 0
+    for i in at:
+        wide[words[i]] += 1
+        while at[a] <= i - width or wide[words[at[a]]] > 1:
+            a = _drop(wide, words, at, a)
+        tight[words[i]] += 1
+        while len(tight) > need or len(tight) == need and tight[words[at[b]]] > 1:
+            b = _drop(tight, words, at, b)
+        if len(wide) >= need:
+            full.append((len(wide), at[a], i + 1))
+            if not picked or at[b] > picked[-1]:
+                picked.append(i)
+    best: dict[int, tuple[int, int, int]] = {}
+    for run in full:
+        for x in picked[bisect_left(picked, run[1]) : bisect_left(picked, run[2])]:
+            if x not in best or (run[0], run[1] - run[2]) > (best[x][0], best[x][1] - best[x][2]):
+                best[x] = run
+    return sorted(set(best.values()), key=lambda run: run[1:])
+
+
+def _drop(held: Counter[bytes], words: list[bytes], at: list[int], left: int) -> int:
+    w = words[at[left]]
+    held[w] -= 1
+    if not held[w]:
+        del held[w]
+    return left + 1
+
+
 def count_tokens(docs: DataFrame, templates: Iterable[tuple[str, str]] = TEMPLATES, *, id_col: str = "doc_id", text_col: str = "text") -> dict[bytes, int]:
     """Occurrences in the whole corpus of each template token. At most as many rows reach the driver as the templates have tokens."""
     vocab = frozenset(w for _, t in templates for w in C.alnum_words(t.encode()))
@@ -122,10 +176,17 @@ def _scanner(index: TemplateIndex) -> Callable[[], Callable[[list[bytes]], list[
                     for k, part in index.matches(set(block)):
                         labels.add(index.templates[k][0])
                         score = max(score, part)
-                        spans.append(f"{index.templates[k][0]}:{at + start}:{at + start + len(block)}")
+                        spans.append((at + start, at + start + len(block), k))
             at += len(line)
+        in_lines = tuple(spans)
+        for k, part, start, end in index.runs(words):
+            labels.add(index.templates[k][0])
+            score = max(score, part)
+            if not any(k == j and a <= start and end <= b for a, b, j in in_lines):
+                spans.append((start, end, k))
+        said = [f"{index.templates[k][0]}:{a}:{b}" for a, b, k in sorted(spans)]
         starts = [p for p, _ in base]
-        return (len(words), len(base), min(starts, default=None), max(starts, default=None), ",".join(sorted({x for _, x in base})), ",".join(sorted(labels)), score, ",".join(spans))
+        return (len(words), len(base), min(starts, default=None), max(starts, default=None), ",".join(sorted({x for _, x in base})), ",".join(sorted(labels)), score, ",".join(said))
 
     return lambda: lambda texts: [list(x) for x in zip(*map(one, texts), strict=True)] if texts else [[] for _ in range(8)]
 

@@ -7,6 +7,7 @@ import collections
 import hashlib
 import math
 import re
+import textwrap
 import zlib
 
 import numpy as np
@@ -125,6 +126,39 @@ def test_license_filters_lose_nothing():
         assert dict(index.matches(block)) == pytest.approx(want)
 
 
+def test_licenses_across_lines(spark):
+    long = ("own", " ".join(f"w{i}" for i in range(400)))
+    templates = (*licenses.TEMPLATES, long)
+    rows = []
+    for i, (_, t) in enumerate(templates):
+        rows.append((2 * i, "intro words\n\n" + textwrap.fill(t, 72) + "\nother words", "en", "a", 1))
+        rows.append((2 * i + 1, "/*\n" + textwrap.indent(textwrap.fill(t, 30), " * REM ") + "\n */", "en", "a", 1))
+    rows.append((-1, "The software is provided\nfree of charge\nto any person", "en", "a", 1))
+    got = {r["doc_id"]: r for r in licenses.scan(spark.createDataFrame(rows, DOCS), templates).collect()}
+    for i, (label, t) in enumerate(templates):
+        n = len(C.alnum_words(t.encode()))
+        for r in (got[2 * i], got[2 * i + 1]):
+            assert label in r["labels"].split(",") and r["score"] == 1
+            assert any(b.startswith(label + ":") for b in r["blocks"].split(","))
+        if len(t) > 72:
+            assert any(x == label and int(b) - int(a) <= n for x, a, b in (s.split(":") for s in got[2 * i]["blocks"].split(",")))
+    assert (got[-1]["labels"], got[-1]["score"], got[-1]["blocks"]) == ("", 0, "")
+
+
+def test_license_runs_lose_nothing():
+    rng = np.random.default_rng(11)
+    for _ in range(300):
+        size = int(rng.integers(2, 8))
+        tokens = frozenset(b"%d" % i for i in range(size))
+        words = [b"%d" % i for i in rng.integers(0, size + int(rng.integers(1, 12)), 60)]
+        need, width = math.ceil(0.8 * size - 1e-9), int(rng.integers(size, 3 * size))
+        want = [(len(tokens & set(words[a:b])), a, b) for b in range(1, 61) for a in range(max(0, b - width), b) if len(tokens & set(words[a:b])) >= need]
+        got = licenses.best_runs(words, tokens, need, width)
+        assert set(got) <= set(want) and len(set(got)) == len(got)
+        assert all(any(a < d and c < b for _, c, d in got) for _, a, b in want)
+        assert max(got, default=(0,))[0] == max(want, default=(0,))[0]
+
+
 def contamination(texts, items, window=13):
     words = lambda t: re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", lower(t))
     held = {}
