@@ -34,7 +34,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All rows, with secrets of few repositories masked in their texts."""
+    """All rows, with secrets of few repositories and owners masked in their texts."""
     return secrets.redact(docs)
 
 

@@ -1,8 +1,9 @@
 """Operator 10: secret scans judged by how widely a candidate is owned.
 
 Patterns give candidate spans. The hash of each candidate's value is aggregated
-over the corpus by distinct repositories and owners: a value that stands in many
-repositories is a copied example, a value of one or two owners looks live.
+over the corpus by distinct repositories and owners: a value that stands in
+COPIED_REPOS repositories or belongs to COPIED_OWNERS owners is a copied example,
+a value of fewer repositories and only one or two owners looks live.
 """
 
 from __future__ import annotations
@@ -39,6 +40,8 @@ CONTINUED = bytes(range(0x80, 0xC0))
 LONG_HEX = re.compile(rb"[0-9a-f]{32,}")
 #: From so many distinct repositories on, a value is a copied example.
 COPIED_REPOS = 3
+#: From so many distinct owners on as well, whatever the number of repositories.
+COPIED_OWNERS = 3
 COMPILED = {k: re.compile(p) for k, p, *_ in (*BASE, *MORE)} | {"hex": LONG_HEX}
 
 
@@ -82,30 +85,37 @@ def candidates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
 def ownership(found: DataFrame) -> DataFrame:
     """hash, n_repos, n_owners: distinct repositories and owners of each value.
 
-    Null counts as a repository or owner of its own. Counted in two steps, so a
-    value with a third of all rows is first summed where its rows are.
+    Null counts as a repository or owner of its own; an owner in several repositories
+    counts once. Counted in two steps, so a value with a third of all rows is first
+    summed where its rows are.
     """
     pairs = found.select(F.explode(F.array_distinct("hashes")).alias("hash"), F.coalesce("repo", F.lit("\0")).alias("repo"), F.coalesce("owner", F.lit("\0")).alias("owner"))
-    pairs = pairs.distinct()
-    owners = pairs.groupBy("hash", "repo").agg(F.count("*").alias("n"))
-    return owners.groupBy("hash").agg(F.count("*").alias("n_repos"), F.sum("n").alias("n_owners"))
+    return pairs.groupBy("hash").agg(F.countDistinct("repo").alias("n_repos"), F.countDistinct("owner").alias("n_owners"))
 
 
-def scan(docs: DataFrame, *, copied_repos: int = COPIED_REPOS, id_col: str = "doc_id", text_col: str = "text", repo_col: str = "source", owner_col: str = "doc_id") -> DataFrame:
-    """One row for each row of docs: doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_copied, live.
+def verdicts(found: DataFrame, row: str, copied_repos: int, copied_owners: int) -> DataFrame:
+    """row, each: at, live, n_repos and n_owners of the row's spans, in their order."""
+    live = (F.col("n_repos") < copied_repos) & (F.col("n_owners") < copied_owners)
+    each = found.select(row, F.posexplode("hashes").alias("at", "hash")).join(ownership(found), "hash")
+    return each.groupBy(row).agg(F.sort_array(F.collect_list(F.struct("at", live.alias("live"), "n_repos", "n_owners"))).alias("each"))
+
+
+def scan(docs: DataFrame, *, copied_repos: int = COPIED_REPOS, copied_owners: int = COPIED_OWNERS, id_col: str = "doc_id", text_col: str = "text", repo_col: str = "source", owner_col: str = "doc_id") -> DataFrame:
+    """One row for each row of docs: doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_copied, live, n_repos, n_owners.
 
     ``live`` says for each span, in order, whether its value stands in fewer than
-    ``copied_repos`` repositories. A null text is empty; null ids, repositories
+    ``copied_repos`` repositories and belongs to fewer than ``copied_owners`` owners;
+    ``n_repos`` and ``n_owners`` give both counts for each span. A null text is empty; null ids, repositories
     and owners are allowed; repeated rows give repeated results, an empty table none.
     """
     found = C.written(candidates(docs, id_col=id_col, text_col=text_col, repo_col=repo_col, owner_col=owner_col).withColumn("row", F.monotonically_increasing_id()), "secrets")
     held = found.filter(F.size("hashes") > 0)
-    each = held.select("row", F.posexplode("hashes").alias("at", "hash"))
-    verdict = each.join(ownership(held), "hash").groupBy("row").agg(F.sort_array(F.collect_list(F.struct("at", (F.col("n_repos") < copied_repos).alias("live")))).alias("each"))
-    live = F.coalesce(F.transform("each", lambda x: x["live"]), F.array().cast("array<boolean>"))
-    out = found.drop("repo", "owner", "hashes").join(verdict, "row", "left").withColumn("live", live)
+    verdict = verdicts(held, "row", copied_repos, copied_owners)
+    out = found.drop("repo", "owner", "hashes").join(verdict, "row", "left")
+    for name, kind in (("live", "boolean"), ("n_repos", "bigint"), ("n_owners", "bigint")):
+        out = out.withColumn(name, F.coalesce(F.col(f"each.{name}"), F.array().cast(f"array<{kind}>")))
     n_live = F.size(F.filter("live", lambda x: x)).cast("long")
-    return out.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", n_live.alias("n_live"), (F.size("live") - n_live).cast("long").alias("n_copied"), "live")
+    return out.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", n_live.alias("n_live"), (F.size("live") - n_live).cast("long").alias("n_copied"), "live", "n_repos", "n_owners")
 
 
 def masked(text: str, said: str, live: list[bool]) -> str:
@@ -120,7 +130,7 @@ def masked(text: str, said: str, live: list[bool]) -> str:
     return "".join([*out, text[at:]])
 
 
-def redact(docs: DataFrame, *, copied_repos: int = COPIED_REPOS, text_col: str = "text", repo_col: str = "source", owner_col: str = "doc_id", chars_col: str | None = "n_chars") -> DataFrame:
+def redact(docs: DataFrame, *, copied_repos: int = COPIED_REPOS, copied_owners: int = COPIED_OWNERS, text_col: str = "text", repo_col: str = "source", owner_col: str = "doc_id", chars_col: str | None = "n_chars") -> DataFrame:
     """docs with live-looking secrets masked in the text and ``chars_col`` (its code points) kept in step.
 
     The scanned rows are written once; only rows with a live value are joined with
@@ -135,9 +145,7 @@ def redact(docs: DataFrame, *, copied_repos: int = COPIED_REPOS, text_col: str =
     found = C.written(found.withColumn("__row", F.monotonically_increasing_id()), "secrets")
     held = found.filter(F.size("__hashes") > 0)
     values = held.select("__row", F.col("__hashes").alias("hashes"), F.col(f"`{repo_col}`").cast("string").alias("repo"), F.col(f"`{owner_col}`").cast("string").alias("owner"))
-    each = values.select("__row", F.posexplode("hashes").alias("at", "hash"))
-    verdict = each.join(ownership(values), "hash").groupBy("__row").agg(F.sort_array(F.collect_list(F.struct("at", (F.col("n_repos") < copied_repos).alias("live")))).alias("each"))
-    verdict = verdict.select("__row", F.transform("each", lambda x: x["live"]).alias("__live"))
+    verdict = verdicts(values, "__row", copied_repos, copied_owners).select("__row", F.col("each.live").alias("__live"))
     clean = F.udf(masked, T.StringType(), useArrow=True)
     done = held.join(verdict, "__row", "left").withColumn(text_col, clean(F.col(f"`{text_col}`"), "__spans", "__live"))
     if chars_col in names:

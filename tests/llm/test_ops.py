@@ -327,6 +327,21 @@ def test_ownership_and_masks(spark):
     assert texts[0][0] == f"{copied} here" and texts[10] == (None, None)
 
 
+def test_owners_within_one_source(spark):
+    copied, two, live = "password=copiedexample1", "password=twoownersonly2", "password=liveliveliv3"
+    rows = [(i, f"{copied} here", "en", "hot", 1) for i in range(40)] + [(i, two, "en", "hot", 1) for i in (50, 51)]
+    df = spark.createDataFrame([*rows, (60, f"x {live} y {copied}", "en", "hot", 1)], DOCS)
+    got = {r["doc_id"]: (r["n_live"], r["n_copied"], r["live"], r["n_repos"], r["n_owners"]) for r in secrets.scan(df).collect()}
+    assert got[0] == (0, 1, [False], [1], [41]) and got[50] == (1, 0, [True], [1], [2])
+    assert got[60] == (1, 1, [True, False], [1, 1], [1, 41])
+    texts = {r["doc_id"]: r["text"] for r in secrets.redact(df).collect()}
+    assert texts[0] == f"{copied} here" and texts[50] == "[assign]" and texts[60] == f"x [assign] y {copied}"
+    # an owner in two repositories is one owner; repositories count apart from owners
+    far = spark.createDataFrame([(i, live, "en", f"s{i}", 1) for i in range(3)], DOCS).withColumn("owner", F.lit("o"))
+    assert {(r["live"][0], r["n_repos"][0], r["n_owners"][0]) for r in secrets.scan(far.limit(2), owner_col="owner").collect()} == {(True, 2, 1)}
+    assert {(r["live"][0], r["n_repos"][0], r["n_owners"][0]) for r in secrets.scan(far, owner_col="owner").collect()} == {(False, 3, 1)}
+
+
 def test_ppm(spark, docs):
     df = docs.filter("doc_id < 60")
     learn = C.id_remainder("doc_id", 10) != 0
