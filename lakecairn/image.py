@@ -90,9 +90,16 @@ class Image(Versions):
             raise ImageError(f"no file {path}")
         return bytes(row["content"])
 
-    def cat_multi(self, wanted: Iterable[str], offset: int = 0, length: int | None = None) -> DataFrame:
-        """path, content of some files in one pass; slices outside the range are never joined."""
-        files = self.files().filter(F.col("path").isin(*wanted))
+    def cat_multi(self, wanted: DataFrame | Iterable[str], offset: int = 0, length: int | None = None) -> DataFrame:
+        """path, content of some files in one pass; slices outside the range are never joined.
+
+        ``wanted`` is a table with a column path, of any size, or a short list of paths.
+        A path wanted more than once is read once, one that is no file not at all.
+        """
+        if isinstance(wanted, DataFrame):
+            files = self.files().join(wanted.select("path"), "path", "left_semi")
+        else:
+            files = self.files().filter(F.col("path").isin(*wanted))
         if length is None:
             return self.contents(files).select("path", P.byte_range(F.col("content"), F.lit(offset), F.lit(None)).alias("content"))
         small = files.filter("content is not null").select("path", P.byte_range(F.col("content"), F.lit(offset), F.lit(length)).alias("content"))

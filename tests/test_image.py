@@ -7,6 +7,8 @@ import pytest
 
 from lakecairn.__main__ import run
 from lakecairn.image import Image, ImageError
+from lakecairn.plans import catalog
+from lakecairn.sources import files as S
 
 
 @pytest.fixture
@@ -43,6 +45,25 @@ def test_read_back(spark, made, capfd):
     assert image.check().first()["failed"] == 0 and image.counters().first()["n_dirs"] == 3
 
 
+def test_cat_multi_of_a_table(spark, made):
+    root, content, _ = made
+    image = Image(spark, root)
+    every = image.files().select("path")
+    wanted = every.unionByName(every).unionByName(spark.createDataFrame([("/nowhere",), (None,)], "path string"))
+    got = [(r["path"], bytes(r["content"])) for r in image.cat_multi(wanted, 149_990, 500).collect()]
+    assert sorted(got) == sorted((p, raw[149_990:150_490]) for p, raw in content.items())
+    assert {r["path"]: bytes(r["content"]) for r in image.cat_multi(every).collect()} == content
+    assert image.cat_multi(every.limit(0), 0, 5).count() == 0
+
+
+def test_cat_multi_of_all_documents(spark):
+    files = S.documents(spark, "/root/testdata/sf0.001")
+    image = catalog._image(spark, files)
+    want = sorted((r["path"], bytes(r["content"])[1000:1500]) for r in files.select("path", "content").collect())
+    assert len(want) > 60
+    assert sorted((r["path"], bytes(r["content"])) for r in image.cat_multi(files.select("path"), 1000, 500).collect()) == want
+
+
 def test_changes(spark, made):
     root, content, tmp = made
     image, first = Image(spark, root), Image(spark, root).root_id()
