@@ -23,6 +23,8 @@ LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 WORDS = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 #: Rows handed to a text function at once; bounds the memory beside the Arrow batch.
 SLICE_ROWS = 256
+#: Tables of written() and their folders' names, the latest last.
+WRITTEN: list[tuple[DataFrame, str]] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,12 +42,14 @@ def space_words(raw: bytes) -> list[bytes]:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; only where none is set, an own temporary one."""
+    """The folder that driver and executors share; a temporary one only where none is set and all runs in one process."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
         jdir = spark.sparkContext._jsc.sc().getCheckpointDir()
         found = jdir.get() if jdir.isDefined() else None
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="lakecairn-")
         atexit.register(shutil.rmtree, found, True)
         spark.sparkContext.setCheckpointDir(found)
@@ -57,7 +61,9 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    WRITTEN.append((out, path.rsplit("/", 1)[-1]))
+    return out
 
 
 def drop_written(df: DataFrame) -> None:
@@ -69,6 +75,34 @@ def drop_written(df: DataFrame) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+@contextlib.contextmanager
+def only_result() -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Removes the tables that written() made inside the block, but for those that the given function was handed."""
+    start, kept = len(WRITTEN), []
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.append(df)
+        return df
+
+    yield keep
+    left = {f.rsplit("/", 1)[0].rsplit("/", 1)[-1] for df in kept for f in df.inputFiles()}
+    for df, name in WRITTEN[start:]:
+        if name not in left:
+            drop_written(df)
+    WRITTEN[start:] = [x for x in WRITTEN[start:] if x[1] in left]
+
+
+def shielded(docs: DataFrame) -> tuple[DataFrame, Callable[[str], str], Callable[[DataFrame], DataFrame]]:
+    """docs under plain column names, the plain name of a column, and the way back to all columns of docs.
+
+    So a column of docs may have any name: one with dots, or that of a result or of a helper column.
+    """
+    names = docs.columns
+    plain = [f"c{i}" for i in range(len(names))]
+    place = dict(zip(names, plain, strict=True))
+    return docs.toDF(*plain), place.__getitem__, lambda df: df.select(*plain).toDF(*names)
+
+
 def give_back() -> None:
     """Returns what a task no longer uses to the system: Python workers live on and serve other tasks."""
     gc.collect()
@@ -92,22 +126,23 @@ def map_texts(rows: DataFrame, make: Callable[[], Callable[[list[bytes]], list[l
     schema = T.StructType([*kept, *fields])
     types = [to_arrow_type(f.dataType) for f in fields]
     names = [f.name for f in schema]
+    place = {c: i for i, c in enumerate(dict.fromkeys([*keep, "text"]))}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts_of = make()
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE_ROWS):
                 part = batch.slice(at, SLICE_ROWS)
-                texts = [x or b"" for x in part.column("text").cast(pa.binary()).to_pylist()]
+                texts = [x or b"" for x in part.column(place["text"]).cast(pa.binary()).to_pylist()]
                 out = texts_of(texts)
                 del texts
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), *(pa.array(v, t) for v, t in zip(out, types, strict=True))], names)
+                yield pa.RecordBatch.from_arrays([*(part.column(place[c]) for c in keep), *(pa.array(v, t) for v, t in zip(out, types, strict=True))], names)
                 del out, part
             del batch
         del texts_of
         give_back()
 
-    return rows.select(*dict.fromkeys([*keep, "text"])).mapInArrow(run, schema)
+    return rows.select(*[F.col(f"`{c}`") for c in place]).mapInArrow(run, schema)
 
 
 def long(name: str) -> T.StructField:

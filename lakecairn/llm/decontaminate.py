@@ -1,208 +1,266 @@
 """Operator 4: benchmark decontamination with a distributed positional inverted index.
 
-The documents are the training side. Each task indexes its own documents in segments:
-for every query term a sorted list of positions, documents apart by a gap. Query
-terms are rated by their count in the whole corpus; a phrase is looked up from its
-rarest terms on, by intersecting position lists that are shifted by the term's place
-in the phrase, until the list is empty or all terms have agreed. A proximity query
-asks for all its terms within a width around a position of the rarest one.
-
-Benchmark items are the queries. They are taken in blocks of at most BLOCK_BYTES of
-text, the only thing that travels to the tasks; a larger benchmark means more passes
-over the documents, and the hits of each pass are carried along with the rows.
+``index`` writes the documents' postings once: documents are gathered in segments, and
+for every term of a segment there is a row with its places, documents apart by a gap.
+Nothing in it depends on a benchmark, so any number of searches can share it.
+
+A search sends its phrases (or proximity queries) to the index as tables. Terms are rated
+by their count in the whole corpus; a phrase goes only to the segments that hold its
+rarest term; there the lists of its terms, rarest first, shifted by the term's place in
+the phrase, are intersected until the list is empty or all terms have agreed. Segments
+are streamed one after the other, so a task holds the wanted postings of one segment and
+a batch of phrases; a larger benchmark means more rows, not more passes over the corpus.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from . import common as C
 
 WINDOW = 13
-#: Bytes of benchmark text in one block.
-BLOCK_BYTES = 4_000_000
+#: Bytes of text in a segment, which bounds the memory of a task; a longer text is a segment of its own size.
+SEGMENT_BYTES = 8_000_000
 #: A document is contaminated if it has hits and 20 * n_hit >= n_words.
 HIT_SHARE = 20
+#: Phrases of an item that a task hands on at once.
+ROWS = 20_000
+#: Order of the rows of a segment in a task: documents, postings, queries.
+DOCUMENT, POSTING, QUERY = 0, 1, 2
+
+
+@dataclass(frozen=True)
+class Index:
+    """rows: segment, slot, doc_id, digest, n_words, start; postings: segment, term, n, places (see packed)."""
+
+    rows: DataFrame
+    postings: DataFrame
+
+
+def segment_postings(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, pa.Array, np.ndarray, pa.Array]:
+    """(words of each text, place of each text's first word, terms, their counts, their packed places)."""
+    flat = b" ".join([*texts, b""]).translate(C.WORDS)
+    solid = np.frombuffer(flat, np.uint8) != 32
+    turns = np.flatnonzero(solid[1:] != solid[:-1]) + 1
+    if len(solid) and solid[0]:
+        turns = np.concatenate([[0], turns])
+    begin, length = turns[::2], turns[1::2] - turns[::2]
+    cuts = np.cumsum([0, *(len(t) + 1 for t in texts)])
+    sizes = np.diff(np.searchsorted(begin, cuts))
+    starts = np.cumsum(sizes + 1) - (sizes + 1)
+    ends = np.cumsum(np.concatenate([[0], length])).astype(np.int32)
+    words = pa.Array.from_buffers(pa.binary(), len(begin), [None, pa.py_buffer(ends), pa.py_buffer(flat.translate(None, b" "))])
+    coded = words.dictionary_encode()
+    ids = coded.indices.to_numpy()
+    place = (np.arange(len(ids)) + np.repeat(np.arange(len(texts)), sizes))[np.argsort(ids, kind="stable")]
+    counts = np.bincount(ids, minlength=len(coded.dictionary))
+    return sizes, starts, coded.dictionary.cast(pa.string()), counts, packed(place, counts)
+
+
+def packed(places: np.ndarray, counts: np.ndarray) -> pa.Array:
+    """The runs of rising places as binary values: the first, then the steps, each a little-endian 32-bit number."""
+    first = np.cumsum(counts) - counts
+    steps = np.diff(places, prepend=0)
+    steps[first] = places[first]
+    ends = (4 * np.concatenate([[0], np.cumsum(counts)])).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(ends), pa.py_buffer(steps.astype("<i4"))])
+
+
+def unpacked(raw: bytes) -> np.ndarray:
+    return np.cumsum(np.frombuffer(raw, "<i4"), dtype=np.int64)
+
+
+def _indexer(id_type: pa.DataType) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    fields = [("segment", pa.int64()), ("slot", pa.int32()), ("doc_id", id_type), ("digest", pa.string()), ("n_words", pa.int64()), ("start", pa.int64()), ("term", pa.string()), ("n", pa.int64()), ("places", pa.binary())]
+    names = [n for n, _ in fields]
+
+    def batch(rows: int, **given: pa.Array) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([given[name] if name in given else pa.nulls(rows, t) for name, t in fields], names)
+
+    def flush(segment: int, ids: list, digests: list, texts: list[bytes]) -> Iterator[pa.RecordBatch]:
+        sizes, starts, terms, counts, places = segment_postings(texts)
+        n, m = len(texts), len(terms)
+        yield batch(n, segment=pa.array(np.full(n, segment)), slot=pa.array(np.arange(n, dtype=np.int32)), doc_id=pa.array(ids, id_type), digest=pa.array(digests, pa.string()), n_words=pa.array(sizes, pa.int64()), start=pa.array(starts, pa.int64()))
+        if m:
+            yield batch(m, segment=pa.array(np.full(m, segment)), term=terms, n=pa.array(counts, pa.int64()), places=places)
 
-
-class Segment:
-    """Positional postings of the query terms over a few documents."""
-
-    def __init__(self, texts: list[bytes], terms: dict[bytes, int]) -> None:
-        self.sizes = np.zeros(len(texts), np.int64)
-        ids: list[int] = []
-        get = terms.get
-        for i, raw in enumerate(texts):
-            words = C.alnum_words(raw)
-            self.sizes[i] = len(words)
-            ids.extend([get(w, -1) for w in words])
-            ids.append(-1)
-        self.starts = np.cumsum(self.sizes + 1) - (self.sizes + 1)
-        flat = np.array(ids, np.int32)
-        known = np.flatnonzero(flat >= 0)
-        order = known[np.argsort(flat[known], kind="stable")]
-        held, first = np.unique(flat[order], return_index=True)
-        self.postings = dict(zip(held.tolist(), np.split(order, first[1:]), strict=True)) if len(held) else {}
-
-    def phrase(self, terms: tuple[int, ...], order: tuple[int, ...]) -> np.ndarray:
-        """Positions where the terms stand in a row. order: places in the phrase, rarest term first."""
-        found = self.postings.get(terms[order[0]])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        segment, size = TaskContext.get().partitionId() << 24, 0
+        ids, digests, texts = [], [], []
+        for whole in batches:
+            for at in range(0, whole.num_rows, C.SLICE_ROWS):
+                part = whole.slice(at, C.SLICE_ROWS)
+                for i, digest, raw in zip(part.column(0).to_pylist(), part.column(2).to_pylist(), part.column(1).cast(pa.binary()).to_pylist(), strict=True):
+                    text = raw or b""
+                    if texts and size + len(text) > SEGMENT_BYTES:
+                        yield from flush(segment, ids, digests, texts)
+                        segment, size = segment + 1, 0
+                        ids, digests, texts = [], [], []
+                    ids.append(i)
+                    digests.append(digest)
+                    texts.append(text)
+                    size += len(text) + 64
+        if texts:
+            yield from flush(segment, ids, digests, texts)
+        del ids, digests, texts
+        C.give_back()
+
+    return run
+
+
+def index(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", digest: Column | None = None) -> Index:
+    """The postings of all terms of all texts, written once in the shared folder.
+
+    A null text has no words. Repeated rows are indexed as often as they come, an empty
+    table gives an empty index; other columns are not read. A text of any length is
+    indexed whole, in the memory that its words take. ``digest`` is carried along.
+    """
+    text = F.col(f"`{text_col}`").cast("string")
+    rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), text.alias("text"), (F.lit(None).cast("string") if digest is None else digest).alias("digest"))
+    kind = rows.schema["doc_id"].dataType
+    schema = T.StructType([C.long("segment"), T.StructField("slot", T.IntegerType()), T.StructField("doc_id", kind), C.string("digest"), C.long("n_words"), C.long("start"), C.string("term"), C.long("n"), T.StructField("places", T.BinaryType())])
+    table = C.written(rows.mapInArrow(_indexer(to_arrow_type(kind)), schema), "postings")
+    return Index(table.filter("term is null").select("segment", "slot", "doc_id", "digest", "n_words", "start"), table.filter("term is not null").select("segment", "term", "n", "places"))
+
+
+def phrase(postings: dict[int, np.ndarray], terms: list[int], shifts: list[int]) -> np.ndarray:
+    """Places where the terms stand at their shifts from one another, rarest term first."""
+    found = None
+    for t, k in zip(terms, shifts, strict=True):
+        other = postings.get(t)
+        if other is None:
+            return np.zeros(0, np.int64)
         if found is None:
+            found = other - k
+            continue
+        at = np.searchsorted(other, found + k)
+        found = found[(at < len(other)) & (other[np.minimum(at, len(other) - 1)] == found + k)]
+        if not len(found):
+            break
+    return found if found is not None else np.zeros(0, np.int64)
+
+
+def near(postings: dict[int, np.ndarray], terms: list[int], width: int, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Places of the rarest term with every other term at most ``width`` words away in the same document."""
+    found = postings.get(terms[0], np.zeros(0, np.int64))
+    for t in terms[1:]:
+        other = postings.get(t)
+        if other is None or not len(found):
             return np.zeros(0, np.int64)
-        found = found - order[0]
-        for k in order[1:]:
-            other = self.postings.get(terms[k])
-            if other is None:
-                return np.zeros(0, np.int64)
-            at = np.searchsorted(other, found + k)
-            found = found[(at < len(other)) & (other[np.minimum(at, len(other) - 1)] == found + k)]
-            if not len(found):
-                break
-        return found
-
-    def near(self, terms: tuple[int, ...], order: tuple[int, ...], width: int) -> np.ndarray:
-        """Positions of the rarest term with every other term at most ``width`` words away in the same document."""
-        found = self.postings.get(terms[order[0]], np.zeros(0, np.int64))
-        for k in order[1:]:
-            other = self.postings.get(terms[k])
-            if other is None or not len(found):
-                return np.zeros(0, np.int64)
-            doc = self.document(found)
-            low = np.maximum(found - width, self.starts[doc])
-            high = np.minimum(found + width, self.starts[doc] + self.sizes[doc] - 1)
-            found = found[np.searchsorted(other, high, side="right") > np.searchsorted(other, low)]
-        return found
-
-    def document(self, positions: np.ndarray) -> np.ndarray:
-        return np.searchsorted(self.starts, positions, side="right") - 1
-
-
-def merged(spans: list[tuple[int, int]]) -> list[int]:
-    """The union of the spans as flat start, end pairs in order."""
-    out: list[int] = []
-    for a, b in sorted(set(spans)):
-        if out and a <= out[-1]:
-            out[-1] = max(out[-1], b)
-        else:
-            out += [a, b]
-    return out
-
-
-class Queries:
-    """The phrases of a block of items: their windows, grouped by rarest term."""
-
-    def __init__(self, items: list[tuple[str, bytes]], window: int) -> None:
-        self.terms: dict[bytes, int] = {}
-        self.window = window
-        self.windows: dict[tuple[int, ...], set[str]] = {}
-        for item, raw in items:
-            ids = [self.terms.setdefault(w, len(self.terms)) for w in C.alnum_words(raw)]
-            size = min(window, len(ids))
-            for i in range(len(ids) - size + 1 if ids else 0):
-                self.windows.setdefault(tuple(ids[i : i + size]), set()).add(item)
-
-    def rated(self, counts: np.ndarray) -> dict[int, list[tuple[tuple[int, ...], tuple[int, ...], tuple[str, ...]]]]:
-        """By rarest term: (terms, places with the rarest first, items)."""
-        out: dict[int, list] = {}
-        for terms, items in self.windows.items():
-            order = tuple(sorted(range(len(terms)), key=lambda k: (counts[terms[k]], k)))
-            if counts[terms[order[0]]]:
-                out.setdefault(terms[order[0]], []).append((terms, order, tuple(sorted(items))))
-        return out
-
-
-def blocks(benchmark: DataFrame, limit: int = BLOCK_BYTES, *, id_col: str = "item_id", text_col: str = "text") -> Iterator[list[tuple[str, bytes]]]:
-    """Items (id as text, null as empty; text) in blocks of at most ``limit`` bytes, or one item."""
-    own: list[tuple[str, bytes]] = []
-    size = 0
-    rows = benchmark.select(F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("")).alias("i"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("t"))
-    for r in rows.toLocalIterator():
-        raw = r["t"].encode()
-        if own and size + len(raw) > limit:
-            yield own
-            own, size = [], 0
-        own.append((r["i"], raw))
-        size += len(raw)
-    if own:
-        yield own
-
-
-def term_counts(docs: DataFrame, terms: dict[bytes, int], *, text_col: str = "text") -> np.ndarray:
-    """Occurrences of each query term in the whole corpus; one row of counts for each task reaches the sum."""
+        doc = np.searchsorted(starts, found, side="right") - 1
+        low, high = np.maximum(found - width, starts[doc]), np.minimum(found + width, starts[doc] + sizes[doc] - 1)
+        found = found[np.searchsorted(other, high, side="right") > np.searchsorted(other, low)]
+    return found
+
+
+def _intersecter(width: int | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Hits (segment, slot, first, last, query) of the queries of each segment; rows come by segment and kind."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(len(terms), np.int64)
-        get = terms.get
+        segment, starts, sizes, postings = None, [], [], {}
+        at_starts = at_sizes = np.zeros(0, np.int64)
+        for whole in batches:
+            if not whole.num_rows:
+                continue
+            segments, kinds = whole.column(0).to_numpy(), whole.column(1).to_numpy()
+            cuts = np.flatnonzero((segments[1:] != segments[:-1]) | (kinds[1:] != kinds[:-1])) + 1
+            out: list[tuple[np.ndarray, ...]] = []
+            for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(kinds)], strict=True):
+                if segments[a] != segment:
+                    segment, starts, sizes, postings = segments[a], [], [], {}
+                part = whole.slice(a, b - a)
+                if kinds[a] == DOCUMENT:
+                    starts.append(part.column(4).to_numpy())
+                    sizes.append(part.column(5).to_numpy())
+                    at_starts, at_sizes = np.concatenate(starts), np.concatenate(sizes)
+                    order = np.argsort(at_starts)
+                    at_starts, at_sizes = at_starts[order], at_sizes[order]
+                elif kinds[a] == POSTING:
+                    for t, raw in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True):
+                        postings[t] = unpacked(raw)
+                else:
+                    for q, terms, shifts in zip(part.column(2).to_pylist(), part.column(6).to_pylist(), part.column(7).to_pylist(), strict=True):
+                        found = phrase(postings, terms, shifts) if width is None else near(postings, terms, width, at_starts, at_sizes)
+                        if len(found):
+                            slot = np.searchsorted(at_starts, found, side="right") - 1
+                            first = found - at_starts[slot]
+                            out.append((np.full(len(found), segment), slot, first, first + len(terms), np.full(len(found), q)))
+            if out:
+                columns = [np.concatenate(c) for c in zip(*out, strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["segment", "slot", "first", "last", "query"])
+        del postings
+        C.give_back()
+
+    return run
+
+
+def hits(held: Index, queries: DataFrame, width: int | None = None) -> DataFrame:
+    """segment, slot, first, last, query for each occurrence of the queries (query, term, shift: one row for each term).
+
+    Without ``width`` the terms stand at their shifts from one another (an exact phrase);
+    with it, first is a place of the rarest term with all others within ``width`` words.
+    """
+    wanted = queries.select("term").distinct()
+    counts = held.postings.select("term", "n").join(wanted, "term", "left_semi").groupBy("term").agg(F.sum("n").alias("total"))
+    counts = C.written(counts.withColumn("id", F.monotonically_increasing_id()), "counts")
+    sizes = queries.groupBy("query").agg(F.count("*").alias("size"))
+    order = F.sort_array(F.collect_list(F.struct("total", "shift", "id")))
+    rated = queries.join(counts, "term").groupBy("query").agg(order.alias("order")).join(sizes, "query").filter(F.size("order") == F.col("size"))
+    rated = C.written(rated.select("query", F.col("order.id").alias("terms"), F.col("order.shift").cast("array<bigint>").alias("shifts")), "queries")
+    lists = held.postings.join(counts.select("term", "id"), "term").select("segment", "id", "places")
+    asked = rated.withColumn("id", F.get("terms", F.lit(0))).join(lists.select("segment", "id"), "id").select("segment", "query", "terms", "shifts")
+    need = C.written(asked.select("segment", F.explode("terms").alias("id")).distinct(), "needed")
+    none = lambda kind: F.lit(None).cast(kind)
+    of_docs = held.rows.select("segment", F.lit(DOCUMENT).alias("kind"), none("bigint").alias("id"), none("binary").alias("places"), "start", "n_words", none("array<bigint>").alias("terms"), none("array<bigint>").alias("shifts"))
+    of_lists = lists.join(need, ["segment", "id"], "left_semi").select("segment", F.lit(POSTING).alias("kind"), "id", "places", none("bigint").alias("start"), none("bigint").alias("n_words"), none("array<bigint>").alias("terms"), none("array<bigint>").alias("shifts"))
+    of_queries = asked.select("segment", F.lit(QUERY).alias("kind"), F.col("query").alias("id"), none("binary").alias("places"), none("bigint").alias("start"), none("bigint").alias("n_words"), "terms", "shifts")
+    dealt = of_docs.unionByName(of_lists).unionByName(of_queries).repartition("segment").sortWithinPartitions("segment", "kind")
+    return dealt.mapInArrow(_intersecter(width), "segment long, slot long, first long, last long, query long")
+
+
+def _cutter(window: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, C.SLICE_ROWS):
-                words = [get(w, -1) for raw in batch.column(0).slice(at, C.SLICE_ROWS).cast(pa.binary()).to_pylist() if raw for w in C.alnum_words(raw)]
-                ids = np.array(words, np.int64)
-                counts += np.bincount(ids[ids >= 0], minlength=len(terms))
-        held = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(held, pa.int64()), pa.array(counts[held], pa.int64())], ["term", "n"])
-
-    found = docs.select(F.col(f"`{text_col}`").cast("string").alias("text")).mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
-    counts = np.zeros(len(terms), np.int64)
-    for r in found:
-        counts[r["term"]] = r["n"]
-    return counts
-
-
-def _searcher(queries: Queries, counts: np.ndarray) -> Callable[[], Callable[[list[bytes]], list[list]]]:
-    rated, terms = queries.rated(counts), queries.terms
-
-    def texts_of(texts: list[bytes]) -> list[list]:
-        segment = Segment(texts, terms)
-        spans: list[list[tuple[int, int]]] = [[] for _ in texts]
-        items: list[set[str]] = [set() for _ in texts]
-        for rare in rated.keys() & segment.postings.keys():
-            for window, order, own in rated[rare]:
-                found = segment.phrase(window, order)
-                for doc, at in zip(segment.document(found).tolist(), found.tolist(), strict=True) if len(found) else ():
-                    start = at - int(segment.starts[doc])
-                    spans[doc].append((start, start + len(window)))
-                    items[doc].update(own)
-        return [segment.sizes.tolist(), [merged(own) for own in spans], [sorted(x) for x in items]]
-
-    return lambda: texts_of
-
-
-def search(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, block_bytes: int = BLOCK_BYTES, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text") -> DataFrame:
-    """The kept columns of docs, then __n_words, __spans (flat start, end pairs in words) and __items (sorted) of the exact phrase matches."""
-    fields = [C.long("__n_words"), T.StructField("__spans", T.ArrayType(T.LongType())), T.StructField("__items", T.ArrayType(T.StringType()))]
-    rows = docs if text_col == "text" else docs.withColumn("text", F.col(f"`{text_col}`"))
-    names, out = list(dict.fromkeys([*keep, "text"])), None
-    for block in blocks(benchmark, block_bytes):
-        queries = Queries(block, window)
-        if not queries.windows:
-            continue
-        make = _searcher(queries, term_counts(rows, queries.terms))
-        if out is None:
-            out = C.map_texts(rows, make, fields, tuple(names))
-            continue
-        before = C.written(out.withColumnsRenamed({"__n_words": "__n0", "__spans": "__s0", "__items": "__i0"}), "hits")
-        out = C.map_texts(before, make, fields, (*names, "__s0", "__i0"))
-        out = out.select(*[F.col(f"`{c}`") for c in names], "__n_words", F.concat("__s0", "__spans").alias("__spans"), F.array_sort(F.array_union("__i0", "__items")).alias("__items"))
-    if out is None:
-        make = _searcher(Queries([], window), np.zeros(0, np.int64))
-        out = C.map_texts(rows, make, fields, tuple(names))
-    return out.select(*[F.col(f"`{c}`") for c in dict.fromkeys(keep)], "__n_words", "__spans", "__items")
-
-
-def _verdicts(rows: DataFrame, keep: list[str]) -> DataFrame:
-    """n_hit and the digest of the items beside the kept columns. JVM only: a fold over the spans in their order."""
-    digest = F.sha2(F.array_join("__items", ","), 256)
+            for item, raw in zip(batch.column(0), batch.column(1).cast(pa.binary()), strict=True):
+                words = C.alnum_words(raw.as_py() or b"")
+                size = min(window, len(words))
+                for at in range(0, len(words) - size + 1 if words else 0, ROWS):
+                    own = list(dict.fromkeys(b" ".join(words[i : i + size]) for i in range(at, min(at + ROWS, len(words) - size + 1))))
+                    yield pa.RecordBatch.from_arrays([pa.array([item.as_py()] * len(own), pa.string()), pa.array(own, pa.binary()).cast(pa.string())], ["item", "phrase"])
+
+    return run
+
+
+def search(held: Index, benchmark: DataFrame, *, window: int = WINDOW, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
+    """segment, slot, spans (start and end of each occurrence, in words), n_full (those of full windows), items (sorted), for documents with hits."""
+    items = benchmark.select(F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("")).alias("item"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
+    pairs = C.written(items.mapInArrow(_cutter(window), "item string, phrase string").distinct(), "windows")
+    phrases = C.written(pairs.select("phrase").distinct().withColumn("query", F.monotonically_increasing_id()), "phrases")
+    queries = phrases.select("query", F.posexplode(F.split("phrase", " ")).alias("shift", "term"))
+    found = C.written(hits(held, queries), "hits")
+    full = F.col("last") - F.col("first") >= window
+    spans = found.groupBy("segment", "slot").agg(F.array_sort(F.collect_set(F.struct(F.col("first").alias("a"), F.col("last").alias("b")))).alias("spans"), F.coalesce(F.sum(full.cast("long")), F.lit(0)).alias("n_full"))
+    own = found.select("segment", "slot", "query").distinct().join(pairs.join(phrases, "phrase").select("query", "item"), "query").select("segment", "slot", "item").distinct()
+    return spans.join(own.groupBy("segment", "slot").agg(F.array_sort(F.collect_list("item")).alias("items")), ["segment", "slot"])
+
+
+def verdicts(held: Index, found: DataFrame) -> DataFrame:
+    """doc_id, digest, n_words, n_hit, n_items, items_sha256, contaminated, n_full for each document of the index. A fold over the sorted spans counts the hit words."""
     zero = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("end"))
     add = lambda s, x: F.struct((s["n"] + F.greatest(F.lit(0).cast("long"), x["b"] - F.greatest(x["a"], s["end"]))).alias("n"), F.greatest(s["end"], x["b"]).alias("end"))
-    pairs = F.transform(F.sequence(F.lit(0), (F.size("__spans") / 2).cast("int") - 1), lambda k: F.struct(F.get("__spans", 2 * k.cast("int")).alias("a"), F.get("__spans", 2 * k.cast("int") + 1).alias("b")))
-    hit = F.when(F.size("__spans") == 0, F.lit(0).cast("long")).otherwise(F.aggregate(F.array_sort(pairs), zero, add, lambda s: s["n"]))
-    out = rows.select(*keep, F.col("__n_words").alias("n_words"), hit.alias("n_hit"), F.size("__items").cast("long").alias("n_items"), digest.alias("items_sha256"))
+    hit = found.select("segment", "slot", F.aggregate("spans", zero, add, lambda s: s["n"]).alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.array_join("items", ",").alias("said"), "n_full")
+    out = held.rows.withColumn("slot", F.col("slot").cast("long")).join(hit, ["segment", "slot"], "left")
+    count = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
+    out = out.select("doc_id", "digest", "n_words", count("n_hit"), count("n_items"), F.sha2(F.coalesce("said", F.lit("")), 256).alias("items_sha256"), count("n_full"))
     return out.withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * HIT_SHARE >= F.col("n_words")))
 
 
@@ -213,38 +271,38 @@ def report(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, id_co
     than a window is one. Repeated items or rows change nothing or repeat results.
     An empty benchmark gives no hits, an empty table no rows; other columns are not read.
     """
-    return _verdicts(search(C.text_rows(docs, id_col, text_col), benchmark, window=window), ["doc_id"])
+    held = index(docs, id_col=id_col, text_col=text_col)
+    out = verdicts(held, search(held, benchmark, window=window))
+    return out.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
 
+def clean(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs without the rows that hold a full window of an item anywhere, or are contaminated; columns unchanged, whatever their names.
 
-def clean(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW) -> DataFrame:
-    """docs without the contaminated rows, its columns unchanged."""
-    names = docs.columns
-    found = _verdicts(search(docs, benchmark, window=window, keep=tuple(names)).withColumnsRenamed({c: f"__c{i}" for i, c in enumerate(names)}), [f"__c{i}" for i in range(len(names))])
-    return found.filter(~F.col("contaminated")).select(*[F.col(f"__c{i}").alias(c) for i, c in enumerate(names)])
+    Windows of short items (fewer words than a window) are weak evidence and count only
+    by their share. Equal texts have equal verdicts, so rows are taken out by a digest of
+    the whole text; only digests that go are joined. Null and empty texts stay, repeated
+    rows stay or go together, an empty table or benchmark changes nothing.
+    """
+    plain, name, back = C.shielded(docs)
+    digest = F.md5(F.encode(F.coalesce(F.col(name(text_col)).cast("string"), F.lit("")), "utf-8"))
+    held = index(plain, id_col=name(id_col), text_col=name(text_col), digest=digest)
+    gone = verdicts(held, search(held, benchmark, window=window)).filter("contaminated").select("digest").distinct()
+    gone = C.written(gone, "contaminated")
+    return back(plain.withColumn("digest", digest).join(gone, "digest", "left_anti"))
 
 
-def proximity(docs: DataFrame, queries: list[tuple[str, str]], width: int, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def proximity(held: Index, queries: DataFrame, width: int) -> DataFrame:
     """doc_id, query, n_places: places of each query's rarest term with all its other terms within ``width`` words.
 
-    ``queries`` (name, words) is a bounded list of the caller's.
+    ``queries`` has query (its name) and text; names are distinct, of repeated terms one counts.
     """
-    rows = C.text_rows(docs, id_col, text_col)
-    terms: dict[bytes, int] = {}
-    asked = [(name, tuple(terms.setdefault(w, len(terms)) for w in C.alnum_words(words.encode()))) for name, words in queries]
-    counts = term_counts(rows, terms) if terms else np.zeros(0, np.int64)
-    ordered = [(name, own, tuple(sorted(range(len(own)), key=lambda k: (counts[own[k]], k)))) for name, own in asked if own]
-
-    def texts_of(texts: list[bytes]) -> list[list]:
-        segment, out = Segment(texts, terms), [[] for _ in texts]
-        for name, own, order in ordered:
-            docs_of, n = np.unique(segment.document(segment.near(own, order, width)), return_counts=True)
-            for d, k in zip(docs_of.tolist(), n.tolist(), strict=True):
-                out[d].append({"query": name, "n_places": k})
-        return [out]
-
-    kind = T.ArrayType(T.StructType([C.string("query"), C.long("n_places")]))
-    found = C.map_texts(rows, lambda: texts_of, [T.StructField("found", kind)])
-    return found.select("doc_id", F.explode("found").alias("x")).select("doc_id", "x.query", "x.n_places")
+    cut = F.array_distinct(F.split(F.trim(F.regexp_replace(F.translate(F.coalesce("text", F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+", " ")), " "))
+    named = C.written(queries.select(F.col("query").alias("name"), cut.alias("terms")).withColumn("query", F.monotonically_increasing_id()), "asked")
+    terms = named.select("query", F.posexplode("terms").alias("shift", "term")).filter("term <> ''")
+    places = hits(held, terms, width).groupBy("segment", "slot", "query").agg(F.count("*").alias("n_places"))
+    rows = held.rows.select("segment", F.col("slot").cast("long").alias("slot"), "doc_id")
+    return places.join(rows, ["segment", "slot"]).join(named.select("query", "name"), "query").select("doc_id", F.col("name").alias("query"), "n_places")
 
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

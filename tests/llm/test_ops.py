@@ -179,23 +179,54 @@ def contamination(texts, items, window=13):
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize("block", [4_000_000, 900])
-def test_decontamination(spark, odd, docs, block):
-    bench = C.table(spark, SF, "benchmark").unionByName(spark.createDataFrame([(7, "quick brown"), (7, "quick brown"), (None, "lazy dog the"), (8, None), (9, "")], "item_id long, text string"))
+BENCH_MORE = [(7, "quick brown"), (7, "quick brown"), (None, "lazy dog the"), (8, None), (9, "")]
+
+
+@pytest.mark.parametrize("size", [8_000_000, 3_000])
+def test_decontamination(spark, odd, docs, size, monkeypatch):
+    monkeypatch.setattr(decontaminate, "SEGMENT_BYTES", size)
+    bench = C.table(spark, SF, "benchmark").unionByName(spark.createDataFrame(BENCH_MORE, "item_id long, text string"))
     items = [tuple(r) for r in bench.select("item_id", "text").collect()]
     for df in (odd, docs):
         texts = [tuple(r) for r in df.select("doc_id", "text").collect()]
-        got = decontaminate._verdicts(decontaminate.search(df, bench, block_bytes=block), ["doc_id"])
-        assert rows_of(got) == contamination(texts, items)
-    dirty = sum(x[-1] for x in contamination([tuple(r) for r in docs.select("doc_id", "text").collect()], items))
-    assert decontaminate.clean(docs, bench).count() == docs.count() - dirty
+        assert rows_of(decontaminate.report(df, bench)) == contamination(texts, items)
+
+
+def leaked(texts, items):
+    """Ids of texts that hold a window of 13 words of an item, or of which hits make a twentieth."""
+    full = [x for x in items if len(re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", lower(x[1]))) >= 13]
+    return {x[0] for x in contamination(texts, items) if x[-1]} | {x[0] for x in contamination(texts, full) if x[2]}
+
+
+def test_decontaminated_rows(spark, odd, docs):
+    bench = C.table(spark, SF, "benchmark")
+    items = [tuple(r) for r in bench.select("item_id", "text").collect()]
+    passage = " ".join(re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", lower(items[0][1]))[2:15])
+    short = " ".join(passage.split()[:12])
+    more = spark.createDataFrame([(9001, "word " * 2500 + passage + " word" * 2500, "en", "a", 1), (9002, "word " * 300 + short, "en", "a", 1), (9002, passage.upper(), "en", "a", 1)], DOCS)
+    df = docs.unionByName(more)
+    texts = [(r["doc_id"], r["text"]) for r in df.collect()]
+    gone = leaked(texts, items)
+    assert 9001 in gone
+    got = decontaminate.clean(df, bench)
+    assert got.columns == df.columns
+    want = [(d, t) for d, t in texts if d not in gone and t != passage.upper()] + [(9002, "word " * 300 + short)] * (9002 in gone)
+    assert collections.Counter((r["doc_id"], r["text"]) for r in got.collect()) == collections.Counter(want)
+    # a short item is a window, but goes by its share only
+    few = spark.createDataFrame(BENCH_MORE, "item_id long, text string")
+    left = collections.Counter(r["doc_id"] for r in decontaminate.clean(odd, few).collect())
+    assert left == collections.Counter(r[0] for r in ODD if r[0] not in leaked([x[:2] for x in ODD], BENCH_MORE))
 
 
 def test_proximity(spark):
     df = spark.createDataFrame([(1, "a x b y c"), (2, "a x x x b"), (3, None)], "doc_id long, text string")
-    got = rows_of(decontaminate.proximity(df, [("ab", "a b"), ("abc", "a b c")], 2))
-    assert got == [(1, "ab", 1)]
-    assert rows_of(decontaminate.proximity(df, [("ab", "a b"), ("abc", "a b c")], 4)) == [(1, "ab", 1), (1, "abc", 1), (2, "ab", 1)]
+    held = decontaminate.index(df)
+    asked = spark.createDataFrame([("ab", "A b"), ("abc", "a b, c a"), ("none", ""), ("gone", "a q")], "query string, text string")
+    assert rows_of(decontaminate.proximity(held, asked, 2)) == [(1, "ab", 1)]
+    assert rows_of(decontaminate.proximity(held, asked, 4)) == [(1, "ab", 1), (1, "abc", 1), (2, "ab", 1)]
+    # no match across the end of a document
+    two = decontaminate.index(spark.createDataFrame([(1, "a"), (2, "b")], "doc_id long, text string").coalesce(1))
+    assert rows_of(decontaminate.proximity(two, asked, 5)) == []
 
 
 def test_toxicity_and_quality_held_out(spark):
@@ -412,7 +443,7 @@ def test_pipeline_by_brute_force(spark):
     assert all(any((prints[i] ^ prints[k]).bit_count() <= 3 for k in prints if k != i) for i in prints if i not in kept)
     before, after = seen["decontamination"]
     items = [tuple(r) for r in C.table(spark, sf, "benchmark").collect()]
-    dirty = {x[0] for x in contamination([(r["doc_id"], r["text"]) for r in before.collect()], items) if x[-1]}
+    dirty = leaked([(r["doc_id"], r["text"]) for r in before.collect()], items)
     assert {r["doc_id"] for r in after.collect()} == {r["doc_id"] for r in before.collect()} - dirty
     before, after = seen["encoding"]
     assert {r["doc_id"]: r["decoded_sha256"] for r in after.collect()} == {r["doc_id"]: hashlib.sha256((r["text"] or "").encode()).hexdigest() for r in before.collect()}
