@@ -111,17 +111,17 @@ def test_licenses(odd, docs):
 
 def test_license_filters_lose_nothing():
     rng = np.random.default_rng(5)
-    vocab = sorted({w for _, t in licenses.TEMPLATES for w in C.alnum_words(t.encode())})
+    vocab = sorted({w for _, t, _ in licenses.TEMPLATES for w in C.alnum_words(t.encode())})
     counts = {w: int(k) for w, k in zip(vocab, rng.integers(0, 99, len(vocab)), strict=True)}
     index = licenses.TemplateIndex(licenses.TEMPLATES, 0.8, counts)
     for _ in range(400):
-        _, text = licenses.TEMPLATES[rng.integers(len(licenses.TEMPLATES))]
+        _, text, _ = licenses.TEMPLATES[rng.integers(len(licenses.TEMPLATES))]
         words = C.alnum_words(text.encode())
         block = {w for w in words if rng.random() < 0.85} | set(rng.choice(np.array(vocab, object), 5))
         want = {}
-        for k, (_, t) in enumerate(licenses.TEMPLATES):
+        for k, (_, t, naming) in enumerate(licenses.TEMPLATES):
             tokens = set(C.alnum_words(t.encode()))
-            if len(tokens & block) >= 0.8 * len(tokens) - 1e-9:
+            if set(C.alnum_words(naming.encode())) <= block and len(tokens & block) >= 0.8 * len(tokens) - 1e-9:
                 want[k] = len(tokens & block) / len(tokens)
         assert dict(index.matches(block)) == pytest.approx(want)
 
@@ -130,12 +130,12 @@ def test_licenses_across_lines(spark):
     long = ("own", " ".join(f"w{i}" for i in range(400)))
     templates = (*licenses.TEMPLATES, long)
     rows = []
-    for i, (_, t) in enumerate(templates):
+    for i, (_, t, *_) in enumerate(templates):
         rows.append((2 * i, "intro words\n\n" + textwrap.fill(t, 72) + "\nother words", "en", "a", 1))
         rows.append((2 * i + 1, "/*\n" + textwrap.indent(textwrap.fill(t, 30), " * REM ") + "\n */", "en", "a", 1))
     rows.append((-1, "The software is provided\nfree of charge\nto any person", "en", "a", 1))
     got = {r["doc_id"]: r for r in licenses.scan(spark.createDataFrame(rows, DOCS), templates).collect()}
-    for i, (label, t) in enumerate(templates):
+    for i, (label, t, *_) in enumerate(templates):
         n = len(C.alnum_words(t.encode()))
         for r in (got[2 * i], got[2 * i + 1]):
             assert label in r["labels"].split(",") and r["score"] == 1
@@ -145,6 +145,58 @@ def test_licenses_across_lines(spark):
     assert (got[-1]["labels"], got[-1]["score"], got[-1]["blocks"]) == ("", 0, "")
 
 
+def test_license_labels(spark):
+    notice = {label: t for label, t, _ in licenses.TEMPLATES if len(t) > 72}
+    said = {
+        "Licensed under CC BY 4.0.": "cc-by",
+        notice["cc-by"]: "cc-by",
+        notice["cc-by-sa"]: "cc-by-sa",
+        notice["cc-by"] + "\n" + notice["cc-by-sa"]: "cc-by,cc-by-sa",
+        "Licensed under CC BY-NC 4.0.": "cc-by,cc-by-nc",
+        "Today the new album was released under the record label license": "",
+        "Licensed under the License, Version 2.0": "",
+        textwrap.fill(notice["mit"], 80): "mit",
+        textwrap.fill(notice["bsd"], 80): "bsd",
+        textwrap.fill(notice["lgpl"] + ", either version 3 of the License, or (at your option) any later version.", 80): "lgpl",
+        notice["gpl"]: "gpl",
+        notice["isc"]: "isc",
+        "Released under the terms of the MIT license.": "mit",
+        "mit license " * 20_000: "mit",
+    }
+    df = spark.createDataFrame([(i, t, "en", "a", 1) for i, t in enumerate(said)], DOCS)
+    got = {r["doc_id"]: r["labels"] for r in licenses.scan(df).collect()}
+    assert got == dict(enumerate(said.values()))
+
+
+def runs_by_brute_force(raw, label, t, naming):
+    """Does any line (or a window of a long one) or any run of words meet the template's threshold and hold its naming words?"""
+    tokens, must = set(C.alnum_words(t.encode())), set(C.alnum_words(naming.encode()))
+    lines = [C.alnum_words(x) for x in raw.split(b"\n")]
+    words = C.alnum_words(raw)
+    width = licenses.RUN * len(C.alnum_words(t.encode()))
+    cut = [b for line in lines for _, b in licenses.blocks(line)] + [words[a : a + width] for a in range(len(words))]
+    return any(len(tokens & set(b)) >= 0.8 * len(tokens) - 1e-9 and must <= set(b) for b in cut)
+
+
+def test_license_labels_by_brute_force(spark, docs):
+    own = [t for t in licenses.TEMPLATES if t[0] in ("mit", "bsd", "isc", "apache", "mpl", "unlicense")]
+    rng = np.random.default_rng(7)
+    texts = []
+    for _ in range(120):
+        parts = []
+        for _ in range(int(rng.integers(1, 4))):
+            words = own[rng.integers(len(own))][1].split()
+            parts.append(" ".join(w if rng.random() < 0.9 else "other" for w in words))
+            parts.append("words between them " * int(rng.integers(0, 3)))
+        texts.append(textwrap.fill(" ".join(parts), int(rng.integers(20, 200))))
+    texts += [r["text"] for r in docs.select("text").collect() if len(r["text"]) < 1500]
+    df = spark.createDataFrame([(i, t, "en", "a", 1) for i, t in enumerate(texts)], DOCS)
+    for r in licenses.scan(df, own).collect():
+        raw = texts[r["doc_id"]].encode()
+        want = {label for label, t, naming in own if runs_by_brute_force(raw, label, t, naming)}
+        assert set(filter(None, r["labels"].split(","))) == want | set(filter(None, r["base_labels"].split(",")))
+
+
 def test_license_runs_lose_nothing():
     rng = np.random.default_rng(11)
     for _ in range(300):
