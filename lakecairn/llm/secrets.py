@@ -28,7 +28,7 @@ BASE = (
 MORE = (
     ("github", rb"gh[pousr]_[A-Za-z0-9]{36,}", 0, 40),
     ("slack", rb"xox[abeoprs]-[A-Za-z0-9-]{10,}", 0, 15),
-    ("jwt", rb"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 0, 28),
+    ("jwt", rb"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 0, 28),
     ("pem", rb"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----", 0, 1),
     ("login", rb"[a-z][a-z0-9+.-]{1,20}://[^\s/:@\"'<>]{1,64}:([^\s/@\"'<>]{3,128})@", 1, 3),
 )
@@ -54,6 +54,17 @@ def spans(raw: bytes) -> list[tuple[int, int, int, bytes]]:
     return sorted(out)
 
 
+def places(raw: bytes, offsets: list[int]) -> dict[int, int]:
+    """The code points before each byte offset, counted in one pass over the text."""
+    if raw.isascii():
+        return dict(zip(offsets, offsets, strict=True))
+    out, at, n = {}, 0, 0
+    for x in sorted(set(offsets)):
+        n += len(raw[at:x].translate(None, CONTINUED))
+        out[x], at = n, x
+    return out
+
+
 def _extractor() -> Callable[[list[bytes]], list[list]]:
     def texts_of(texts: list[bytes]) -> list[list]:
         rows = []
@@ -62,8 +73,8 @@ def _extractor() -> Callable[[list[bytes]], list[list]]:
             if not found:
                 rows.append((0, 0, 0, EMPTY, "", []))
                 continue
-            place = lambda at: len(raw[:at].translate(None, CONTINUED))  # noqa: E731, B023
-            said = [(i, f"{KINDS[i]}:{place(a)}:{place(b)}", value) for a, i, b, value in found]
+            place = places(raw, [x for a, _, b, _ in found for x in (a, b)])
+            said = [(i, f"{KINDS[i]}:{place[a]}:{place[b]}", value) for a, i, b, value in found]
             base = ",".join(s for i, s, _ in said if i < len(BASE))
             counts = [sum(i == k for i, *_ in said) for k in range(3)]
             rows.append((*counts, hashlib.sha256(base.encode()).hexdigest(), ",".join(s for _, s, _ in said), [hashlib.sha256(v).digest()[:16].hex() for *_, v in said]))
@@ -96,7 +107,7 @@ def ownership(found: DataFrame) -> DataFrame:
 def verdicts(found: DataFrame, row: str, copied_repos: int, copied_owners: int) -> DataFrame:
     """row, each: at, live, n_repos and n_owners of the row's spans, in their order."""
     live = (F.col("n_repos") < copied_repos) & (F.col("n_owners") < copied_owners)
-    each = found.select(row, F.posexplode("hashes").alias("at", "hash")).join(ownership(found), "hash")
+    each = found.select(row, F.posexplode("hashes").alias("at", "hash")).join(C.written(ownership(found), "owned"), "hash")
     return each.groupBy(row).agg(F.sort_array(F.collect_list(F.struct("at", live.alias("live"), "n_repos", "n_owners"))).alias("each"))
 
 
@@ -135,23 +146,22 @@ def redact(docs: DataFrame, *, copied_repos: int = COPIED_REPOS, copied_owners:
 
     The scanned rows are written once; only rows with a live value are joined with
     the verdicts, so the texts of all others are not shuffled. Rows and columns
-    stay; null and empty texts pass through.
+    stay, whatever the columns' names; null and empty texts pass through, repeated rows
+    stay alike, an empty table stays empty.
     """
-    names = docs.columns
-    fields = [C.string("__spans"), T.StructField("__hashes", T.ArrayType(T.StringType()))]
-    kept = docs.select(*[F.col(f"`{c}`") for c in names], F.col(f"`{text_col}`").cast("string").alias("text") if text_col != "text" else F.lit(None).alias("__none"))
-    scan_fn = _extractor
-    found = C.map_texts(kept, lambda: lambda texts: scan_fn()(texts)[4:], fields, tuple(names))
-    found = C.written(found.withColumn("__row", F.monotonically_increasing_id()), "secrets")
-    held = found.filter(F.size("__hashes") > 0)
-    values = held.select("__row", F.col("__hashes").alias("hashes"), F.col(f"`{repo_col}`").cast("string").alias("repo"), F.col(f"`{owner_col}`").cast("string").alias("owner"))
-    verdict = verdicts(values, "__row", copied_repos, copied_owners).select("__row", F.col("each.live").alias("__live"))
+    plain, name, back = C.shielded(docs)
+    names, text = plain.columns, name(text_col)
+    fields = [C.string("spans"), T.StructField("hashes", T.ArrayType(T.StringType()))]
+    found = C.map_texts(plain.withColumn("text", F.col(text).cast("string")), lambda: lambda texts: _extractor()(texts)[4:], fields, tuple(names))
+    found = C.written(found.withColumn("row", F.monotonically_increasing_id()), "secrets")
+    held = found.filter(F.size("hashes") > 0)
+    values = held.select("row", "hashes", F.col(name(repo_col)).cast("string").alias("repo"), F.col(name(owner_col)).cast("string").alias("owner"))
+    verdict = verdicts(values, "row", copied_repos, copied_owners).select("row", F.col("each.live").alias("live"))
     clean = F.udf(masked, T.StringType(), useArrow=True)
-    done = held.join(verdict, "__row", "left").withColumn(text_col, clean(F.col(f"`{text_col}`"), "__spans", "__live"))
-    if chars_col in names:
-        done = done.withColumn(chars_col, F.length(text_col).cast(docs.schema[chars_col].dataType))
-    rest = found.filter(F.size("__hashes") == 0)
-    return rest.select(*[F.col(f"`{c}`") for c in names]).unionByName(done.select(*[F.col(f"`{c}`") for c in names]))
+    done = held.join(verdict, "row", "left").withColumn(text, clean(F.col(text), "spans", "live"))
+    if chars_col in docs.columns:
+        done = done.withColumn(name(chars_col), F.length(text).cast(docs.schema[chars_col].dataType))
+    return back(found.filter(F.size("hashes") == 0).select(*names).unionByName(done.select(*names)))
 
 
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
