@@ -160,13 +160,17 @@ def links(distinct: DataFrame, distance: int = DISTANCE) -> DataFrame:
 
 
 def grouped(rows: DataFrame, *ids: str) -> DataFrame:
-    """fp, first: for each fingerprint of rows (ids, fp) the smallest ids of its component, as a struct."""
-    distinct = C.written(rows.groupBy("fp").agg(F.min(F.when(F.col(ids[0]).isNotNull(), F.struct(*ids))).alias("own")), "prints")
-    roots = components(links(distinct))
-    placed = distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "own", F.coalesce("root", "fp").alias("root"))
-    placed = C.written(placed, "placed")
-    first = placed.groupBy("root").agg(F.min(F.when(F.col("own").isNotNull(), F.col("own"))).alias("first"))
-    return placed.join(first, "root").select("fp", "first")
+    """fp, first: for each fingerprint of rows (ids, fp) the smallest ids of its component, as a struct.
+
+    Written, so that a join with it by a fingerprint that very many rows share is split at run time.
+    """
+    with C.only_result() as keep:
+        distinct = C.written(rows.groupBy("fp").agg(F.min(F.when(F.col(ids[0]).isNotNull(), F.struct(*ids))).alias("first")), "prints")
+        roots = C.written(components(links(distinct)), "roots")
+        linked_ = C.written(distinct.join(roots, F.col("fp") == F.col("node")).select("fp", "root", "first"), "linked")
+        least = C.written(linked_.groupBy("root").agg(F.min("first").alias("least")), "least")
+        alone = distinct.join(roots, F.col("fp") == F.col("node"), "left_anti").select("fp", "first")
+        return keep(C.written(alone.unionByName(linked_.join(least, "root").select("fp", F.col("least").alias("first"))), "groups"))
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -182,14 +186,17 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
 
 def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one row of each component: that of the smallest id (null ids last), of equal ids any one. Columns stay."""
-    names = docs.columns
-    kept = docs.select(*[F.col(f"`{c}`") for c in names], *([F.col(f"`{text_col}`").alias("text")] if "text" not in names else []))
-    found = fingerprints(kept, tuple(names), "__fp").withColumn("__row", F.monotonically_increasing_id())
+    """docs with one row of each component: that of the smallest id (null ids last), of equal ids the first as the rows were written.
+
+    Columns stay, whatever their names. Null and empty texts have fingerprint zero and link
+    like any other; an empty table stays empty.
+    """
+    plain, name, back = C.shielded(docs)
+    found = fingerprints(plain.withColumn("text", F.col(name(text_col)).cast("string")), tuple(plain.columns)).withColumn("row", F.monotonically_increasing_id())
     found = C.written(found, "prints")
-    rows = found.select(F.coalesce(F.col(f"`{id_col}`").isNull(), F.lit(True)).cast("int").alias("none"), F.col(f"`{id_col}`").alias("id"), F.col("__row").alias("row"), F.col("__fp").alias("fp"))
-    firsts = grouped(rows, "none", "id", "row").select(F.col("first.row").alias("__row")).distinct()
-    return found.join(firsts, "__row", "left_semi").select(*[F.col(f"`{c}`") for c in names])
+    rows = found.select(F.col(name(id_col)).isNull().cast("int").alias("none"), F.col(name(id_col)).alias("id"), "row", "fp")
+    firsts = grouped(rows, "none", "id", "row").select(F.col("first.row").alias("row")).distinct()
+    return back(found.join(firsts, "row", "left_semi"))
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
