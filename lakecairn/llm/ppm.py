@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
@@ -265,6 +265,8 @@ def _scorer(n_all: int, distinct: int, ends: int, id_type: pa.DataType) -> Calla
 NAMES = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
 #: Rows of an Arrow batch that a task hands on.
 ROWS = 50_000
+#: Partitions for each chunk when chunks get back their code lengths.
+SPREAD = 3
 
 
 def score(docs: DataFrame, learn: Column, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -288,14 +290,16 @@ def score(docs: DataFrame, learn: Column, *, id_col: str = "doc_id", text_col: s
     suffix = F.shiftright("gram", 8).bitwiseAND(F.lit(0xFFFF))
     bits = totals.groupBy(suffix.alias("suffix")).applyInArrow(build, "gram long, value double")
     of_grams = grams_.select("chunk", "gram").join(bits, "gram").select("chunk", "gram", F.lit(None).cast("binary").alias("token"), F.col("value"))
-    same = Window.partitionBy("token")
-    tokens = packed.filter("token is not null").select("chunk", "token", F.sum("n").over(same).alias("total"), (F.min("chunk").over(same) == F.col("chunk")).alias("first"))
-    tokens = C.written(tokens, "tokens")
-    seen = tokens.filter("first and total > 0").agg(F.coalesce(F.sum("total"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
-    ends = packed.filter("texts is not null").agg(F.coalesce(F.sum(F.size(F.filter("learn", lambda x: x))), F.lit(0)).alias("n")).first()["n"]
-    of_tokens = tokens.select("chunk", F.lit(None).cast("long").alias("gram"), "token", F.col("total").cast("double").alias("value"))
-    back = of_grams.unionByName(of_tokens)
-    texts = packed.filter("texts is not null").select(F.col("chunk").alias("own"), "ids", "learn", "sizes", "texts")
+    words = packed.filter("token is not null")
+    tokens = C.written(words.groupBy("token").agg(F.sum("n").alias("total")), "tokens")
+    seen = tokens.filter("total > 0").agg(F.coalesce(F.sum("total"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
+    whole = packed.filter("texts is not null").agg(F.coalesce(F.sum(F.size(F.filter("learn", lambda x: x))), F.lit(0)).alias("ends"), F.count("*").alias("chunks")).first()
+    ends = whole["ends"]
+    of_tokens = words.select("chunk", "token").join(tokens, "token").select("chunk", F.lit(None).cast("long").alias("gram"), "token", F.col("total").cast("double").alias("value"))
+    # Partitions follow the count of chunks, so that few chunks meet in a task however many there are.
+    parts = max(SPREAD * whole["chunks"], int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    back = of_grams.unionByName(of_tokens).repartition(parts, "chunk")
+    texts = packed.filter("texts is not null").select(F.col("chunk").alias("own"), "ids", "learn", "sizes", "texts").repartition(parts, "own")
     out = T.StructType([T.StructField("doc_id", kind), C.flag("held_out"), C.long("n_tokens"), C.long("n_known"), C.long("train_tokens"), C.double("base_score"), C.double("score")])
     scorer = _scorer(seen["n"] + ends, seen["v"] + (ends > 0), ends, to_arrow_type(kind))
     return texts.groupBy("own").cogroup(back.groupBy("chunk")).applyInArrow(scorer, out)
