@@ -2,7 +2,9 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as
 Parquet in the shared folder and read again as the next stage's docs. All but the last
-return the columns of ``documents``.
+return the columns of ``documents``. Null and empty texts pass every stage (as far as
+they are not copies of one another), repeated rows share their fate but for the one that
+near copies leave, an empty table passes as one, and further columns may have any name.
 """
 
 from __future__ import annotations
@@ -10,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from lakecairn.llm import bpe, decontaminate, secrets, simhash, toxicity
-from lakecairn.llm.common import table, written
+from lakecairn.llm.common import drop_written, only_result, table, written
 
 #: Stages judge by learned models, fingerprints and token ids, which SQL cannot express; brute-force versions test them.
 ORACLE_SQL = None
@@ -18,9 +20,7 @@ ORACLE_SQL = None
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that the compression-distance model, fitted on the labelled rows of docs, doesn't take for toxic."""
-    names = tuple(docs.columns)
-    model = toxicity.trained(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model, keep=names).filter("predicted = 0").select(*names)
+    return toxicity.clean(docs, toxicity.trained(docs, table(spark, sf_dir, "labels")))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,7 +29,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows of which less than a twentieth of the words stand in benchmark windows."""
+    """Rows without a full benchmark window and with less than a twentieth of their words in windows of short items."""
     return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
@@ -54,8 +54,10 @@ STAGES = [
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = written(docs, f"stage{k}")
-    return docs
+    for k, (name, stage) in enumerate(STAGES[:-1]):
+        with only_result() as keep:
+            out = keep(written(stage(spark, docs, sf_dir), name.replace(" ", "-")))
+        if k:  # what the stage has read, a table of its predecessor
+            drop_written(docs)
+        docs = out
+    return STAGES[-1][1](spark, docs, sf_dir)
