@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import bz2
+import contextlib
 import lzma
 import zlib
 from collections.abc import Callable, Sequence
@@ -12,6 +13,8 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 
+from . import filters
+
 
 @dataclass(frozen=True)
 class Codec:
@@ -26,6 +29,15 @@ def _arrow(name: str) -> tuple[Callable[[bytes], bytes], Callable[[bytes, int],
     return (lambda raw: codec.compress(raw, asbytes=True)), (lambda raw, n: codec.decompress(raw, n, asbytes=True) if n else b"")
 
 
+def _sized(raw: bytes, compress: Callable[[bytes], bytes]) -> bytes:
+    """The length before the compressed form."""
+    return len(raw).to_bytes(4, "little") + compress(raw)
+
+
+def _plain(raw: bytes, decompress_: Callable[[bytes, int], bytes]) -> bytes:
+    return decompress_(raw[4:], int.from_bytes(raw[:4], "little"))
+
+
 def byte_shuffle(raw: bytes, width: int = 4) -> bytes:
     """First bytes of all elements, then second bytes, and so on; a rest shorter than an element stays at the end."""
     cut = len(raw) - len(raw) % width
@@ -65,12 +77,19 @@ def _registry() -> dict[str, Codec]:
         Codec(0x04, "brotli", brotli, brotli_back),
         Codec(0x05, "deflate", lambda raw: zlib.compress(raw, 6), lambda raw, n: zlib.decompress(raw)),
         Codec(0x06, "snappy", snappy, snappy_back),
+        Codec(0x07, "flac", lambda raw: filters.best_prediction(raw, (0, 1, 2, 3), (1, 2), "<u2"), lambda raw, n: filters.unpredicted(raw, n, "<u2")),
+        Codec(0x08, "ricepp", lambda raw: filters.best_prediction(raw, (0, 1), (1,), ">u2"), lambda raw, n: filters.unpredicted(raw, n, ">u2")),
+        Codec(0x09, "fsst+brotli", lambda raw: _sized(filters.with_symbols(raw), brotli), lambda raw, n: filters.without_symbols(_plain(raw, brotli_back))),
         Codec(0x0A, "shuffle+lz4", lambda raw: lz4(byte_shuffle(raw)), lambda raw, n: byte_unshuffle(lz4_back(raw, n))),
         Codec(0x0E, "shuffle+zstd", lambda raw: zstd(byte_shuffle(raw)), lambda raw, n: byte_unshuffle(zstd_back(raw, n))),
         Codec(0x0F, "bitshuffle+lz4", lambda raw: lz4(bit_shuffle(raw)), lambda raw, n: bit_unshuffle(lz4_back(raw, n))),
         Codec(0x10, "bzip2", bz2.compress, lambda raw, n: bz2.decompress(raw)),
         Codec(0x13, "lz4-hc", lz4, lz4_back),
         Codec(0x14, "libdeflate", lambda raw: zlib.compress(raw, 9), lambda raw, n: zlib.decompress(raw)),
+        Codec(0x20, "bcj-x86+lz4", lambda raw: lz4(filters.x86_branches(raw)), lambda raw, n: filters.x86_branches(lz4_back(raw, n), back=True)),
+        Codec(0x21, "bcj-x86+zstd", lambda raw: zstd(filters.x86_branches(raw)), lambda raw, n: filters.x86_branches(zstd_back(raw, n), back=True)),
+        Codec(0x23, "bcj-arm64+lz4", lambda raw: lz4(filters.arm64_branches(raw)), lambda raw, n: filters.arm64_branches(lz4_back(raw, n), back=True)),
+        Codec(0x24, "bcj-arm64+zstd", lambda raw: zstd(filters.arm64_branches(raw)), lambda raw, n: filters.arm64_branches(zstd_back(raw, n), back=True)),
     )
     assert len({c.id for c in found}) == len(found), "duplicate codec id"
     return {c.name: c for c in found}
@@ -121,3 +140,35 @@ def choose(raw: bytes, kind: str, rules: Tournament) -> tuple[int, bytes]:
         if len(encoded) < len(raw) and rules.stop_permille and len(encoded) * 1000 // len(raw) <= rules.stop_permille:
             break
     return best
+
+
+#: Codecs of special formats by the beginning of their category.
+SPECIAL = (("exec:x86", "bcj-x86+zstd"), ("exec:arm64", "bcj-arm64+zstd"), ("exec:aarch64", "bcj-arm64+zstd"), ("fits:", "ricepp"), ("pcm:", "flac"), ("tabular", "fsst+brotli"))
+#: Shares of the plain length from which on a second general codec and the category's own are tried.
+SECOND_ABOVE, SPECIAL_ABOVE = 0.05, 0.15
+
+
+def special_codec(category: str | None) -> str | None:
+    return next((codec for start, codec in SPECIAL if category and category.startswith(start)), None)
+
+
+def choose_whole(raw: bytes, special: str | None) -> tuple[int, bytes]:
+    """(codec id, encoded) of a whole file: brotli, zstd unless that is small already, the category's own where both did poorly.
+
+    ricepp is tried in any case. A codec that fails on the content is passed over; content is never stored larger than it is.
+    """
+    best = (0, raw)
+
+    def attempt(name: str) -> None:
+        nonlocal best
+        with contextlib.suppress(Exception):
+            encoded = CODECS[name].compress(raw)
+            if len(encoded) < len(best[1]):
+                best = (CODECS[name].id, encoded)
+
+    attempt("brotli")
+    if len(best[1]) > SECOND_ABOVE * len(raw):
+        attempt("zstd")
+    if special and (special == "ricepp" or len(best[1]) > SPECIAL_ABOVE * len(raw)):
+        attempt(special)
+    return best

@@ -163,18 +163,32 @@ def pcm_header(raw: bytes) -> dict[str, int | str] | None:
     return None
 
 
+def special_category(raw: bytes) -> str | None:
+    """The first special format that claims the content: ``exec:<arch>``, ``fits:<bitpix>``, ``pcm:<rate>/<channels>/<bits>``."""
+    if arch := executable_arch(raw):
+        return f"exec:{arch}"
+    if fits := fits_header(raw):
+        return f"fits:{fits['bitpix']}"
+    if pcm := pcm_header(raw):
+        return f"pcm:{pcm['rate']}/{pcm['channels']}/{pcm['bits']}"
+    return None
+
+
+def is_tabular(path: str, raw: bytes) -> bool:
+    """looks_tabular for a task's own bytes."""
+    sample = raw[:SAMPLE]
+    marks = len(sample) - len(sample.translate(None, b',"{}[]'))
+    printable = len(sample) - len(sample.translate(None, bytes([9, 10, 13, *range(0x20, 0x7F)])))
+    name, dot, extension = path.rpartition(".")
+    return bool(dot) and extension.lower() in CSV_EXTENSIONS and len(sample) > 0 and printable >= 0.95 * len(sample) and marks > 0.01 * len(sample)
+
+
+def file_category(path: str, raw: bytes) -> str | None:
+    """The special format of a file, or ``tabular``, or none."""
+    return special_category(raw) or ("tabular" if is_tabular(path, raw) else None)
+
+
 @F.pandas_udf(T.StringType())
 def categorize(path: pd.Series, content: pd.Series) -> pd.Series:
-    """The first special format that claims the file: ``exec:<arch>``, ``fits:<bitpix>``, ``pcm:<rate>/<channels>/<bits>``, or null."""
-
-    def one(raw: bytes | None) -> str | None:
-        raw = raw or b""
-        if arch := executable_arch(raw):
-            return f"exec:{arch}"
-        if fits := fits_header(raw):
-            return f"fits:{fits['bitpix']}"
-        if pcm := pcm_header(raw):
-            return f"pcm:{pcm['rate']}/{pcm['channels']}/{pcm['bits']}"
-        return None
-
-    return content.map(one)
+    """special_category of each file, or null."""
+    return content.map(lambda raw: special_category(raw or b""))

@@ -1,8 +1,9 @@
 """A dataset image: a directory tree stored as files, slices and drops in versions.
 
 Files of at most the profile's inline threshold keep their content in the files table;
-larger ones are chunked, deduplicated, classified, encoded and packed into slabs. Each
-commit publishes a whole new version by one pointer swap.
+larger ones are chunked, deduplicated, classified, encoded and packed into slabs. A
+version is its own files and slices and a list of folders of drops, most of them written
+by earlier commits; it is published by adding one pointer.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from .functions.hashing import digest
 from .operators import changes, chunking, dedup, reports, storage, tree
 from .plans.config import Profile, select
 from .sources import files as S
+from .sources.scratch import only_result, written
 from .streaming.store import Versions
 
 
@@ -31,23 +33,29 @@ class Image(Versions):
     def build(self, files: DataFrame, profile: Profile | str = "balanced", op: str = "build", *, base: Image | None = None) -> int:
         """Publishes files (path, mtime_ns, content). With a base, drops that it has are not stored again."""
         profile = select(profile) if isinstance(profile, str) else profile
-        plain = tree.numbering(S.with_attributes(files.select("path", "mtime_ns", F.coalesce("content", F.lit(b"")).alias("content")))).withColumnRenamed("inode", "file_id")
-        inline = F.col("size") <= profile.inline_threshold
-
-        def write(root: str) -> None:
-            table = plain.select("file_id", "path", "parent", "name", "kind", "mode", "size", "mtime_ns", digest(F.col("content")).alias("content_id"), F.when(inline, F.col("content")).alias("content"))
-            table.write.parquet(f"{root}/files")
-            cut = chunking.chunks(plain.filter(~inline), profile.sizes, whole=profile.whole_files)
-            chunking.slices(cut).write.parquet(f"{root}/slices")
-            fresh = chunking.unique_drops(cut)
-            if base:
-                fresh = storage.layer(fresh, base.drops())
-            encoded = storage.encoded(storage.classified(fresh), profile.tournament())
-            drops = storage.pack(encoded).withColumn("dict_id", F.lit(None).cast("int"))
-            storage.write({"drops": drops.select("drop_id", "plain_len", "class", "codec", "enc_len", "slab", "offset", "dict_id", "payload")}, root)
+
+        def write(root: str) -> dict:
+            plain = tree.numbering(_attributed(files)).withColumnRenamed("inode", "file_id")
+            _rows(plain, profile).write.parquet(f"{root}/files")
+            self._store(plain, profile, root, base=base.drops() if base else None)
+            return self._entry(root, [f"{root}/drops"], [f"{root}/dictionaries"])
 
         return self.publish(write, op, params=profile.name)
 
+    def _store(self, plain: DataFrame, profile: Profile, root: str, *, base: DataFrame | None = None, first_slab: int = 0) -> None:
+        """Slices, drops and dictionaries of the files above the inline threshold, written below root."""
+        large = plain.filter(F.col("size") > profile.inline_threshold)
+        dictionaries = (profile.max_dict_size, profile.min_class_size) if profile.dictionaries else None
+        with only_result():
+            made = storage.build(large, profile.sizes, profile.tournament(), whole=profile.whole_files, dictionaries=dictionaries, special=not profile.whole_files, base=base)
+            made["drops"] = made["drops"].withColumn("slab", F.col("slab") + first_slab)
+            storage.write(made, root)
+
+    def _entry(self, root: str, drops: list[str], dictionaries: list[str]) -> dict:
+        """What the history keeps of a version: the folders of its drops and dictionaries, and its root hash."""
+        read = self.spark.read.parquet
+        return {"drops": drops, "dictionaries": dictionaries, "root": _root(read(f"{root}/files"), read(f"{root}/slices"), read(*drops))}
+
     # Tables
 
     def files(self) -> DataFrame:
@@ -57,7 +65,10 @@ class Image(Versions):
         return self.spark.read.parquet(f"{self.place()}/slices")
 
     def drops(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.place()}/drops")
+        return self.spark.read.parquet(*self.entry()["drops"])
+
+    def dictionaries(self) -> DataFrame:
+        return self.spark.read.parquet(*self.entry()["dictionaries"])
 
     def edges(self) -> DataFrame:
         return S.edges(self.files().select("path"))
@@ -68,8 +79,9 @@ class Image(Versions):
         """path, mtime_ns, content of the files (all of them, or some rows of files())."""
         files = self.files() if files is None else files
         drops = self.drops() if base is None else self.drops().unionByName(base.drops())
+        dictionaries = self.dictionaries() if base is None else self.dictionaries().unionByName(base.dictionaries())
         large = files.filter("content is null").select("file_id", "path", "mtime_ns")
-        read = storage.read_files(self.slices().join(large.select("file_id"), "file_id", "left_semi"), drops)
+        read = storage.read_files(self.slices().join(large.select("file_id"), "file_id", "left_semi"), drops, dictionaries=dictionaries)
         return files.filter("content is not null").select("path", "mtime_ns", "content").unionByName(large.join(read, "file_id").select("path", "mtime_ns", "content"))
 
     def ls(self, path: str = "/") -> DataFrame:
@@ -104,7 +116,7 @@ class Image(Versions):
             return self.contents(files).select("path", P.byte_range(F.col("content"), F.lit(offset), F.lit(None)).alias("content"))
         small = files.filter("content is not null").select("path", P.byte_range(F.col("content"), F.lit(offset), F.lit(length)).alias("content"))
         large = files.filter("content is null").select("file_id", "path")
-        part = storage.read_range(self.slices().join(large.select("file_id"), "file_id", "left_semi"), self.drops(), offset, length)
+        part = storage.read_range(self.slices().join(large.select("file_id"), "file_id", "left_semi"), self.drops(), offset, length, dictionaries=self.dictionaries())
         return small.unionByName(large.join(part, "file_id", "left").select("path", F.coalesce("content", F.lit(b"")).alias("content")))
 
     def extract(self, target: str) -> int:
@@ -132,8 +144,15 @@ class Image(Versions):
     def inspect(self) -> DataFrame:
         return reports.inspect(self.drops())
 
+    def summary(self) -> DataFrame:
+        """One row: n_files, n_dirs, n_drops, n_slabs, stored, plain, ratio."""
+        totals = self.drops().agg(F.coalesce(F.sum("enc_len"), F.lit(0)).alias("stored"), F.coalesce(F.sum("plain_len"), F.lit(0)).alias("plain"))
+        one = F.lit(1).alias("k")
+        return self.counters().select(one, "*").join(totals.select(one, "*"), "k").drop("k").withColumn("ratio", P.ratio(F.col("stored"), F.col("plain")))
+
     def slab(self) -> DataFrame:
-        return reports.slab_totals(self.drops())
+        """A row for each drop, for each slab and for the whole."""
+        return reports.slab_drops(self.drops())
 
     def gc(self) -> DataFrame:
         return reports.gc(self.drops(), self.slices())
@@ -157,26 +176,21 @@ class Image(Versions):
     def check(self) -> DataFrame:
         """checked, passed, failed over drops and inline contents."""
         inline = self.files().filter("content is not null").select((digest(F.col("content")) == F.col("content_id")).alias("ok"))
-        drops = self.drops().select((digest(storage.decode(F.col("payload"), F.col("codec"), F.col("plain_len"))) == F.col("drop_id")).alias("ok"))
+        drops = storage.plain(self.drops(), self.dictionaries()).select((digest(F.col("chunk")) == F.col("drop_id")).alias("ok"))
         both = inline.unionByName(drops)
         return both.agg(F.count("*").alias("checked"), F.coalesce(F.sum(F.col("ok").cast("long")), F.lit(0)).alias("passed"), F.coalesce(F.sum((~F.col("ok")).cast("long")), F.lit(0)).alias("failed"))
 
     def root_id(self) -> str:
-        """The hash that covers files, slices and drops."""
-        f, s, d = self.files(), self.slices(), self.drops()
-        sections = [
-            ("files", f, F.concat_ws("|", "path", "kind", F.col("mode").cast("string"), F.col("mtime_ns").cast("string"), "content_id")),
-            ("slices", s, F.concat_ws("|", *[F.col(c).cast("string") for c in ("file_id", "seq", "file_start", "file_end", "drop_id")])),
-            ("drops", d, F.concat_ws("|", "drop_id", F.col("codec").cast("string"), F.col("slab").cast("string"), digest(F.col("payload")))),
-        ]
-        return storage.root_hash(sections).first()["root"]
+        """The hash that covers files, slices and drops as they are now; contents are covered by their ids."""
+        return _root(self.files(), self.slices(), self.drops())
 
     def verify(self) -> DataFrame:
-        """rule, n of the structural rules; all zero for a sound image."""
+        """rule, n of the structural rules and of the root hash, which is computed anew; all zero for a sound image."""
         gaps = self.slices().groupBy("file_id").agg(F.sum("drop_len").alias("sum"), F.max("file_end").alias("end"), F.min("file_start").alias("start"))
         broken = gaps.filter("sum <> end or start <> 0").agg(F.count("*").alias("n")).select(F.lit("slice_gap").alias("rule"), "n")
         lost = self.slices().join(self.drops().select("drop_id"), "drop_id", "left_anti").agg(F.count("*").alias("n")).select(F.lit("missing_drop").alias("rule"), "n")
-        return tree.violations(self.edges(), self.files()).unionByName(broken).unionByName(lost)
+        changed = self.spark.createDataFrame([("root", int(self.root_id() != self.entry()["root"]))], "rule string, n long")
+        return tree.violations(self.edges(), self.files()).unionByName(broken).unionByName(lost).unionByName(changed)
 
     # Changes
 
@@ -190,13 +204,115 @@ class Image(Versions):
         return changes.tree_diff(nodes(self), nodes(other), F.col("c"))
 
     def change(self, ops: Iterable[tuple[str, str, bytes | None]], profile: Profile | str = "balanced-rw") -> int:
-        """add, update and delete of paths as one commit; an update or delete of an unknown path is refused."""
+        """add, update and delete of paths as one commit; an update or delete of an unknown path is refused.
+
+        Only the contents that the commit brings are cut, and only drops that are new are
+        stored, in a folder of their own; the drops of earlier commits stay where they are.
+        """
         rows = [(i, op, path, bytearray(raw or b"")) for i, (op, path, raw) in enumerate(ops)]
         log = self.spark.createDataFrame(rows, "t int, op string, path string, content binary").withColumn("path", P.normalise(F.col("path"))).withColumn("mtime_ns", F.lit(0).cast("long"))
-        now = self.contents()
-        if bad := changes.refused(now.select("path"), log, "path", "t").select("op", "path").head(1):
+        if bad := changes.refused(self.files().select("path"), log, "path", "t").select("op", "path").head(1):
             raise ImageError(f"{bad[0]['op']}: no {bad[0]['path']}")
-        return self.build(changes.fold(now, log, "path", "t"), profile, "commit")
+        last = changes.last_changes(log, "path", "t")
+        return self.merge(last.filter("op <> 'delete'").select("path", "mtime_ns", "content"), last.select("path"), profile)
+
+    def merge(self, brought: DataFrame, gone: DataFrame, profile: Profile | str = "balanced-rw", op: str = "commit") -> int:
+        """A version without the paths of gone (those brought among them) and with the files brought (path, mtime_ns, content)."""
+        profile = select(profile) if isinstance(profile, str) else profile
+        now = self.entry()
+        files, slices, drops = self.files(), self.slices(), self.drops()
+        ids = files.agg(F.coalesce(F.max("file_id"), F.lit(0)).alias("n")).first()["n"]
+        slabs = drops.agg(F.coalesce(F.max("slab"), F.lit(-1)).alias("n")).first()["n"] + 1
+
+        def write(root: str) -> dict:
+            plain = tree.numbering(_attributed(brought)).withColumn("file_id", F.col("inode") + ids).drop("inode")
+            left = files.join(gone.unionByName(brought.select("path")), "path", "left_anti").select(*files.columns)
+            left.unionByName(_rows(plain, profile)).write.parquet(f"{root}/files")
+            self._store(plain, profile, f"{root}/new", base=drops, first_slab=slabs)
+            kept = slices.join(left.select("file_id"), "file_id", "left_semi").select(*slices.columns)
+            kept.unionByName(self.spark.read.parquet(f"{root}/new/slices")).write.parquet(f"{root}/slices")
+            return self._entry(root, [*now["drops"], f"{root}/new/drops"], [*now["dictionaries"], f"{root}/new/dictionaries"])
+
+        return self.publish(write, op, params=profile.name)
+
+    def delta(self, other: Image, root: str) -> Image:
+        """What leads from this image to the other, as an image at root: removed paths, changed files and the drops that this one lacks.
+
+        Nothing is decoded. Its entry names the root hash that it applies to.
+        """
+        out = Image(self.spark, root)
+        own, theirs = self.files().select("path", "content_id", "mode"), other.files()
+        same = theirs.join(own, ["path", "content_id", "mode"], "left_semi")
+        changed = theirs.join(same.select("path"), "path", "left_anti").select(*theirs.columns)
+        removed = own.select("path").join(theirs.select("path"), "path", "left_anti")
+
+        def write(at: str) -> dict:
+            changed.write.parquet(f"{at}/files")
+            removed.write.parquet(f"{at}/removed")
+            slices = other.slices().join(changed.select("file_id"), "file_id", "left_semi").select(*other.slices().columns)
+            slices.write.parquet(f"{at}/slices")
+            new = storage.layer(storage.referenced(other.drops(), slices), self.drops())
+            storage.write({"drops": new, "dictionaries": other.dictionaries()}, at)
+            return {**self._entry(at, [f"{at}/drops"], [f"{at}/dictionaries"]), "base": self.entry()["root"]}
+
+        out.publish(write, "delta")
+        return out
+
+    def apply(self, delta: Image) -> int:
+        """The version that a delta leads to; a delta of another state is refused. Drops are copied as they are."""
+        said = delta.entry()
+        if said.get("base") != self.entry()["root"]:
+            raise ImageError("the delta applies to another state")
+        now = self.entry()
+        files, slices, drops = self.files(), self.slices(), self.drops()
+        ids = files.agg(F.coalesce(F.max("file_id"), F.lit(0)).alias("n")).first()["n"]
+        slabs = drops.agg(F.coalesce(F.max("slab"), F.lit(-1)).alias("n")).first()["n"] + 1
+        brought, removed = delta.files(), self.spark.read.parquet(f"{said['path']}/removed")
+
+        def write(root: str) -> dict:
+            left = files.join(removed.unionByName(brought.select("path")), "path", "left_anti").select(*files.columns)
+            left.unionByName(brought.withColumn("file_id", F.col("file_id") + ids + 1)).write.parquet(f"{root}/files")
+            kept = slices.join(left.select("file_id"), "file_id", "left_semi").select(*slices.columns)
+            kept.unionByName(delta.slices().withColumn("file_id", F.col("file_id") + ids + 1)).write.parquet(f"{root}/slices")
+            storage.write({"drops": delta.drops().withColumn("slab", F.col("slab") + slabs), "dictionaries": delta.dictionaries()}, root)
+            return self._entry(root, [*now["drops"], f"{root}/drops"], [*now["dictionaries"], f"{root}/dictionaries"])
+
+        return self.publish(write, "apply")
+
+    @staticmethod
+    def flatten(layers: list[Image], root: str) -> Image:
+        """One image of several, of each path the file of the last layer that has it; drops are copied once, without decoding."""
+        out = Image(layers[0].spark, root)
+
+        def numbered(tables: list[DataFrame]) -> DataFrame:
+            every = None
+            for k, df in enumerate(tables):
+                one = df.withColumn("layer", F.lit(k))
+                every = one if every is None else every.unionByName(one)
+            return every
+
+        every = numbered([x.files() for x in layers])
+        top = changes.overlay(every, "path", "layer")
+
+        def write(at: str) -> dict:
+            with only_result():
+                order = tree.numbering(top.select("path", "layer", "file_id")).withColumnRenamed("file_id", "old")
+                order = written(order.select("path", "layer", "old", F.col("inode").alias("file_id")), "order")
+                columns = [c for c in every.columns if c != "layer"]
+                rows = top.drop("file_id").join(order.select("path", "file_id"), "path")
+                rows.select(*columns).write.parquet(f"{at}/files")
+                slices = numbered([x.slices() for x in layers]).withColumnRenamed("file_id", "old").join(order.select("layer", "old", "file_id"), ["layer", "old"])
+                slices.select(*layers[0].slices().columns).write.parquet(f"{at}/slices")
+                drops = numbered([x.drops() for x in layers])
+                first = drops.groupBy("drop_id").agg(F.min("layer").alias("layer"))
+                need = drops.join(first, ["drop_id", "layer"], "left_semi").drop("layer")
+                need = written(storage.referenced(need, out.spark.read.parquet(f"{at}/slices")).drop("slab", "offset"), "flat")
+                dictionaries = numbered([x.dictionaries() for x in layers]).drop("layer").dropDuplicates(["dict_id"])
+                storage.write({"drops": storage.packed(need).select(*layers[0].drops().columns), "dictionaries": dictionaries}, at)
+            return out._entry(at, [f"{at}/drops"], [f"{at}/dictionaries"])
+
+        out.publish(write, "flatten")
+        return out
 
     def turnover(self, profile: Profile | str) -> int:
         """Everything encoded anew with another profile."""
@@ -204,11 +320,31 @@ class Image(Versions):
 
     def compact(self) -> int:
         """Referenced drops copied into full slabs without decoding; files and slices as they are."""
-        files, slices, drops = self.files(), self.slices(), self.drops()
+        files, slices, drops, dictionaries = self.files(), self.slices(), self.drops(), self.dictionaries()
 
-        def write(root: str) -> None:
+        def write(root: str) -> dict:
             files.write.parquet(f"{root}/files")
             slices.write.parquet(f"{root}/slices")
-            storage.write({"drops": storage.compact(drops, slices).select(*drops.columns)}, root)
+            storage.write({"drops": storage.compact(drops, slices).select(*drops.columns), "dictionaries": dictionaries.dropDuplicates(["dict_id"])}, root)
+            return self._entry(root, [f"{root}/drops"], [f"{root}/dictionaries"])
 
         return self.publish(write, "compact")
+
+
+def _attributed(files: DataFrame) -> DataFrame:
+    return S.with_attributes(files.select("path", "mtime_ns", F.coalesce("content", F.lit(b"")).alias("content")))
+
+
+def _rows(plain: DataFrame, profile: Profile) -> DataFrame:
+    """The files table: contents up to the inline threshold stay in it."""
+    inline = F.when(F.col("size") <= profile.inline_threshold, F.col("content"))
+    return plain.select("file_id", "path", "parent", "name", "kind", "mode", "size", "mtime_ns", digest(F.col("content")).alias("content_id"), inline.alias("content"))
+
+
+def _root(files: DataFrame, slices: DataFrame, drops: DataFrame) -> str:
+    sections = [
+        ("files", files, F.concat_ws("|", "path", "kind", F.col("mode").cast("string"), F.col("mtime_ns").cast("string"), "content_id")),
+        ("slices", slices, F.concat_ws("|", *[F.col(c).cast("string") for c in ("file_id", "seq", "file_start", "file_end", "drop_id")])),
+        ("drops", drops, F.concat_ws("|", "drop_id", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("codec", "plain_len", "enc_len", "slab", "offset", "dict_id")])),
+    ]
+    return storage.root_hash(sections).first()["root"]

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -86,14 +88,48 @@ def epoch_id(parent: Column, sequence: Column, ops_hash: Column) -> Column:
     return digest(F.concat_ws("|", parent, sequence.cast("string"), ops_hash))
 
 
+def chained(ops: DataFrame, chain: str, *order: str, ops_hash: str = "ops_hash") -> DataFrame:
+    """chain, sequence (from 1), parent_id ("0" first), ops_hash, epoch_id for the operations of each chain in order.
+
+    Every id covers the one before, so a chain is a walk; it keeps one id, however long it is.
+    """
+    kind = ops.schema[chain].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, sequence, parent = None, 0, "0"
+        for batch in batches:
+            keys, hashes = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            numbers, parents, ids = [], [], []
+            for key, own in zip(keys, hashes, strict=True):
+                if sequence == 0 or key != now:
+                    now, sequence, parent = key, 0, "0"
+                sequence += 1
+                made = hashlib.sha256(f"{parent}|{sequence}|{own}".encode()).hexdigest()
+                numbers.append(sequence)
+                parents.append(parent)
+                ids.append(made)
+                parent = made
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(numbers, pa.int64()), pa.array(parents, pa.string()), batch.column(1), pa.array(ids, pa.string())], [chain, "sequence", "parent_id", "ops_hash", "epoch_id"])
+
+    rows = ops.repartition(chain).sortWithinPartitions(chain, *order).select(chain, F.col(ops_hash).alias("ops_hash"))
+    return rows.mapInArrow(run, f"{chain} {kind}, sequence long, parent_id string, ops_hash string, epoch_id string")
+
+
 def verify_chain(epochs: DataFrame, *, chain: str | None = None) -> DataFrame:
     """epochs with ``sound``: numbered one after another, each naming the id before it, each id as computed.
 
-    Chains are windows of their own; give the column that tells them apart.
+    Each epoch meets the one before it in a join on the number (and the chain, if there are
+    several), so a chain of any length is checked in parallel. Of epochs with one number none is sound.
     """
-    w = (Window.partitionBy(chain) if chain else Window.partitionBy(F.lit(0))).orderBy("sequence")
-    ok = (epoch_id(F.col("parent_id"), F.col("sequence"), F.col("ops_hash")) == F.col("epoch_id")) & F.when(F.lag("sequence").over(w).isNull(), F.lit(True)).otherwise((F.lag("epoch_id").over(w) == F.col("parent_id")) & (F.lag("sequence").over(w) + 1 == F.col("sequence")))
-    return epochs.withColumn("sound", ok)
+    keys = [chain] if chain else []
+    numbered = epochs.groupBy(*keys, "sequence").agg(F.count("*").alias("__n"), F.min("epoch_id").alias("__id"))
+    before = numbered.select(*keys, (F.col("sequence") + 1).alias("sequence"), F.col("__n").alias("__before_n"), F.col("__id").alias("__before"))
+    least = F.broadcast(epochs.agg(F.min("sequence").alias("__first"))) if not chain else epochs.groupBy(chain).agg(F.min("sequence").alias("__first"))
+    joined = epochs.join(numbered.drop("__id"), [*keys, "sequence"]).join(before, [*keys, "sequence"], "left")
+    joined = joined.join(least, chain) if chain else joined.crossJoin(least)
+    follows = F.coalesce((F.col("__before_n") == 1) & (F.col("__before") == F.col("parent_id")), F.lit(False))
+    ok = (epoch_id(F.col("parent_id"), F.col("sequence"), F.col("ops_hash")) == F.col("epoch_id")) & (F.col("__n") == 1) & ((F.col("sequence") == F.col("__first")) | follows)
+    return joined.withColumn("sound", F.coalesce(ok, F.lit(False))).select(*epochs.columns, "sound")
 
 
 def replay(ops: DataFrame, root: str = "root") -> DataFrame:

@@ -84,10 +84,11 @@ def boundaries(raw: bytes, smallest: int, average: int, largest: int) -> list[in
     return out
 
 
-def chunks(files: DataFrame, sizes: tuple[int, int, int] = DEFAULT_SIZES, *, key: str = "file_id", whole: bool = False) -> DataFrame:
+def chunks(files: DataFrame, sizes: tuple[int, int, int] = DEFAULT_SIZES, *, key: str = "file_id", whole: bool = False, category: Callable[[str, bytes], str | None] | None = None) -> DataFrame:
     """key, seq, file_start, file_end, chunk for each chunk of each file; empty files have none.
 
-    ``whole`` makes each file one chunk.
+    ``whole`` makes each file one chunk. ``category`` (of path and content) adds a column
+    category; a file that has one is one chunk as well.
     """
     smallest, average, largest = sizes
     if not 0 < smallest <= average <= largest:
@@ -99,18 +100,22 @@ def chunks(files: DataFrame, sizes: tuple[int, int, int] = DEFAULT_SIZES, *, key
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 rows: list[tuple] = []
-                for i, raw in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                paths = part.column(2).to_pylist() if category else [""] * part.num_rows
+                for i, raw, path in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), paths, strict=True):
                     raw = raw or b""
-                    ends = ([len(raw)] if raw else []) if whole else boundaries(raw, *sizes)
+                    own = category(path or "", raw) if category else None
+                    ends = ([len(raw)] if raw else []) if whole or own else boundaries(raw, *sizes)
                     start = 0
                     for seq, end in enumerate(ends):
-                        rows.append((i, seq, start, end, raw[start:end]))
+                        rows.append((i, seq, start, end, raw[start:end], own))
                         start = end
-                columns = list(zip(*rows, strict=True)) or [()] * 5
-                types = [part.schema.types[0], pa.int32(), pa.int64(), pa.int64(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types, strict=True)], [key, "seq", "file_start", "file_end", "chunk"])
+                columns = list(zip(*rows, strict=True)) or [()] * 6
+                types = [part.schema.types[0], pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.string()]
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types, strict=True)][: len(names)], names)
 
-    return files.select(key, "content").mapInArrow(run, f"{key} {kind}, seq int, file_start long, file_end long, chunk binary")
+    names = [key, "seq", "file_start", "file_end", "chunk", *(["category"] if category else [])]
+    more = ", category string" if category else ""
+    return files.select(key, "content", *(["path"] if category else [])).mapInArrow(run, f"{key} {kind}, seq int, file_start long, file_end long, chunk binary{more}")
 
 
 def with_ids(chunked: DataFrame) -> DataFrame:
@@ -119,7 +124,12 @@ def with_ids(chunked: DataFrame) -> DataFrame:
 
 def slices(chunked: DataFrame, key: str = "file_id") -> DataFrame:
     """The slice map: where each drop stands in its file. Needs no payload, so none is shuffled."""
-    return with_ids(chunked).select(key, "seq", "file_start", "file_end", "drop_id", F.lit(0).alias("drop_start"), F.octet_length("chunk").cast("int").alias("drop_len"))
+    return sliced(with_ids(chunked), key)
+
+
+def sliced(cut: DataFrame, key: str = "file_id") -> DataFrame:
+    """The slice map of chunks that have their ids; reads no chunk of a written table."""
+    return cut.select(key, "seq", "file_start", "file_end", "drop_id", F.lit(0).alias("drop_start"), (F.col("file_end") - F.col("file_start")).cast("int").alias("drop_len"))
 
 
 def running_offsets(pieces: DataFrame, key: str, order: str, length: str) -> DataFrame:

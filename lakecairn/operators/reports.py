@@ -18,6 +18,12 @@ def slab_totals(drops: DataFrame, slab: str = "slab") -> DataFrame:
     return drops.rollup(slab).agg(F.count("*").alias("n_drops"), F.sum("enc_len").alias("stored"), F.sum("plain_len").alias("plain")).withColumn("ratio", P.ratio(F.col("stored"), F.col("plain")))
 
 
+def slab_drops(drops: DataFrame, slab: str = "slab") -> DataFrame:
+    """slab, drop_id, n_drops, stored, plain, ratio: each drop, each slab (drop_id null) and the whole (both null)."""
+    out = drops.rollup(slab, "drop_id").agg(F.count("*").alias("n_drops"), F.sum("enc_len").alias("stored"), F.sum("plain_len").alias("plain"))
+    return out.withColumn("ratio", P.ratio(F.col("stored"), F.col("plain")))
+
+
 def gc(drops: DataFrame, slices: DataFrame) -> DataFrame:
     """total, referenced, garbage, garbage_bytes. Marks each drop by one left join with the distinct references."""
     marked = drops.join(slices.select("drop_id").distinct().withColumn("used", F.lit(1)), "drop_id", "left")
@@ -30,6 +36,14 @@ def statistics(measured: DataFrame, keys: list[str], value: str) -> DataFrame:
     return measured.groupBy(*keys).agg(F.count("*").alias("n"), F.percentile(F.col(value), 0.5).alias("median"), F.coalesce(F.stddev_samp(value), F.lit(0.0)).alias("stdev"), F.max(value).alias("largest"))
 
 
+def bench_summary(measured: DataFrame, *keys: str) -> DataFrame:
+    """keys, n, median, stdev, throughput (bytes_in a second, at the median), ratio (bytes_out of bytes_in, of the largest run), rss, of runs (seconds, bytes_in, bytes_out, rss)."""
+    median = F.percentile(F.col("seconds"), 0.5)
+    out = measured.groupBy(*keys).agg(F.count("*").alias("n"), median.alias("median"), F.coalesce(F.stddev_samp("seconds"), F.lit(0.0)).alias("stdev"), F.max("bytes_in").alias("bytes_in"), F.max("bytes_out").alias("bytes_out"), F.max("rss").alias("rss"))
+    rate = F.when(F.col("median") > 0, F.col("bytes_in") / F.col("median")).otherwise(F.lit(0.0))
+    return out.select(*keys, "n", "median", "stdev", rate.alias("throughput"), P.ratio(F.col("bytes_out"), F.col("bytes_in")).alias("ratio"), "rss")
+
+
 def wins(medians: DataFrame, row: str, competitor: str, median: str = "median") -> DataFrame:
     """competitor, n_wins, n_ties: within 5 % of a row's best is a tie, the best itself a win."""
     w = Window.partitionBy(row)

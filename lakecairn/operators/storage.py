@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,15 +15,18 @@ from pyspark.sql import types as T
 
 from ..functions import content as K
 from ..functions import paths as P
-from ..functions.codecs import Tournament, choose, decompress
+from ..functions.codecs import CODECS, Tournament, choose, choose_whole, decompress, special_codec
 from ..functions.hashing import digest
 from ..sources import schemas
+from ..sources.scratch import written
 from . import chunking
 
 #: Bytes of a drop's record and of a slab's header, and the most bytes of a slab.
 RECORD_BYTES = 49
 HEADER_BYTES = 56
 SLAB_BYTES = 60 * 1024 * 1024
+#: Slabs that one task may pack; more bytes are packed by longer prefixes of the id.
+SLABS_A_GROUP = 64
 
 
 def classified(drops: DataFrame, content: str = "chunk") -> DataFrame:
@@ -32,14 +36,18 @@ def classified(drops: DataFrame, content: str = "chunk") -> DataFrame:
 
 
 def encoded(drops: DataFrame, rules: Tournament = Tournament(), content: str = "chunk") -> DataFrame:
-    """Adds codec and payload to drops (content, class): each chunk is encoded where it is, after global deduplication."""
+    """Adds codec and payload to drops (content, class): each chunk is encoded where it is, after global deduplication.
+
+    A drop with a ``category``, if there is that column, is a whole file, for which the category's own codec may be taken.
+    """
     schema = T.StructType([T.StructField("codec", T.IntegerType()), T.StructField("payload", T.BinaryType())])
 
     @F.pandas_udf(schema)
-    def encode(raw: pd.Series, kind: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([choose(r, k, rules) for r, k in zip(raw, kind, strict=True)], columns=["codec", "payload"])
+    def encode(raw: pd.Series, kind: pd.Series, category: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([choose_whole(bytes(r), special_codec(c)) if c else choose(r, k, rules) for r, k, c in zip(raw, kind, category, strict=True)], columns=["codec", "payload"])
 
-    out = drops.withColumn("__e", encode(F.col(content), F.col("class")))
+    category = F.col("category") if "category" in drops.columns else F.lit(None).cast("string")
+    out = drops.withColumn("__e", encode(F.col(content), F.col("class"), category))
     return out.withColumns({"codec": F.col("__e.codec"), "payload": F.col("__e.payload"), "plain_len": F.octet_length(content).cast("long"), "enc_len": F.octet_length("__e.payload").cast("long")}).drop("__e")
 
 
@@ -49,13 +57,26 @@ def decode(payload: pd.Series, codec: pd.Series, plain_len: pd.Series) -> pd.Ser
     return pd.Series([decompress(c, bytes(p), int(n)) for p, c, n in zip(payload, codec, plain_len, strict=True)], dtype=object)
 
 
-def train_dictionaries(drops: DataFrame, size: int = 16_384, samples: int = 1_000, content: str = "chunk") -> DataFrame:
+def plain(drops: DataFrame, dictionaries: DataFrame) -> DataFrame:
+    """drops with their decoded content as chunk; at most one dictionary for each class and build is broadcast."""
+    own = decode(F.col("payload"), F.col("codec"), F.col("plain_len"))
+    if not dictionaries.head(1):
+        return drops.withColumn("chunk", own)
+    known = F.broadcast(dictionaries.select("dict_id", "dictionary").dropDuplicates(["dict_id"]))
+    by_dictionary = drops.filter("dict_id is not null").join(known, "dict_id").withColumn("chunk", decode_with_dictionary(F.col("payload"), F.col("dictionary"), F.col("plain_len"))).drop("dictionary")
+    return drops.filter("dict_id is null").withColumn("chunk", own).unionByName(by_dictionary.select(*drops.columns, "chunk"))
+
+
+def train_dictionaries(drops: DataFrame, size: int = 16_384, samples: int = 1_000, content: str = "chunk", *, least: int = 1) -> DataFrame:
     """class, dict_id, dictionary: a zstandard dictionary for each class from its ``samples`` drops of smallest hash.
 
     The sample is a top-k of each class, so no task gathers a whole class; classes
-    with too little content have no dictionary.
+    of fewer than ``least`` drops or with too little content have no dictionary. The id
+    is a checksum of the dictionary, so ids of several builds can stand together.
     """
     ranked = drops.withColumn("__r", F.row_number().over(Window.partitionBy("class").orderBy(F.xxhash64("drop_id"), "drop_id"))).filter(F.col("__r") <= samples)
+    if least > 1:
+        ranked = ranked.join(drops.groupBy("class").count().filter(F.col("count") >= least).select("class"), "class", "left_semi")
 
     def train(pdf: pd.DataFrame) -> pd.DataFrame:
         kind = pdf["class"].iloc[0]
@@ -63,7 +84,7 @@ def train_dictionaries(drops: DataFrame, size: int = 16_384, samples: int = 1_00
             found = zstandard.train_dictionary(size, [bytes(x) for x in pdf.sort_values("drop_id")[content]]).as_bytes()
         except zstandard.ZstdError:
             return pd.DataFrame({"class": [], "dict_id": [], "dictionary": []})
-        return pd.DataFrame({"class": [kind], "dict_id": [K.CLASS_IDS[kind]], "dictionary": [found]})
+        return pd.DataFrame({"class": [kind], "dict_id": [zlib.crc32(found) >> 1], "dictionary": [found]})
 
     return ranked.select("class", "drop_id", content).groupBy("class").applyInPandas(train, "class string, dict_id int, dictionary binary")
 
@@ -94,12 +115,46 @@ def decode_with_dictionary(payload: pd.Series, dictionary: pd.Series, plain_len:
     return pd.Series([None if p is None else zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(bytes(d))).decompress(bytes(p), max_output_size=int(n)) for p, d, n in zip(payload, dictionary, plain_len, strict=True)], dtype=object)
 
 
+def with_profile_dictionaries(drops: DataFrame, size: int, least: int) -> tuple[DataFrame, DataFrame]:
+    """(drops, dictionaries): zstandard drops of classes with ``least`` drops encoded anew with their class's dictionary where that is smaller; dict_id says so.
+
+    ``drops`` has encoded payloads and must be cheap to read twice (a written table). The
+    dictionaries are written, at most one for each class, so joining them is a bounded broadcast.
+    """
+    plain = drops.filter(F.col("codec") == CODECS["zstd"].id).withColumn("chunk", decode(F.col("payload"), F.col("codec"), F.col("plain_len")))
+    found = written(train_dictionaries(plain.select("drop_id", "class", "chunk"), size, least=least), "dictionaries")
+    tried = plain.join(F.broadcast(found), "class", "inner")
+
+    @F.pandas_udf(T.BinaryType())
+    def encode(raw: pd.Series, dictionary: pd.Series) -> pd.Series:
+        known: dict[bytes, zstandard.ZstdCompressor] = {}
+        out = []
+        for r, d in zip(raw, map(bytes, dictionary), strict=True):
+            if d not in known:
+                known[d] = zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(d))
+            out.append(known[d].compress(bytes(r)))
+        return pd.Series(out, dtype=object)
+
+    again = tried.withColumn("__p", encode(F.col("chunk"), F.col("dictionary"))).filter(F.octet_length("__p") < F.col("enc_len"))
+    again = written(again.select(*[c for c in drops.columns if c not in ("payload", "enc_len")], F.octet_length("__p").cast("long").alias("enc_len"), F.col("__p").alias("payload"), "dict_id"), "again")
+    rest = drops.join(again.select("drop_id"), "drop_id", "left_anti").withColumn("dict_id", F.lit(None).cast("int"))
+    return rest.unionByName(again), found
+
+
+def packing_prefix(stored: int, capacity: int) -> int:
+    """Hex digits of the id that tell packing groups apart: none up to SLABS_A_GROUP slabs, then one more for each 16-fold."""
+    digits = 0
+    while stored > capacity * SLABS_A_GROUP * 16**digits:
+        digits += 1
+    return digits
+
+
 def pack(drops: DataFrame, capacity: int = SLAB_BYTES, *, group: str | None = None, order: str = "drop_id", length: str = "enc_len") -> DataFrame:
     """Adds slab and offset by greedy packing in the order: a slab is closed when the next record would not fit.
 
     The rule is sequential, so only (order, length) of a group go through Python, in
     Arrow batches of a sorted partition; slabs of different groups are numbered
-    group by group. Give a ``group`` (for instance a prefix of the id) at scale.
+    group by group. Give a ``group`` (for instance a prefix of the id, see packed) at scale.
     """
     room = capacity - HEADER_BYTES
     keyed = drops.select(F.col(group).cast("string").alias("__g") if group else F.lit("").alias("__g"), F.col(order).alias("__o"), F.col(length).cast("long").alias("__n"))
@@ -133,19 +188,52 @@ def offsets_in_slab(drops: DataFrame, *, slab: str = "slab", order: str = "drop_
     return drops.withColumn("offset", F.coalesce(F.sum(length).over(before), F.lit(0)).cast("long"))
 
 
-def build(files: DataFrame, sizes: chunking.Sizes, rules: Tournament = Tournament(), capacity: int = SLAB_BYTES, *, whole: bool = False) -> dict[str, DataFrame]:
-    """slices and drops of files (file_id, content), as the tables of schemas."""
-    cut = chunking.chunks(files, sizes, whole=whole)
-    drops = encoded(classified(chunking.unique_drops(cut)), rules)
-    packed = pack(drops, capacity, group=None).withColumn("dict_id", F.lit(None).cast("int"))
-    return {"slices": chunking.slices(cut), "drops": schemas.check(packed.select("drop_id", "plain_len", "class", "codec", "enc_len", "slab", "offset", "dict_id", "payload"), "drops")}
+def packed(drops: DataFrame, capacity: int = SLAB_BYTES) -> DataFrame:
+    """pack by as long a prefix of drop_id as the stored bytes call for; drops must be cheap to read twice (a written table)."""
+    stored = drops.agg(F.coalesce(F.sum(F.col("enc_len") + RECORD_BYTES), F.lit(0)).alias("n")).first()["n"]
+    digits = packing_prefix(stored, capacity)
+    if not digits:
+        return pack(drops, capacity)
+    return pack(drops.withColumn("__prefix", F.substring("drop_id", 1, digits)), capacity, group="__prefix").drop("__prefix")
 
 
-def write(tables: dict[str, DataFrame], root: str, *, files_per_table: int | None = None) -> None:
-    """Each table as Parquet below root; drops lie sorted by id, so a lookup prunes row groups."""
+def build(files: DataFrame, sizes: chunking.Sizes, rules: Tournament = Tournament(), capacity: int = SLAB_BYTES, *, whole: bool = False, dictionaries: tuple[int, int] | None = None, special: bool = False, base: DataFrame | None = None) -> dict[str, DataFrame]:
+    """slices, drops and dictionaries of files (file_id, content), as the tables of schemas.
+
+    Files are cut once and the cut is written; which copy of a drop is kept is decided on
+    ids alone, and only kept ones are encoded. ``dictionaries`` (bytes, least drops of a
+    class) trains one for each class; with ``special``, files that a categorizer knows by
+    their ``path`` are drops of their own and may take its codec; drops of ``base`` are
+    not stored again.
+    """
+    cut = written(chunking.with_ids(chunking.chunks(files, sizes, whole=whole, category=K.file_category if special else None)), "cut")
+    columns = ("chunk", "category") if special else ("chunk",)
+    drops = encoded(classified(kept(cut, base, *columns)), rules).select("drop_id", "plain_len", "class", "codec", "enc_len", "payload")
+    drops = written(drops, "encoded")
+    found = drops.sparkSession.createDataFrame([], "class string, dict_id int, dictionary binary")
+    if dictionaries:
+        drops, found = with_profile_dictionaries(drops, *dictionaries)
+        drops = written(drops, "encoded")
+    else:
+        drops = drops.withColumn("dict_id", F.lit(None).cast("int"))
+    out = packed(drops, capacity).select("drop_id", "plain_len", "class", "codec", "enc_len", "slab", "offset", "dict_id", "payload")
+    return {"slices": chunking.sliced(cut), "drops": schemas.check(out, "drops"), "dictionaries": found}
+
+
+def kept(cut: DataFrame, base: DataFrame | None, *columns: str) -> DataFrame:
+    """drop_id and columns of one copy of each drop that the base doesn't have: decided on ids, so contents move once at most."""
+    ids = cut.select("drop_id", "file_id", "seq")
+    if base is not None:
+        ids = ids.join(base.select("drop_id"), "drop_id", "left_anti")
+    first = written(ids.groupBy("drop_id").agg(F.min(F.struct("file_id", "seq")).alias("x")).select("drop_id", "x.file_id", "x.seq"), "kept")
+    return cut.join(first, ["drop_id", "file_id", "seq"], "left_semi").select("drop_id", *columns)
+
+
+def write(tables: dict[str, DataFrame], root: str) -> None:
+    """Each table as Parquet below root; drops lie sorted by id in each file, so a lookup prunes row groups."""
     for name, df in tables.items():
         if name == "drops":
-            df = df.repartitionByRange(*([files_per_table] if files_per_table else []), "drop_id").sortWithinPartitions("drop_id")
+            df = df.repartition("drop_id").sortWithinPartitions("drop_id")
         df.write.mode("overwrite").parquet(f"{root}/{name}")
 
 
@@ -164,23 +252,52 @@ def garbage(drops: DataFrame, slices: DataFrame) -> DataFrame:
 
 def compact(drops: DataFrame, slices: DataFrame, capacity: int = SLAB_BYTES) -> DataFrame:
     """Referenced drops repacked, their payloads copied as they are, dictionary ids kept."""
-    return pack(referenced(drops, slices).drop("slab", "offset"), capacity)
+    return packed(referenced(drops, slices).drop("slab", "offset"), capacity)
+
 
+def _joiner(held: dict[int, bytes]):  # noqa: ANN202
+    """Key and content of rows (key, parts): each part is decoded, cut and put behind the one before."""
 
-def read_files(slices: DataFrame, drops: DataFrame, *, key: str = "file_id") -> DataFrame:
-    """key, content: decoded and put together in order. A file with a missing drop is an error, not a shorter file."""
-    need = slices.join(drops.select("drop_id", "payload", "codec", "plain_len"), "drop_id", "left")
-    present = F.col("payload").isNotNull()
-    part = P.byte_range(decode(F.when(present, F.col("payload")).otherwise(F.lit(b"")), F.when(present, F.col("codec")).otherwise(F.lit(0)), F.coalesce("plain_len", F.lit(0))), F.col("drop_start"), F.col("drop_len"))
-    pieces = need.select(key, "seq", F.when(present, part).otherwise(F.raise_error(F.concat(F.lit("drop missing: "), "drop_id")).cast("binary")).alias("part"))
-    return pieces.groupBy(key).agg(F.aggregate(F.transform(F.array_sort(F.collect_list(F.struct("seq", "part"))), lambda x: x["part"]), F.lit(b""), lambda a, b: F.concat(a, b)).alias("content"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = {k: zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(d)) for k, d in held.items()}
+        for batch in batches:
+            flat = batch.column(1).flatten()
+            columns = [flat.field(n).to_pylist() for n in ("drop_id", "drop_start", "drop_len", "codec", "plain_len", "dict_id", "payload")]
+            pieces: list[bytes] = []
+            for drop, start, length, codec, plain_len, dictionary, payload in zip(*columns, strict=True):
+                if payload is None:
+                    raise ValueError(f"drop missing: {drop}")
+                raw = decompress(codec, payload, plain_len) if dictionary is None else known[dictionary].decompress(payload, max_output_size=max(1, plain_len))
+                pieces.append(raw[start : start + length])
+            out, at = [], 0
+            for n in batch.column(1).value_lengths().to_pylist():
+                out.append(b"".join(pieces[at : at + n]))
+                at += n
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["key", "content"])
+
+    return run
+
+
+def read_files(slices: DataFrame, drops: DataFrame, *, key: str = "file_id", dictionaries: DataFrame | None = None) -> DataFrame:
+    """key, content: decoded and put together in order. A file with a missing drop is an error, not a shorter file.
+
+    Drops move encoded and are decoded where the file is put together. The dictionaries, at
+    most one of bounded size for each class, travel with the code.
+    """
+    held = {r["dict_id"]: bytes(r["dictionary"]) for r in dictionaries.collect()} if dictionaries is not None else {}
+    own = drops.select("drop_id", "payload", "codec", "plain_len", *(["dict_id"] if "dict_id" in drops.columns else [F.lit(None).cast("int").alias("dict_id")]))
+    need = slices.join(own, "drop_id", "left")
+    part = F.struct("seq", "drop_id", "drop_start", "drop_len", "codec", "plain_len", "dict_id", "payload")
+    parts = need.groupBy(key).agg(F.array_sort(F.collect_list(part)).alias("parts"))
+    kind = slices.schema[key].dataType.simpleString()
+    return parts.mapInArrow(_joiner(held), f"key {kind}, content binary").withColumnRenamed("key", key)
 
 
-def read_range(slices: DataFrame, drops: DataFrame, offset: int, length: int, *, key: str = "file_id") -> DataFrame:
+def read_range(slices: DataFrame, drops: DataFrame, offset: int, length: int, *, key: str = "file_id", dictionaries: DataFrame | None = None) -> DataFrame:
     """Bytes [offset, offset + length) of each file; slices outside are pruned before any payload is joined."""
     hit = slices.filter((F.col("file_start") < offset + length) & (F.col("file_end") > offset))
     first = hit.groupBy(key).agg(F.min("file_start").alias("__at"))
-    found = read_files(hit, drops, key=key).join(first, key)
+    found = read_files(hit, drops, key=key, dictionaries=dictionaries).join(first, key)
     return found.select(key, P.byte_range(F.col("content"), F.lit(offset) - F.col("__at"), F.lit(length) + F.least(F.lit(0), F.lit(offset) - F.col("__at"))).alias("content"))
 
 

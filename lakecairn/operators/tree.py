@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import digest
+from ..sources.scratch import written
 
 #: Levels that a recursive walk may have; deeper trees are refused, not cut.
 MAX_DEPTH = 4096
@@ -15,7 +16,7 @@ def path_index(edges: DataFrame, root: Column, *, parent: str = "parent_id", chi
     """id, path, depth for the root and everything below it: one join a level.
 
     A node that is its own ancestor ends there instead of looping. The loop runs once
-    for each level of the tree, over the last level only, which is kept for the next.
+    for each level of the tree, over the last level only, which is written for the next.
     """
     spark = edges.sparkSession
     level = spark.range(1).select(root.alias("id"), F.lit("/").alias("path"), F.lit(0).alias("depth"), F.array(root).alias("above"))
@@ -23,7 +24,8 @@ def path_index(edges: DataFrame, root: Column, *, parent: str = "parent_id", chi
     out = level
     for depth in range(1, MAX_DEPTH + 1):
         below = level.join(own, level["id"] == own["p"]).filter(~F.array_contains("above", F.col("c")))
-        level = below.select(F.col("c").alias("id"), F.concat(F.when(F.col("path") == "/", "").otherwise(F.col("path")), F.lit("/"), F.col("n")).alias("path"), F.lit(depth).alias("depth"), F.concat("above", F.array("c")).alias("above")).persist()
+        level = below.select(F.col("c").alias("id"), F.concat(F.when(F.col("path") == "/", "").otherwise(F.col("path")), F.lit("/"), F.col("n")).alias("path"), F.lit(depth).alias("depth"), F.concat("above", F.array("c")).alias("above"))
+        level = written(level, "level")
         if level.isEmpty():
             return out.select("id", "path", "depth")
         out = out.unionByName(level)
@@ -84,16 +86,18 @@ def directory_hashes(leaves: DataFrame, levels: int) -> DataFrame:
 
 
 def numbering(files: DataFrame, by: str = "path") -> DataFrame:
-    """Adds inode: dense numbers from 1 in the order of the path.
+    """Adds inode: dense numbers from 1 in the order of the path, which must be unique.
 
-    Range partitions are counted and the offsets added, so no single task sees all rows.
+    The paths alone are dealt by range and written; partitions are counted and the offsets
+    added, so no single task sees all rows, and contents move only in the join with the numbers.
     """
-    ranged = files.repartitionByRange(by).sortWithinPartitions(by).withColumn("__id", F.monotonically_increasing_id()).persist()
+    placed = written(files.select(by).repartitionByRange(by).sortWithinPartitions(by).withColumn("__id", F.monotonically_increasing_id()), "numbers")
     part = F.shiftright("__id", 33)
-    counts = ranged.groupBy(part.alias("part")).count()
+    counts = placed.groupBy(part.alias("part")).count()
     start = F.sum("count").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
     offsets = counts.select("part", F.coalesce(start, F.lit(0)).alias("start"))
-    return ranged.join(F.broadcast(offsets), part == F.col("part")).withColumn("inode", F.col("start") + F.col("__id").bitwiseAND(F.lit((1 << 33) - 1)) + 1).drop("__id", "part", "start")
+    numbers = placed.join(F.broadcast(offsets), part == F.col("part")).select(by, (F.col("start") + F.col("__id").bitwiseAND(F.lit((1 << 33) - 1)) + 1).alias("inode"))
+    return files.join(numbers, by).select(*files.columns, "inode")
 
 
 def violations(edges: DataFrame, files: DataFrame) -> DataFrame:

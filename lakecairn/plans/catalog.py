@@ -6,7 +6,6 @@ feed of changes, orders and lineitem as keyed versions and layers.
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 
 import pandas as pd
@@ -19,8 +18,9 @@ from ..functions.codecs import CODECS, round_trips
 from ..functions.hashing import digest, text_digest
 from ..operators import changes, chunking, dedup, redundancy, reports, sketches, storage, tree
 from ..sources import files as S
+from ..sources.scratch import place, written
 from ..streaming.store import Store, follow
-from .config import select
+from .config import custom, select
 
 #: Chunk sizes at which the documents split.
 SIZES = (64, 256, 1024)
@@ -44,10 +44,7 @@ def _t(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 def _scratch(spark: SparkSession, name: str) -> str:
     """A new place in the folder that driver and executors share."""
-    import uuid
-
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lakecairn-")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return place(spark, name)
 
 
 def _docs(spark: SparkSession, sf: str) -> DataFrame:
@@ -57,9 +54,42 @@ def _docs(spark: SparkSession, sf: str) -> DataFrame:
 # Deduplication
 
 
-@query()
+def _chunk_sql(sizes: tuple[int, int, int]) -> str:
+    """The cuts of documents, c(doc_id, seq, start, stop), and their bytes, d(doc_id, x, n).
+
+    One row a byte gives the places where the hash over all bytes before (h) or since a
+    search began (w, only its first bytes differ) ends a chunk; the cuts follow one after another.
+    """
+    least, average, most = sizes
+    small, large = (chunking.mask_bits(n) for n in (average - least, most - average))
+    warm = max(small, large)
+    gear = ", ".join(str(int(g) % (1 << warm)) for g in chunking.gear_table())
+    h = " + ".join(f"(lag(g, {k}, 0) OVER o << {k})" for k in range(warm))
+    since = [" + ".join(f"(lead(g, {j}, 0) OVER o << {k - j})" for j in range(k + 1)) for k in range(warm)]
+    w = " ".join(f"WHEN ({x}) % {1 << small} = 0 THEN {k}" for k, x in enumerate(since))
+    return f"""
+  d AS (SELECT doc_id, hex(encode(text)) AS x, octet_length(encode(text)) AS n FROM documents WHERE text <> ''),
+  b AS (SELECT doc_id, unnest(range(n)) AS i, unnest(list_transform(regexp_extract_all(x, '..'), lambda p: [{gear}][CAST('0x' || p AS INTEGER) + 1])) AS g FROM d),
+  r AS (SELECT doc_id, i, {h} AS h, CASE {w} END AS w FROM b WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+  l AS (SELECT doc_id, list(i ORDER BY i) FILTER (h % {1 << small} = 0) AS cs, list(i ORDER BY i) FILTER (h % {1 << large} = 0) AS cl, list(i * {warm} + w ORDER BY i) FILTER (w IS NOT NULL) AS ws FROM r GROUP BY 1),
+  c(doc_id, seq, start, stop) AS (
+    SELECT doc_id, -1, 0::BIGINT, 0::BIGINT FROM d UNION ALL
+    SELECT doc_id, seq + 1, s, CASE WHEN last - s <= {least} THEN last ELSE coalesce(
+        list_filter(list_transform(list_filter(ws, lambda v: v // {warm} = s + {least}), lambda v: v // {warm} + v % {warm} + 1), lambda v: v <= last)[1],
+        list_filter(cs, lambda v: v >= least(s + {least + warm}, last) AND v < least(s + {average}, last))[1] + 1,
+        list_filter(cl, lambda v: v >= greatest(least(s + {least + warm}, last), least(s + {average}, last)) AND v < last)[1] + 1, last) END
+    FROM (SELECT c.doc_id, seq, stop AS s, least(stop + {most}, n) AS last, cs, cl, ws FROM c JOIN d USING (doc_id) JOIN l USING (doc_id) WHERE stop < n))"""
+
+
+_CHUNKS = f"""WITH RECURSIVE {_chunk_sql(SIZES)},
+  k AS (SELECT doc_id AS file_id, seq, start AS file_start, stop AS file_end, sha256(unhex(substring(x, 2 * start + 1, 2 * (stop - start)))) AS drop_id FROM c JOIN d USING (doc_id) WHERE seq >= 0)"""
+
+
+@query(f"""{_CHUNKS}, u AS (SELECT drop_id, count(*) AS n, max(file_end - file_start) AS b FROM k GROUP BY 1)
+SELECT coalesce(sum(n), 0)::BIGINT AS total_refs, count(*) AS unique_drops, (coalesce(sum(n), 0) - count(*))::BIGINT AS duplicate_refs, coalesce((sum(n) - count(*)) / sum(n), 0)::DOUBLE AS duplicate_share,
+  coalesce(sum(n * b), 0)::BIGINT AS total_bytes, coalesce(sum(b), 0)::BIGINT AS unique_bytes FROM u""")
 def dedup_report_chunks(spark: SparkSession, sf: str) -> DataFrame:
-    """A1 over content-defined chunks; cut places are tested against a scalar model."""
+    """A1 over content-defined chunks."""
     cut = chunking.with_ids(chunking.chunks(_docs(spark, sf), SIZES))
     return dedup.report(cut.select("drop_id", F.octet_length("chunk").alias("n")), length="n")
 
@@ -263,6 +293,28 @@ def _fixtures() -> list[tuple[str, bytes]]:
     return [("/a.elf", elf), ("/b.fits", fits), ("/c.wav", wav), ("/d.gz", b"\x1f\x8b\x08" + bytes(20)), ("/e.png", b"\x89PNG\r\n\x1a\n"), ("/f.zero", bytes(8192)), ("/g.txt", b"hello\n" * 50), ("/h.empty", b""), ("/i.bin", bytes(range(200)) * 2)]
 
 
+def _special_files() -> list[tuple[str, bytes]]:
+    """Files large enough for their format's codec to show: calls to a few places, noisy pixels, a noisy wave, rows, lines."""
+    import random
+    import struct
+
+    rng = random.Random(5)
+    elf = b"\x7fELF" + bytes(14) + struct.pack("<H", 62) + bytes(40)
+    targets = [rng.randrange(1 << 20) for _ in range(40)]
+    for _ in range(6000):
+        elf += bytes([rng.randrange(0x40, 0x60), 0xE8])
+        elf += struct.pack("<I", (rng.choice(targets) - len(elf) - 4) % 2**32)
+    fits = b"".join(c.ljust(80) for c in (b"SIMPLE  =                    T", b"BITPIX  =                   16", b"NAXIS   =                    2", b"END")).ljust(2880)
+    fits += b"".join(struct.pack(">h", int(rng.gauss(1000, 6))) for _ in range(40_000))
+    level, samples = 0.0, []
+    for _ in range(40_000):
+        level += rng.gauss(0, 40) - level * 0.002
+        samples.append(struct.pack("<h", int(max(-32_000, min(32_000, level * 8)))))
+    wav = b"RIFF" + struct.pack("<I", 36 + 80_000) + b"WAVEfmt " + struct.pack("<IHHIIHH", 16, 1, 1, 44_100, 88_200, 2, 16) + b"data" + struct.pack("<I", 80_000) + b"".join(samples)
+    csv = b"".join(b"%d,r%d,%d\n" % (i, i % 5, i % 1000) for i in range(3000))
+    return [("/a.elf", elf), ("/b.fits", fits), ("/c.wav", wav), ("/d.csv", csv), ("/e.txt", b"".join(b"line %d of words\n" % i for i in range(500)))]
+
+
 @query("""SELECT * FROM (VALUES ('/a.elf', 'code', 'exec:x86-64'), ('/b.fits', 'text', 'fits:16'), ('/c.wav', 'binary', 'pcm:44100/1/16'), ('/d.gz', 'compressed', NULL), ('/e.png', 'media', NULL),
  ('/f.zero', 'sparse', NULL), ('/g.txt', 'text', NULL), ('/h.empty', 'sparse', NULL), ('/i.bin', 'incompressible', NULL)) t(path, class, category)""")
 def special_formats(spark: SparkSession, sf: str) -> DataFrame:
@@ -271,10 +323,12 @@ def special_formats(spark: SparkSession, sf: str) -> DataFrame:
     return storage.classified(made, "content").select("path", "class", K.categorize(F.col("path"), F.col("content")).alias("category"))
 
 
-@query("SELECT doc_id AS file_id, length(sha256(text)) AS hex_len, 55::INTEGER AS text_len, 's2:' AS prefix FROM documents")
+@query("""WITH d AS (SELECT doc_id, sha256(coalesce(text, '')) AS h FROM documents),
+b AS (SELECT doc_id, h, array_to_string(list_transform(regexp_extract_all(h, '.'), lambda x: lpad(bin(CAST('0x' || x AS INTEGER)), 4, '0')), '') || '0000' AS bits FROM d)
+SELECT doc_id AS file_id, h AS digest, 's2:' || array_to_string(list_transform(range(52), lambda k: 'abcdefghijklmnopqrstuvwxyz234567'[list_sum(list_transform(range(5), lambda j: CAST(substring(bits, k * 5 + j + 1, 1) AS INTEGER) << (4 - j)))::INTEGER + 1]), '') AS text FROM b""")
 def text_digests(spark: SparkSession, sf: str) -> DataFrame:
-    d = _docs(spark, sf).select("file_id", digest(F.col("content")).alias("h"))
-    return d.select("file_id", F.length("h").cast("long").alias("hex_len"), F.length(text_digest(F.col("h"))).alias("text_len"), F.substring(text_digest(F.col("h")), 1, 3).alias("prefix"))
+    d = _docs(spark, sf).select("file_id", digest(F.col("content")).alias("digest"))
+    return d.select("file_id", "digest", text_digest(F.col("digest")).alias("text"))
 
 
 # Chunks, storage and reading
@@ -286,7 +340,7 @@ def _sum_up(read: DataFrame) -> DataFrame:
     return read.select("file_id", F.octet_length("content").cast("long").alias("size"), digest(F.col("content")).alias("drop_id"))
 
 
-@query()
+@query(f"""{_CHUNKS} SELECT file_id, seq, file_start, file_end, drop_id, 0::INTEGER AS drop_start, (file_end - file_start)::INTEGER AS drop_len FROM k""")
 def chunk_slices(spark: SparkSession, sf: str) -> DataFrame:
     return chunking.slices(chunking.chunks(_docs(spark, sf), SIZES))
 
@@ -318,9 +372,10 @@ FROM documents WHERE octet_length(encode(text)) > 50""")
 def range_read(spark: SparkSession, sf: str) -> DataFrame:
     """Bytes 50 to 149 of each file; slices outside are pruned before the join."""
     d = _docs(spark, sf)
-    cut = chunking.chunks(d, SIZES)
-    drops = storage.encoded(storage.classified(chunking.unique_drops(cut)))
-    part = storage.read_range(chunking.slices(cut), drops, 50, 100)
+    cut = written(chunking.with_ids(chunking.chunks(d, SIZES)), "cut")
+    near = cut.filter("file_start < 150 and file_end > 50")  # no other drop is encoded
+    drops = written(storage.encoded(storage.classified(storage.kept(near, None, "chunk"))).select("drop_id", "plain_len", "codec", "payload"), "encoded")
+    part = storage.read_range(chunking.sliced(cut), drops, 50, 100)
     return part.join(d.select("file_id", F.octet_length("content").cast("long").alias("size")), "file_id").select("file_id", "size", F.octet_length("content").cast("long").alias("n"), F.hex("content").alias("part"))
 
 
@@ -341,6 +396,14 @@ def slab_report(spark: SparkSession, sf: str) -> DataFrame:
     return reports.slab_totals(u)
 
 
+@query(f"""WITH {_SLABS} SELECT slab, drop_id, count(*) AS n_drops, sum(plain_len - 1)::BIGINT AS stored, sum(plain_len)::BIGINT AS plain, sum(plain_len - 1) / sum(plain_len)::DOUBLE AS ratio FROM u WHERE plain_len > 0 GROUP BY ROLLUP (slab, drop_id)""")
+def slab_drops(spark: SparkSession, sf: str) -> DataFrame:
+    """A3 with a row for each drop; a byte less is stored of each."""
+    d = _docs(spark, sf).select(digest(F.col("content")).alias("drop_id"), F.octet_length("content").cast("long").alias("n"), "lang").filter("n > 0")
+    u = d.groupBy("drop_id").agg(F.min("n").alias("plain_len"), (F.min("n") - 1).alias("enc_len"), F.min("lang").alias("slab"))
+    return reports.slab_drops(u)
+
+
 @query(f"""WITH {_SLABS} SELECT drop_id, slab, coalesce(sum(plain_len) OVER (PARTITION BY slab ORDER BY drop_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS "offset" FROM u""")
 def offsets_in_slab(spark: SparkSession, sf: str) -> DataFrame:
     d = _docs(spark, sf).select(digest(F.col("content")).alias("drop_id"), F.octet_length("content").cast("long").alias("enc_len"), "lang")
@@ -416,13 +479,17 @@ def merkle_root(spark: SparkSession, sf: str) -> DataFrame:
     return storage.root_hash([("files", d, row), ("slabs", _t(spark, sf, "region"), F.col("r_name"))])
 
 
-@query("SELECT count(*) AS n, count(*) AS members, true AS all_found FROM (SELECT DISTINCT sha256(text) FROM documents WHERE lang = 'en')")
+@query("""WITH d AS (SELECT sha256(text) AS drop_id, max((lang = 'en')::INTEGER) AS member FROM documents GROUP BY 1)
+SELECT count(*) AS n, sum(member)::BIGINT AS members, sum(member)::BIGINT AS members_found, true AS few_false FROM d""")
 def bloom_membership(spark: SparkSession, sf: str) -> DataFrame:
-    """No member is ever missed; the rate of false ones is tested apart."""
-    ids = _docs(spark, sf).filter("lang = 'en'").select(digest(F.col("content")).alias("drop_id")).distinct()
-    n = ids.count()
-    found = sketches.probe(ids, sketches.build(ids, n), n)
-    return found.agg(F.count("*").alias("n"), F.sum(F.col("maybe").cast("long")).alias("members"), F.min("maybe").alias("all_found"))
+    """A filter of the English contents is asked for all; no member is missed, and at a rate of 0.01 no more than 0.05 of the rest pass."""
+    d = _docs(spark, sf).groupBy(digest(F.col("content")).alias("drop_id")).agg(F.max((F.col("lang") == "en").cast("int")).alias("member"))
+    d = written(d, "members")
+    n = d.filter("member = 1").count()
+    found = sketches.probe(d, sketches.build(d.filter("member = 1").select("drop_id"), n), n).join(d, "drop_id")
+    yes = F.col("maybe").cast("long")
+    false = F.coalesce(F.sum(yes * (1 - F.col("member"))), F.lit(0)) <= 0.05 * F.sum(1 - F.col("member"))
+    return found.agg(F.count("*").alias("n"), F.sum(F.col("member").cast("long")).alias("members"), F.sum(yes * F.col("member")).alias("members_found"), false.alias("few_false"))
 
 
 # Images
@@ -443,12 +510,11 @@ def image_round_trip(spark: SparkSession, sf: str) -> DataFrame:
     return read.select("path", F.octet_length("content").cast("long").alias("size"), digest(F.col("content")).alias("content_id"))
 
 
-@query("""SELECT '/' || lang || '/' || source || '/' || doc_id AS path, substring(hex(encode(text)), 2001, 1000) AS part FROM documents WHERE doc_id % 3 = 0 AND doc_id < 60""")
+@query("""SELECT '/' || lang || '/' || source || '/' || doc_id AS path, substring(hex(encode(text)), 2001, 1000) AS part FROM documents""")
 def cat_multi(spark: SparkSession, sf: str) -> DataFrame:
-    """Bytes 1000 to 1499 of a table of files in one pass; the rows wanted are those of the SQL."""
+    """Bytes 1000 to 1499 of every file in one pass."""
     files = S.documents(spark, sf)
-    wanted = files.filter("file_id % 3 = 0 and file_id < 60").select("path")
-    return _image(spark, files).cat_multi(wanted, 1000, 500).select("path", F.hex("content").alias("part"))
+    return _image(spark, files).cat_multi(files.select("path"), 1000, 500).select("path", F.hex("content").alias("part"))
 
 
 @query("SELECT count(*) AS n_files, count(DISTINCT lang) + count(DISTINCT (lang, source)) + 1 AS n_dirs FROM documents")
@@ -469,11 +535,88 @@ def layered_image(spark: SparkSession, sf: str) -> DataFrame:
     return read.agg(F.count("*").alias("n"), F.min(F.col("a") == F.col("b")).alias("sound"))
 
 
-@query("SELECT * FROM (VALUES ('bad_name', 0::BIGINT), ('duplicate_name', 0), ('orphan', 0), ('missing_file', 0), ('slice_gap', 0), ('missing_drop', 0)) t(rule, n)")
+@query("SELECT * FROM (VALUES ('bad_name', 0::BIGINT), ('duplicate_name', 0), ('orphan', 0), ('missing_file', 0), ('slice_gap', 0), ('missing_drop', 0), ('root', 0)) t(rule, n)")
 def image_verify(spark: SparkSession, sf: str) -> DataFrame:
     return _image(spark, S.documents(spark, sf)).verify()
 
 
+@query("""WITH large AS (SELECT doc_id, source, sha256(text) AS h FROM documents WHERE octet_length(encode(text)) > 4096)
+SELECT 'missing_drop' AS rule, count(*) AS n FROM large WHERE h IN (SELECT h FROM large WHERE source = 'src1') UNION ALL SELECT 'root', (count(*) > 0)::BIGINT FROM large WHERE source = 'src1'""")
+def damage_found(spark: SparkSession, sf: str) -> DataFrame:
+    """An image of whole files that has lost the drops of one source."""
+    files = S.documents(spark, sf)
+    image = _image(spark, files, "max-write")
+    lost = files.filter(F.col("path").rlike("^/[a-z]+/src1/")).select(digest(F.col("content")).alias("drop_id"))
+    left = storage.layer(written(image.drops(), "drops"), lost)
+    left.write.mode("overwrite").parquet(image.entry()["drops"][0])
+    return image.verify().filter("rule in ('missing_drop', 'root')")
+
+
+_BOTH = """a AS (SELECT '/' || lang || '/' || source || '/' || doc_id AS path, text FROM documents WHERE source <> 'src3'),
+b AS (SELECT '/' || lang || '/' || source || '/' || doc_id AS path, CASE WHEN doc_id % 7 = 0 THEN text || ' more' ELSE text END AS text FROM documents WHERE source <> 'src1')"""
+
+
+def _states(spark: SparkSession, sf: str):  # noqa: ANN202
+    """Two images: without one source, and without another and with a seventh of the documents changed."""
+    files = S.documents(spark, sf)
+    changed = F.when(F.col("file_id") % 7 == 0, F.concat("content", F.lit(b" more"))).otherwise(F.col("content"))
+    return _image(spark, files.filter(~F.col("path").rlike("^/[a-z]+/src3/"))), _image(spark, files.filter(~F.col("path").rlike("^/[a-z]+/src1/")).select("path", changed.alias("content")))
+
+
+@query(f"""WITH {_BOTH} SELECT path, octet_length(encode(text)) AS size, sha256(text) AS content_id, path NOT IN (SELECT path FROM a) OR text <> (SELECT text FROM a WHERE a.path = b.path) AS in_delta FROM b""")
+def delta_round_trip(spark: SparkSession, sf: str) -> DataFrame:
+    """The stored delta of two images, applied to the first, gives the second."""
+    old, new = _states(spark, sf)
+    delta = old.delta(new, _scratch(spark, "delta"))
+    old.apply(delta)
+    stored = delta.files().select("path", F.lit(True).alias("stored"))
+    return old.contents().join(stored, "path", "left").select("path", F.octet_length("content").cast("long").alias("size"), digest(F.col("content")).alias("content_id"), F.coalesce("stored", F.lit(False)).alias("in_delta"))
+
+
+@query(f"""WITH {_BOTH} SELECT path, octet_length(encode(text)) AS size, sha256(text) AS content_id FROM b UNION ALL SELECT path, octet_length(encode(text)), sha256(text) FROM a WHERE path NOT IN (SELECT path FROM b)""")
+def flattened(spark: SparkSession, sf: str) -> DataFrame:
+    """C4: two images as one, the second over the first."""
+    from ..image import Image
+
+    out = Image.flatten(list(_states(spark, sf)), _scratch(spark, "flat"))
+    return out.contents().select("path", F.octet_length("content").cast("long").alias("size"), digest(F.col("content")).alias("content_id"))
+
+
+@query("""SELECT '/' || lang || '/' || source || '/' || doc_id AS path, sha256(CASE WHEN doc_id % 11 = 0 THEN text || ' more' ELSE text END) AS content_id FROM documents WHERE doc_id % 11 <> 1
+UNION ALL SELECT '/new/' || doc_id, sha256(text) FROM documents WHERE doc_id % 11 = 2""")
+def committed(spark: SparkSession, sf: str) -> DataFrame:
+    """A commit that updates, deletes and adds files; only its own contents are cut and stored."""
+    files = S.documents(spark, sf)
+    image = _image(spark, files)
+    own = files.filter("file_id % 11 = 0").select("path", F.concat("content", F.lit(b" more")).alias("content"))
+    own = own.unionByName(files.filter("file_id % 11 = 2").select(F.concat(F.lit("/new/"), F.col("file_id").cast("string")).alias("path"), "content"))
+    image.merge(own.select("path", F.lit(0).cast("long").alias("mtime_ns"), "content"), files.filter("file_id % 11 in (0, 1)").select("path"), "max-speed")
+    return image.contents().select("path", digest(F.col("content")).alias("content_id"))
+
+
+@query(_CONTENT.replace(" FROM", ", true AS shared FROM"))
+def dictionary_build(spark: SparkSession, sf: str) -> DataFrame:
+    """A build whose profile has dictionaries; drops name theirs, and files are read with them."""
+    rules = custom("max-read", candidates=("store", "zstd")).tournament()
+    made = storage.build(_docs(spark, sf), SIZES, rules, 1 << 20, dictionaries=(16_384, 50))
+    drops = written(made["drops"], "drops")
+    read = storage.read_files(made["slices"], drops, dictionaries=made["dictionaries"])
+    some = drops.agg((F.count("dict_id") > 0).alias("shared"))
+    return _sum_up(read).crossJoin(F.broadcast(some))
+
+
+@query("""SELECT * FROM (VALUES ('/a.elf', 33, true), ('/b.fits', 8, true), ('/c.wav', 7, true), ('/d.csv', 4, true), ('/e.txt', NULL, true)) t(path, codec, same)""")
+def special_codecs(spark: SparkSession, sf: str) -> DataFrame:
+    """Files of special formats are drops of their own, by their format's codec where that is smallest; e.txt is cut."""
+    made = _special_files()
+    files = S.stream(spark, made).withColumn("file_id", F.xxhash64("path"))
+    built = storage.build(files, SIZES, select("max-ratio").tournament(), special=True)
+    drops = written(built["drops"], "drops")
+    read = storage.read_files(built["slices"], drops).join(files.select("file_id", "path", F.col("content").alias("plain")), "file_id")
+    one = built["slices"].groupBy("file_id").agg(F.count("*").alias("n"), F.min("drop_id").alias("drop_id")).filter("n = 1").join(drops.select("drop_id", "codec"), "drop_id")
+    return read.join(one.select("file_id", "codec"), "file_id", "left").select("path", "codec", (F.col("content") == F.col("plain")).alias("same"))
+
+
 @query("SELECT * FROM (VALUES ('erasure', 3::BIGINT), ('sharing', 2), ('cipher', 5), ('codec', " + str(len(CODECS)) + ")) t(kind, n)")
 def scheme_registry(spark: SparkSession, sf: str) -> DataFrame:
     from .registries import table
@@ -582,17 +725,10 @@ def history_listing(spark: SparkSession, sf: str) -> DataFrame:
 @query("SELECT user_id, count(*) AS n, count(*) - 1 AS sound, 1::BIGINT AS broken FROM events GROUP BY user_id")
 def epoch_chain(spark: SparkSession, sf: str) -> DataFrame:
     """A chain of commits for each user, whose last epoch was tampered with."""
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    e = _t(spark, sf, "events").select("user_id", "event_id", "ts", F.row_number().over(w).cast("long").alias("sequence"), F.sha2(F.concat_ws("|", "event_type", F.col("value").cast("string")), 256).alias("ops_hash"))
-    # Each id covers the id before it: a fold over the user's earlier operations.
-    own = F.collect_list("ops_hash").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    chained = F.aggregate(F.transform(own, lambda h, i: F.struct(h.alias("h"), (i + 1).cast("long").alias("s"))), F.lit("0"), lambda a, x: changes.epoch_id(a, x["s"], x["h"]))
-    made = e.withColumn("epoch_id", chained)
-    made = made.withColumn("parent_id", F.coalesce(F.lag("epoch_id").over(Window.partitionBy("user_id").orderBy("sequence")), F.lit("0")))
-    last = F.max("sequence").over(Window.partitionBy("user_id")) == F.col("sequence")
-    tampered = made.withColumn("ops_hash", F.when(last, F.lit("tampered")).otherwise(F.col("ops_hash")))
+    e = _t(spark, sf, "events").select("user_id", "ts", "event_id", F.sha2(F.concat_ws("|", "event_type", F.col("value").cast("string")), 256).alias("ops_hash"))
+    made = written(changes.chained(e, "user_id", "ts", "event_id"), "chain")
+    last = made.groupBy("user_id").agg(F.max("sequence").alias("last"))
+    tampered = made.join(last, "user_id").withColumn("ops_hash", F.when(F.col("sequence") == F.col("last"), F.lit("tampered")).otherwise(F.col("ops_hash"))).drop("last")
     found = changes.verify_chain(tampered, chain="user_id")
     return found.groupBy("user_id").agg(F.count("*").alias("n"), F.sum(F.col("sound").cast("long")).alias("sound"), F.sum((~F.col("sound")).cast("long")).alias("broken"))
 
@@ -663,6 +799,14 @@ def bench_statistics(spark: SparkSession, sf: str) -> DataFrame:
     return reports.statistics(_t(spark, sf, "events"), ["event_type"], "value").withColumn("stdev", F.round("stdev", 6))
 
 
+@query("""SELECT l_returnflag AS dataset, l_linestatus AS op, count(*) AS n, median(l_quantity) AS median, round(stddev_samp(l_quantity), 6) AS stdev, round(max(l_extendedprice) / median(l_quantity), 6) AS throughput,
+ round(max(l_extendedprice * (1 - l_discount)) / max(l_extendedprice), 9) AS ratio, max(l_orderkey) AS rss FROM lineitem GROUP BY 1, 2""")
+def bench_summary(spark: SparkSession, sf: str) -> DataFrame:
+    """A10 over lines as runs: quantity as seconds, price before and after the discount as bytes in and out."""
+    li = _t(spark, sf, "lineitem").select(F.col("l_returnflag").alias("dataset"), F.col("l_linestatus").alias("op"), F.col("l_quantity").alias("seconds"), F.col("l_extendedprice").alias("bytes_in"), (F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("bytes_out"), F.col("l_orderkey").alias("rss"))
+    return reports.bench_summary(li, "dataset", "op").withColumns({"stdev": F.round("stdev", 6), "throughput": F.round("throughput", 6), "ratio": F.round("ratio", 9)})
+
+
 @query("""WITH m AS (SELECT user_id % 50 AS row, event_type, median(value) AS median FROM events GROUP BY 1, 2), b AS (SELECT *, min(median) OVER (PARTITION BY row) AS best FROM m)
 SELECT event_type, sum(CASE WHEN median = best THEN 1 ELSE 0 END)::BIGINT AS n_wins, sum(CASE WHEN median <> best AND abs(median - best) / greatest(best, 1e-9) < 0.05 THEN 1 ELSE 0 END)::BIGINT AS n_ties FROM b GROUP BY 1""")
 def win_matrix(spark: SparkSession, sf: str) -> DataFrame:

@@ -11,10 +11,11 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from lakecairn.functions import codecs, content, hashing, paths
+from lakecairn.functions.codecs import CODECS, choose_whole, round_trips, special_codec
 from lakecairn.operators import changes, chunking, redundancy, sketches, storage, tree
 from lakecairn.plans import config
 from lakecairn.sources import files, locators, schemas
-from lakecairn.streaming.store import Store
+from lakecairn.streaming.store import ConflictError, Store
 
 SIZES = (64, 256, 1024)
 
@@ -267,3 +268,107 @@ def test_locators_and_archives(spark, tmp_path):
         locators.decode_car(bytes(raw))
     assert locators.read_varint(locators.varint(300)) == (300, 2)
     assert locators.cid_text(locators.cid(b"x")).startswith("bafkrei")
+
+
+# Versions, codecs, chains
+
+
+def _table(spark, *values):
+    return spark.createDataFrame([(v,) for v in values], "k long")
+
+
+def test_a_commit_that_dies_changes_nothing(spark, tmp_path, monkeypatch):
+    store = Store(spark, str(tmp_path / "s"), "k")
+    store.commit(_table(spark, 1), "build")
+
+    def dies(*_):
+        raise RuntimeError("lost")
+
+    with pytest.raises(RuntimeError):  # while data is written
+        store.publish(lambda path: (_table(spark, 2).write.parquet(path), dies()) and None, "commit")
+    monkeypatch.setattr(Store, "_point", dies)
+    with pytest.raises(RuntimeError):  # before the pointer
+        store.commit(_table(spark, 3), "commit")
+    monkeypatch.undo()
+    real = store._files
+
+    class Broken:
+        rename = dies
+
+    store._files = Broken()
+    with pytest.raises(RuntimeError):  # between the pointer aside and its rename
+        store.commit(_table(spark, 4), "commit")
+    store._files = real
+    other = Store(spark, store.root, "k")
+    assert [r["k"] for r in other.read().collect()] == [1] and len(other.history()) == 1
+    assert other.commit(_table(spark, 5), "commit") == 1 and [r["k"] for r in store.read().collect()] == [5]
+    assert [r["k"] for r in store.read(0).collect()] == [1]
+    assert store.sweep(older_than=3600) == 0 and store.sweep(older_than=-5) == 4
+    assert [r["k"] for r in other.read().collect()] == [5] and store.sweep(older_than=-5) == 0
+
+
+def test_of_two_writers_one_wins(spark, tmp_path):
+    a, b = (Store(spark, str(tmp_path / "s"), "k") for _ in range(2))
+    a.commit(_table(spark, 1), "build")
+
+    def slow(path):
+        b.commit(_table(spark, 2), "commit")  # comes first
+        _table(spark, 3).write.parquet(path)
+
+    with pytest.raises(ConflictError):
+        a.publish(slow, "commit")
+    assert [r["k"] for r in a.read().collect()] == [2] and [e["version"] for e in a.history()] == [0, 1]
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.one_of(st.binary(max_size=600), st.lists(st.sampled_from([b"\xe8", b"\xe9", b"abc,", b"\0\0\0\x94", b"\xff"]), max_size=200).map(b"".join)))
+def test_every_codec_gives_any_content_back(raw):
+    assert [c for c, ok in zip(CODECS, round_trips(raw), strict=True) if not ok] == []
+
+
+def test_special_codecs_win_on_their_kind():
+    rng = np.random.default_rng(3)
+    pixels = rng.normal(1000, 5, 50_000).astype(">i2").tobytes()
+    assert choose_whole(pixels, "ricepp")[0] == CODECS["ricepp"].id
+    assert choose_whole(pixels, None)[0] != CODECS["ricepp"].id
+    assert choose_whole(b"", "ricepp") == (0, b"") and choose_whole(b"x", "flac")[0] == 0
+    assert special_codec("pcm:44100/1/16") == "flac" and special_codec("exec:arm64") == "bcj-arm64+zstd" and special_codec(None) is None
+
+
+def test_chains(spark):
+    ops = spark.createDataFrame([("a", i, f"h{i}") for i in range(5)] + [("b", 0, "h")], "c string, t int, ops_hash string")
+    made = changes.chained(ops, "c", "t")
+    assert all(r["sound"] for r in changes.verify_chain(made, chain="c").collect())
+    one = made.filter("c = 'a'").drop("c")
+    assert all(r["sound"] for r in changes.verify_chain(one).collect())
+    broken = one.withColumn("parent_id", F.when(F.col("sequence") == 3, F.lit("x")).otherwise(F.col("parent_id")))
+    assert {r["sequence"] for r in changes.verify_chain(broken).collect() if not r["sound"]} == {3}
+    twice = one.unionByName(one.filter("sequence = 2"))
+    assert {r["sequence"] for r in changes.verify_chain(twice).collect() if not r["sound"]} == {2, 3}
+    gap = one.filter("sequence <> 2")
+    assert {r["sequence"] for r in changes.verify_chain(gap).collect() if not r["sound"]} == {3}
+
+
+def test_packing_in_groups(spark):
+    assert [storage.packing_prefix(n, 10) for n in (0, 640, 641, 10_240, 10_241)] == [0, 0, 1, 1, 2]
+    drops = spark.range(3000).select(F.sha2(F.col("id").cast("string"), 256).alias("drop_id"), (F.col("id") % 50 + 1).alias("enc_len"))
+    got = storage.packed(drops, 1000).orderBy("slab", "offset").collect()
+    assert len(got) == 3000 and len({r["drop_id"][0] for r in got if r["slab"] == 0}) == 1
+    by = {}
+    for r in got:
+        used, count = by.get(r["slab"], (0, 0))
+        assert r["offset"] == used
+        by[r["slab"]] = (used + r["enc_len"], count + 1)
+    assert set(by) == set(range(len(by))) and all(n + 49 * k <= 1000 - 56 for n, k in by.values())
+
+
+def test_a_cluster_needs_a_shared_folder(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    from lakecairn.sources import scratch
+
+    unset = SimpleNamespace(get=lambda *_: None)
+    jsc = SimpleNamespace(sc=lambda: SimpleNamespace(getCheckpointDir=lambda: SimpleNamespace(isDefined=lambda: False)))
+    far = SimpleNamespace(conf=unset, sparkContext=SimpleNamespace(getConf=lambda: unset, _jsc=jsc, master="spark://host:7077"))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        scratch.shared_dir(far)
