@@ -92,15 +92,19 @@ def only_result() -> Iterator[Callable[[DataFrame], DataFrame]]:
     WRITTEN[start:] = [x for x in WRITTEN[start:] if x[1] in left]
 
 
-def shielded(docs: DataFrame) -> tuple[DataFrame, Callable[[str], str], Callable[[DataFrame], DataFrame]]:
+def shielded(docs: DataFrame, text_col: str) -> tuple[DataFrame, Callable[[str], str], Callable[[DataFrame], DataFrame]]:
     """docs under plain column names, the plain name of a column, and the way back to all columns of docs.
 
-    So a column of docs may have any name: one with dots, or that of a result or of a helper column.
+    So a column of docs may have any name: one with dots, or that of a result or of a helper
+    column. The text column is ``text``; one that is no string stays beside its text.
     """
-    names = docs.columns
-    plain = [f"c{i}" for i in range(len(names))]
+    names, own = docs.columns, docs.schema[text_col].dataType == T.StringType()
+    plain = ["text" if own and c == text_col else f"c{i}" for i, c in enumerate(names)]
     place = dict(zip(names, plain, strict=True))
-    return docs.toDF(*plain), place.__getitem__, lambda df: df.select(*plain).toDF(*names)
+    out = docs.toDF(*plain)
+    if not own:
+        out = out.withColumn("text", F.col(place[text_col]).cast("string"))
+    return out, place.__getitem__, lambda df: df.select(*plain).toDF(*names)
 
 
 def give_back() -> None:

@@ -284,9 +284,9 @@ def clean(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, id_col
     the whole text; only digests that go are joined. Null and empty texts stay, repeated
     rows stay or go together, an empty table or benchmark changes nothing.
     """
-    plain, name, back = C.shielded(docs)
-    digest = F.md5(F.encode(F.coalesce(F.col(name(text_col)).cast("string"), F.lit("")), "utf-8"))
-    held = index(plain, id_col=name(id_col), text_col=name(text_col), digest=digest)
+    plain, name, back = C.shielded(docs, text_col)
+    digest = F.md5(F.encode(F.coalesce("text", F.lit("")), "utf-8"))
+    held = index(plain, id_col=name(id_col), digest=digest)
     gone = verdicts(held, search(held, benchmark, window=window)).filter("n_full > 0 or contaminated").select("digest").distinct()
     gone = C.written(gone, "contaminated")
     return back(plain.withColumn("digest", digest).join(gone, "digest", "left_anti"))

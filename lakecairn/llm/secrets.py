@@ -149,18 +149,20 @@ def redact(docs: DataFrame, *, copied_repos: int = COPIED_REPOS, copied_owners:
     stay, whatever the columns' names; null and empty texts pass through, repeated rows
     stay alike, an empty table stays empty.
     """
-    plain, name, back = C.shielded(docs)
-    names, text = plain.columns, name(text_col)
+    plain, name, back = C.shielded(docs, text_col)
+    names = plain.columns
     fields = [C.string("spans"), T.StructField("hashes", T.ArrayType(T.StringType()))]
-    found = C.map_texts(plain.withColumn("text", F.col(text).cast("string")), lambda: lambda texts: _extractor()(texts)[4:], fields, tuple(names))
+    found = C.map_texts(plain, lambda: lambda texts: _extractor()(texts)[4:], fields, tuple(names))
     found = C.written(found.withColumn("row", F.monotonically_increasing_id()), "secrets")
     held = found.filter(F.size("hashes") > 0)
     values = held.select("row", "hashes", F.col(name(repo_col)).cast("string").alias("repo"), F.col(name(owner_col)).cast("string").alias("owner"))
     verdict = verdicts(values, "row", copied_repos, copied_owners).select("row", F.col("each.live").alias("live"))
     clean = F.udf(masked, T.StringType(), useArrow=True)
-    done = held.join(verdict, "row", "left").withColumn(text, clean(F.col(text), "spans", "live"))
+    done = held.join(verdict, "row", "left").withColumn("text", clean(F.col("text"), "spans", "live"))
+    if name(text_col) != "text":
+        done = done.withColumn(name(text_col), F.col("text").cast(docs.schema[text_col].dataType))
     if chars_col in docs.columns:
-        done = done.withColumn(name(chars_col), F.length(text).cast(docs.schema[chars_col].dataType))
+        done = done.withColumn(name(chars_col), F.length("text").cast(docs.schema[chars_col].dataType))
     return back(found.filter(F.size("hashes") == 0).select(*names).unionByName(done.select(*names)))
 
 

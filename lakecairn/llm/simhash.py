@@ -191,8 +191,8 @@ def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text")
     Columns stay, whatever their names. Null and empty texts have fingerprint zero and link
     like any other; an empty table stays empty.
     """
-    plain, name, back = C.shielded(docs)
-    found = fingerprints(plain.withColumn("text", F.col(name(text_col)).cast("string")), tuple(plain.columns)).withColumn("row", F.monotonically_increasing_id())
+    plain, name, back = C.shielded(docs, text_col)
+    found = fingerprints(plain, tuple(plain.columns)).withColumn("row", F.monotonically_increasing_id())
     found = C.written(found, "prints")
     rows = found.select(F.col(name(id_col)).isNull().cast("int").alias("none"), F.col(name(id_col)).alias("id"), "row", "fp")
     firsts = grouped(rows, "none", "id", "row").select(F.col("first.row").alias("row")).distinct()

@@ -51,6 +51,8 @@ OWN_SHARE = 0.02
 STEPS = (2, 4, 6, 8, 10, 12, 16)
 #: Ridge of the calibration.
 RIDGE = 0.1
+#: Score of every text where the labels don't allow a model.
+UNTOLD = 0.25
 #: Spelled words that a task remembers; forgetting changes no result.
 REMEMBERED = 120_000
 
@@ -138,11 +140,11 @@ def dictionaries(rows: list[tuple[bytes, int]]) -> tuple[bytes, bytes]:
 
 
 def fit(rows: list[tuple[bytes, int]]) -> Model:
-    """Dictionaries from one half of the rows, calibration from the other, so that it meets unseen texts.
+    """Dictionaries from every other row of each class, calibration from the rest, so that it meets unseen texts.
 
-    Without rows of both classes in the second half the score is the share of toxic rows.
+    Without rows of both classes in the second half nothing can be told apart: every text has the score UNTOLD and none is rejected.
     """
-    own, other = rows[::2], rows[1::2]
+    own, other = [[x for k in (0, 1) for x in [r for r in rows if r[1] == k][half::2]] for half in (0, 1)]
     plain, toxic = dictionaries(own)
     size = len(STEPS) + 3
     a, b = _compressors(Model(plain, toxic, ()))
@@ -150,8 +152,7 @@ def fit(rows: list[tuple[bytes, int]]) -> Model:
     x = np.array([features(speller.windows(t), a, b) for t, _ in other]).reshape(-1, size)
     y = np.array([k for _, k in other], float)
     if not len(y) or y.min() == y.max():
-        share = (sum(k for _, k in rows) + 0.5) / (len(rows) + 1)
-        return Model(plain, toxic, (math.log(share / (1 - share)), *[0.0] * size))
+        return Model(plain, toxic, (math.log(UNTOLD / (1 - UNTOLD)), *[0.0] * size))
     mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-9
     x = np.hstack([np.ones((len(x), 1)), (x - mean) / scale])
     w = np.zeros(size + 1)
@@ -201,9 +202,8 @@ def clean(docs: DataFrame, model: Model, *, threshold: float = 0.5, text_col: st
 
     Null and empty texts have the score of no window; repeated rows stay or go together.
     """
-    plain, name, back = C.shielded(docs)
-    rows = plain.withColumn("text", F.col(name(text_col)).cast("string"))
-    scored = C.map_texts(rows, _scorer(model, threshold), [C.double("score"), T.StructField("predicted", T.IntegerType())], tuple(plain.columns))
+    plain, _, back = C.shielded(docs, text_col)
+    scored = C.map_texts(plain, _scorer(model, threshold), [C.double("score"), T.StructField("predicted", T.IntegerType())], tuple(plain.columns))
     return back(scored.filter("predicted = 0"))
 
 
