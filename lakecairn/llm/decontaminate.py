@@ -67,16 +67,28 @@ def segment_postings(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, pa.Arr
 
 
 def packed(places: np.ndarray, counts: np.ndarray) -> pa.Array:
-    """The runs of rising places as binary values: the first, then the steps, each a little-endian 32-bit number."""
+    """The runs of rising places as binary values: the first, then the steps, each in groups of 7 bits, lowest first, all but the last with bit 7."""
     first = np.cumsum(counts) - counts
     steps = np.diff(places, prepend=0)
     steps[first] = places[first]
-    ends = (4 * np.concatenate([[0], np.cumsum(counts)])).astype(np.int32)
-    return pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(ends), pa.py_buffer(steps.astype("<i4"))])
+    size = 1 + sum((steps >= 1 << 7 * k).astype(np.int64) for k in range(1, 9))
+    ends = np.cumsum(size)
+    flat = np.zeros(int(ends[-1]) if len(ends) else 0, np.uint8)
+    for k in range(int(size.max(initial=0))):
+        own = size > k
+        flat[(ends - size)[own] + k] = (steps[own] >> 7 * k & 127) | np.where(size[own] > k + 1, 128, 0)
+    cuts = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)])].astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(cuts), pa.py_buffer(flat)])
 
 
 def unpacked(raw: bytes) -> np.ndarray:
-    return np.cumsum(np.frombuffer(raw, "<i4"), dtype=np.int64)
+    flat = np.frombuffer(raw, np.uint8)
+    if flat.max(initial=0) < 128:
+        return np.cumsum(flat, dtype=np.int64)
+    last = np.flatnonzero(flat < 128)
+    first = np.concatenate([[0], last[:-1] + 1])
+    group = np.arange(len(flat)) - np.repeat(first, last - first + 1)
+    return np.cumsum(np.add.reduceat((flat & 127).astype(np.int64) << 7 * group, first))
 
 
 def _indexer(id_type: pa.DataType) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -208,6 +220,7 @@ def hits(held: Index, queries: DataFrame, width: int | None = None) -> DataFrame
 
     Without ``width`` the terms stand at their shifts from one another (an exact phrase);
     with it, first is a place of the rarest term with all others within ``width`` words.
+    The lists of the queries' terms, and no others, are dealt by segment once.
     """
     wanted = queries.select("term").distinct()
     counts = held.postings.select("term", "n").join(wanted, "term", "left_semi").groupBy("term").agg(F.sum("n").alias("total"))
@@ -218,10 +231,9 @@ def hits(held: Index, queries: DataFrame, width: int | None = None) -> DataFrame
     rated = C.written(rated.select("query", F.col("order.id").alias("terms"), F.col("order.shift").cast("array<bigint>").alias("shifts")), "queries")
     lists = held.postings.join(counts.select("term", "id"), "term").select("segment", "id", "places")
     asked = rated.withColumn("id", F.get("terms", F.lit(0))).join(lists.select("segment", "id"), "id").select("segment", "query", "terms", "shifts")
-    need = C.written(asked.select("segment", F.explode("terms").alias("id")).distinct(), "needed")
     none = lambda kind: F.lit(None).cast(kind)
     of_docs = held.rows.select("segment", F.lit(DOCUMENT).alias("kind"), none("bigint").alias("id"), none("binary").alias("places"), "start", "n_words", none("array<bigint>").alias("terms"), none("array<bigint>").alias("shifts"))
-    of_lists = lists.join(need, ["segment", "id"], "left_semi").select("segment", F.lit(POSTING).alias("kind"), "id", "places", none("bigint").alias("start"), none("bigint").alias("n_words"), none("array<bigint>").alias("terms"), none("array<bigint>").alias("shifts"))
+    of_lists = lists.select("segment", F.lit(POSTING).alias("kind"), "id", "places", none("bigint").alias("start"), none("bigint").alias("n_words"), none("array<bigint>").alias("terms"), none("array<bigint>").alias("shifts"))
     of_queries = asked.select("segment", F.lit(QUERY).alias("kind"), F.col("query").alias("id"), none("binary").alias("places"), none("bigint").alias("start"), none("bigint").alias("n_words"), "terms", "shifts")
     dealt = of_docs.unionByName(of_lists).unionByName(of_queries).repartition("segment").sortWithinPartitions("segment", "kind")
     return dealt.mapInArrow(_intersecter(width), "segment long, slot long, first long, last long, query long")

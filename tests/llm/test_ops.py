@@ -231,6 +231,14 @@ def contamination(texts, items, window=13):
     return sorted(out, key=repr)
 
 
+def test_packed_places():
+    rng = np.random.default_rng(2)
+    for top in (2, 100, 300, 70_000, 3_000_000, 1 << 40):
+        runs = [np.unique(rng.integers(0, top, rng.integers(1, 50))) for _ in range(40)]
+        got = decontaminate.packed(np.concatenate(runs), np.array([len(r) for r in runs])).to_pylist()
+        assert all((decontaminate.unpacked(g) == r).all() for g, r in zip(got, runs, strict=True))
+
+
 BENCH_MORE = [(7, "quick brown"), (7, "quick brown"), (None, "lazy dog the"), (8, None), (9, "")]
 
 
@@ -475,6 +483,137 @@ def test_ppm_odd_rows_and_adaptive(odd):
     assert ppm.adaptive(b"abab" * 50) > 4 * ppm.adaptive(b"abab" * 12)
 
 
+CLASHES = ("predicted", "score", "a.b", "fp", "row", "__fp", "__row", "c0", "c1", "spans", "digest", "n_words", "live", "segment", "with space")
+
+
+def test_stages_with_odd_rows_and_names(spark, tmp_path):
+    import corpus_pipeline as p
+
+    extra = [F.lit(f"own {c}").alias(c) for c in CLASHES]
+    odd = spark.createDataFrame([*ODD, (7, "password=liveliveliv3 and words", "en", "a", 30)], DOCS).select("*", *extra)
+    C.table(spark, SF, "benchmark").write.parquet(f"{tmp_path}/benchmark.parquet")
+    C.table(spark, SF, "labels").limit(0).write.parquet(f"{tmp_path}/labels.parquet")
+    for name, stage in p.STAGES[:-1]:
+        assert stage(spark, odd.limit(0), str(tmp_path)).count() == 0
+        out = stage(spark, odd, str(tmp_path))
+        assert out.columns == odd.columns and [f.dataType for f in out.schema] == [f.dataType for f in odd.schema]
+        got = out.collect()
+        assert all(r[c] == f"own {c}" for r in got for c in CLASHES)
+        rows = collections.Counter((r["doc_id"], r["text"]) for r in got)
+        if name == "near duplicates":  # one of the texts without words, one of the two equal ones, the first in order
+            assert sorted(rows.elements(), key=repr) == sorted([(r[0], r[1]) for r in ODD if r[0] in (1, 2, 4)] + [ODD[4][:2], (7, "password=liveliveliv3 and words")], key=repr)
+        elif name == "secrets":
+            assert rows == collections.Counter([*[r[:2] for r in ODD if r[0] not in (None, 4)], (4, "[hex] " + "word " * 20_000), (None, ODD[4][1].replace("password=abcdefgh12", "[assign]")), (7, "[assign] and words")])
+        else:
+            assert rows == collections.Counter([*[r[:2] for r in ODD], (7, "password=liveliveliv3 and words")])
+    last = p.STAGES[-1][1]
+    assert last(spark, odd.limit(0), str(tmp_path)).count() == 0 and last(spark, odd, str(tmp_path)).count() == len(ODD) + 1
+
+
+def test_stages_with_a_text_column_of_another_type(spark):
+    rows = spark.createDataFrame([(1, 5, "a", 1), (2, 5, "a", 1), (None, None, None, None)], "doc_id long, text int, source string, n_chars long")
+    assert sorted(tuple(r) for r in simhash.keep_one(rows).collect() if r["doc_id"]) == [(1, 5, "a", 1)]
+    assert secrets.redact(rows).schema == rows.schema and secrets.redact(rows).count() == 3
+
+
+def test_empty_secrets_and_scores_of_odd_rows(spark, odd):
+    labels = spark.createDataFrame([(1, 1, 1), (4, 0, 0), (6, 1, 0), (None, 1, 1), (99, 1, 1), (2, None, None)], "doc_id long, quality int, toxic int")
+    model = toxicity.trained(odd, labels)
+    got = toxicity.score(odd, model).collect()
+    assert len(got) == len(ODD) and len({r["score"] for r in got if r["doc_id"] in (2, 3, 6)}) == 1
+    weights = quality_model.train(quality_model.labelled_sample(odd, labels, "quality"))
+    scored = quality_model.classify(odd, weights).collect()
+    assert len(scored) == len(ODD) and all(0 <= r["score"] <= 1 for r in scored)
+    assert len({r["score"] for r in scored if r["doc_id"] in (2, 3, 6)}) == 1
+
+
+def test_compression_distance_by_the_library():
+    """Features of a window are differences of lengths that the library itself gives; dictionaries are its own."""
+    import zstandard
+
+    rng = np.random.default_rng(4)
+    vocab = ["".join(rng.choice(list("abcdefghij"), rng.integers(3, 9))) for _ in range(400)]
+    text = lambda bad: " ".join([*rng.choice(vocab, 60), *(["scoundrel", "villain"] if bad else [])]).encode()
+    rows = [(text(i % 2), i % 2) for i in range(300)]
+    plain, toxic = toxicity.dictionaries(rows)
+    assert toxicity.own_words([[b"x", b"villain"]] * 9 + [[b"x"]], [[b"x"]] * 60) == {b"villain"}
+    model = toxicity.fit(rows)
+    assert np.mean([(s >= 0.5) == bool(y) for s, (_, y) in zip(toxicity._scorer(model, 0.5)()([t for t, _ in rows])[0], rows, strict=True)]) > 0.97
+
+    def length(content, window):
+        d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        p = zstandard.ZstdCompressionParameters(write_checksum=0, write_content_size=0, write_dict_id=0, **toxicity.PARAMETERS)
+        return len(zstandard.ZstdCompressor(dict_data=d, compression_params=p).compress(window))
+
+    a, b = toxicity._compressors(toxicity.Model(plain, toxic, ()))
+    words = C.alnum_words(rows[1][0])
+    windows = [b"".join(toxicity.spelled(w) for w in words[i : i + toxicity.WINDOW]) for i in range(0, len(words), toxicity.WINDOW)]
+    saved = [length(plain, w) - length(toxic + plain, w) for w in windows]
+    own = toxicity.features(toxicity.Speller().windows(rows[1][0]), a, b)
+    assert own[:-3] == pytest.approx([np.mean([s >= k for s in saved]) for k in toxicity.STEPS]) and max(saved) == own[-2] > 0
+
+
+def test_quality_by_brute_force():
+    """FTRL-proximal as published, coordinate by coordinate, over the same features."""
+    rng = np.random.default_rng(9)
+    rows = [(" ".join(rng.choice(["a", "bb", "Ccc", "d1", "e"], rng.integers(0, 9))).encode(), int(rng.integers(2))) for _ in range(40)]
+    m = quality_model
+    z, n = collections.defaultdict(float), collections.defaultdict(float)
+    weight = lambda i: 0.0 if abs(z[i]) <= m.L1 else -(z[i] - math.copysign(m.L1, z[i])) / ((m.BETA + math.sqrt(n[i])) / m.ALPHA + m.L2)
+    order = np.random.default_rng(8)
+    feats = m._features([t for t, _ in rows])
+    for _ in range(2):
+        for k in order.permutation(len(rows)):
+            x = [*zip(feats[k][0].tolist(), feats[k][1].tolist(), strict=True), (1 << m.BITS, 1.0)]
+            w = {i: weight(i) for i, _ in x}
+            p = 1 / (1 + math.exp(-sum(w[i] * v for i, v in x)))
+            for i, v in x:
+                g = (p - rows[k][1]) * v
+                s = (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / m.ALPHA
+                z[i] += g - s * w[i]
+                n[i] += g * g
+    got = m.train(rows, epochs=2)
+    assert {i for i in np.flatnonzero(got).tolist()} <= z.keys()
+    assert all(got[i] == pytest.approx(weight(i), abs=1e-4) for i in z)
+
+
+def test_shard_and_slot_by_hand(spark):
+    """Row numbers in the order of (id, checksum, size), Feistel rounds and cycle walking in plain Python; the hash is Spark's."""
+    n = 57
+    df = spark.createDataFrame([(i, "t" * (i % 7), "en", "a", 1) for i in range(n)], DOCS)
+    a, b = sharding.domain(n)
+    hashes = {(r["x"], r["k"]): r["h"] for r in spark.range(max(a, b)).select(F.col("id").alias("x")).crossJoin(spark.range(sharding.ROUNDS).select(F.col("id").cast("int").alias("k"))).select("x", "k", F.xxhash64("x", F.lit(sharding.SEED), "k").alias("h")).collect()}
+
+    def once(x):
+        left, right = x % a, x // a
+        for k in range(sharding.ROUNDS):
+            if k % 2 == 0:
+                left = (left + hashes[right, k] % a) % a
+            else:
+                right = (right + hashes[left, k] % b) % b
+        return left + right * a
+
+    want = {}
+    for x in range(n):
+        p = once(x)
+        while p >= n:
+            p = once(p)
+        want[x] = (p % 5, p // 5)
+    assert {r["doc_id"]: (r["shard"], r["slot"]) for r in sharding.shard(df, 5).collect()} == want
+
+
+def test_secret_places_in_linear_time():
+    import time
+
+    took = []
+    for times in (4_000, 16_000):
+        raw = ("ü token=abcdefgh1 " * times + "eyJ" * times).encode()
+        start = time.perf_counter()
+        secrets._extractor()([raw])
+        took.append(time.perf_counter() - start)
+    assert took[1] < 12 * took[0] + 0.2
+
+
 def test_pipeline_by_brute_force(spark):
     import corpus_pipeline as p
 
