@@ -99,8 +99,14 @@ CODECS = _registry()
 BY_ID = {c.id: c for c in CODECS.values()}
 
 
+#: Fixed value: says that a drop is stored in a base, not here.
+REFERENCED = 0xFE
+
+
 def decompress(codec: int, payload: bytes, plain_len: int) -> bytes:
-    """By id; an unknown one is an error. Tasks call this by name, as codecs themselves can't be sent to them."""
+    """By id; an unknown one, or that of a drop in a base, is an error. Tasks call this by name, as codecs themselves can't be sent to them."""
+    if codec == REFERENCED:
+        raise ValueError("the drop is stored in the base")
     return BY_ID[codec].decompress(payload, plain_len)
 
 
@@ -117,6 +123,8 @@ class Tournament:
     min_size: int = 256
     skip_binary: bool = False
     stop_permille: int = 0
+    #: Whole files: no tournament, the binary codec for binary content and the text codec for all other.
+    by_class: bool = False
 
 
 def choose(raw: bytes, kind: str, rules: Tournament) -> tuple[int, bytes]:
@@ -125,6 +133,10 @@ def choose(raw: bytes, kind: str, rules: Tournament) -> tuple[int, bytes]:
     Media, compressed and incompressible content is stored; content below the least
     size, or binary content when told so, goes straight to its class's codec.
     """
+    if rules.by_class:
+        codec = CODECS[rules.binary_codec if kind == "binary" else rules.text_codec]
+        encoded = codec.compress(raw)
+        return (codec.id, encoded) if len(encoded) < len(raw) else (0, raw)
     usual = {"binary": rules.binary_codec, "text": rules.text_codec, "code": rules.text_codec, "sparse": rules.text_codec}.get(kind, "store")
     if usual == "store":
         return 0, raw

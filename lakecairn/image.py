@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 
 from .functions import paths as P
 from .functions.hashing import digest
-from .operators import changes, chunking, dedup, reports, storage, tree
+from .operators import changes, dedup, reports, storage, tree
+from .operators.cache import DropCache
 from .plans.config import Profile, select
 from .sources import files as S
 from .sources.scratch import only_result, written
@@ -38,7 +39,9 @@ class Image(Versions):
             plain = tree.numbering(_attributed(files)).withColumnRenamed("inode", "file_id")
             _rows(plain, profile).write.parquet(f"{root}/files")
             self._store(plain, profile, root, base=base.drops() if base else None)
-            return self._entry(root, [f"{root}/drops"], [f"{root}/dictionaries"])
+            if base:
+                storage.references(self.spark.read.parquet(f"{root}/slices"), base.drops()).write.parquet(f"{root}/references")
+            return {**self._entry(root, [f"{root}/drops"], [f"{root}/dictionaries"]), "layer": base is not None}
 
         return self.publish(write, op, params=profile.name)
 
@@ -67,6 +70,12 @@ class Image(Versions):
     def drops(self) -> DataFrame:
         return self.spark.read.parquet(*self.entry()["drops"])
 
+    def references(self) -> DataFrame:
+        """Rows of drops for what a layer takes from its base (the sentinel codec, no payload); none for an image that stands alone."""
+        if not self.entry().get("layer"):
+            return self.drops().limit(0)
+        return self.spark.read.parquet(f"{self.place()}/references")
+
     def dictionaries(self) -> DataFrame:
         return self.spark.read.parquet(*self.entry()["dictionaries"])
 
@@ -139,6 +148,14 @@ class Image(Versions):
 
         return self.contents().select("path", "content").mapInArrow(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
 
+    def reachable(self) -> DataFrame:
+        """drop_id of every drop that the tree needs."""
+        return self.slices().select("drop_id").distinct()
+
+    def reader(self, capacity: int = 256) -> DropCache:
+        """For repeated point reads from the driver: decoded drops, the least recently used go first."""
+        return DropCache(lambda ids: {r["drop_id"]: bytes(r["chunk"]) for r in storage.plain(self.drops().filter(F.col("drop_id").isin(*ids)), self.dictionaries()).select("drop_id", "chunk").collect()}, capacity)
+
     # Reports
 
     def inspect(self) -> DataFrame:
@@ -188,7 +205,8 @@ class Image(Versions):
         """rule, n of the structural rules and of the root hash, which is computed anew; all zero for a sound image."""
         gaps = self.slices().groupBy("file_id").agg(F.sum("drop_len").alias("sum"), F.max("file_end").alias("end"), F.min("file_start").alias("start"))
         broken = gaps.filter("sum <> end or start <> 0").agg(F.count("*").alias("n")).select(F.lit("slice_gap").alias("rule"), "n")
-        lost = self.slices().join(self.drops().select("drop_id"), "drop_id", "left_anti").agg(F.count("*").alias("n")).select(F.lit("missing_drop").alias("rule"), "n")
+        known = self.drops().select("drop_id").unionByName(self.references().select("drop_id"))
+        lost = self.slices().join(known, "drop_id", "left_anti").agg(F.count("*").alias("n")).select(F.lit("missing_drop").alias("rule"), "n")
         changed = self.spark.createDataFrame([("root", int(self.root_id() != self.entry()["root"]))], "rule string, n long")
         return tree.violations(self.edges(), self.files()).unionByName(broken).unionByName(lost).unionByName(changed)
 

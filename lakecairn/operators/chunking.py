@@ -84,6 +84,22 @@ def boundaries(raw: bytes, smallest: int, average: int, largest: int) -> list[in
     return out
 
 
+def stream_boundaries(read: Callable[[int], bytes], smallest: int, average: int, largest: int, *, block: int = 1 << 20) -> Iterator[int]:
+    """The same ends for content that comes in pieces. Holds a block and a largest chunk at most: a chunk's end depends on nothing behind its largest size."""
+    held, before, more = b"", 0, True
+    while more or held:
+        while more and len(held) < largest + block:
+            piece = read(block)
+            held, more = held + piece, bool(piece)
+        start = 0
+        for end in boundaries(held, smallest, average, largest):
+            if more and start + largest > len(held):
+                break
+            yield before + end
+            start = end
+        held, before = held[start:], before + start
+
+
 def chunks(files: DataFrame, sizes: tuple[int, int, int] = DEFAULT_SIZES, *, key: str = "file_id", whole: bool = False, category: Callable[[str, bytes], str | None] | None = None) -> DataFrame:
     """key, seq, file_start, file_end, chunk for each chunk of each file; empty files have none.
 

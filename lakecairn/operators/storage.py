@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from dataclasses import replace
 
 import numpy as np
 import pandas as pd
@@ -15,7 +16,7 @@ from pyspark.sql import types as T
 
 from ..functions import content as K
 from ..functions import paths as P
-from ..functions.codecs import CODECS, Tournament, choose, choose_whole, decompress, special_codec
+from ..functions.codecs import CODECS, REFERENCED, Tournament, choose, choose_whole, decompress, special_codec
 from ..functions.hashing import digest
 from ..sources import schemas
 from ..sources.scratch import written
@@ -25,6 +26,8 @@ from . import chunking
 RECORD_BYTES = 49
 HEADER_BYTES = 56
 SLAB_BYTES = 60 * 1024 * 1024
+#: Row digests that one bucket of a root hash may hold.
+BUCKET_ROWS = 65_536
 #: Slabs that one task may pack; more bytes are packed by longer prefixes of the id.
 SLABS_A_GROUP = 64
 
@@ -208,6 +211,7 @@ def build(files: DataFrame, sizes: chunking.Sizes, rules: Tournament = Tournamen
     """
     cut = written(chunking.with_ids(chunking.chunks(files, sizes, whole=whole, category=K.file_category if special else None)), "cut")
     columns = ("chunk", "category") if special else ("chunk",)
+    rules = replace(rules, by_class=whole)
     drops = encoded(classified(kept(cut, base, *columns)), rules).select("drop_id", "plain_len", "class", "codec", "enc_len", "payload")
     drops = written(drops, "encoded")
     found = drops.sparkSession.createDataFrame([], "class string, dict_id int, dictionary binary")
@@ -242,6 +246,12 @@ def layer(drops: DataFrame, base: DataFrame) -> DataFrame:
     return drops.join(base.select("drop_id").distinct(), "drop_id", "left_anti")
 
 
+def references(slices: DataFrame, base: DataFrame) -> DataFrame:
+    """Rows for the drops that slices take from a base: the sentinel codec, no payload, no slab."""
+    own = base.select("drop_id", "plain_len", "class").join(slices.select("drop_id"), "drop_id", "left_semi")
+    return own.select("drop_id", "plain_len", "class", F.lit(REFERENCED).alias("codec"), F.lit(0).cast("long").alias("enc_len"), *[F.lit(None).cast(t).alias(c) for c, t in (("slab", "long"), ("offset", "long"), ("dict_id", "int"), ("payload", "binary"))])
+
+
 def referenced(drops: DataFrame, slices: DataFrame) -> DataFrame:
     return drops.join(slices.select("drop_id"), "drop_id", "left_semi")
 
@@ -307,17 +317,30 @@ def verify(drops: DataFrame) -> DataFrame:
     return drops.agg(F.count("*").alias("checked"), F.coalesce(F.sum(F.when(ok, 1).otherwise(0)), F.lit(0)).alias("passed"), F.coalesce(F.sum(F.when(ok, 0).otherwise(1)), F.lit(0)).alias("failed"))
 
 
+def root_levels(rows: int) -> int:
+    """Levels of buckets, 3 hex digits each: one, and another whenever a bucket of the last would hold more than BUCKET_ROWS of evenly spread rows."""
+    levels = 1
+    while rows > BUCKET_ROWS * 4096**levels:
+        levels += 1
+    return levels
+
+
 def root_hash(sections: list[tuple[str, DataFrame, Column]], domain: str = "lakecairn/v1") -> DataFrame:
     """One row, root: the hash over the domain and the section hashes in their fixed order.
 
-    A section's hash covers its sorted row digests in two levels, so no task holds all
-    rows: rows go to 4,096 buckets by digest, a bucket's sorted digests give its hash.
+    A section's hash covers its sorted row digests in levels, so no task holds many rows:
+    rows go to buckets by the first digits of their digest, a bucket's sorted digests give
+    its hash, and buckets go up to the next level in the same way. The count of levels follows the rows.
     """
     parts = None
     for k, (_, df, row) in enumerate(sections):
         rows = df.select(digest(row.cast("binary")).alias("h"))
-        buckets = rows.groupBy(F.substring("h", 1, 3).alias("b")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ""), 256).alias("h"))
-        one = buckets.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("b", "h"))), lambda x: F.concat(x["b"], x["h"])), ""), 256).alias("h")).select(F.lit(k).alias("k"), "h")
+        levels = root_levels(df.count())
+        now = rows.groupBy(F.substring("h", 1, 3 * levels).alias("b")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ""), 256).alias("h"))
+        for level in range(levels - 1, -1, -1):
+            entries = F.array_sort(F.collect_list(F.struct("b", "h")))
+            now = now.groupBy(F.substring("b", 1, 3 * level).alias("up")).agg(F.sha2(F.array_join(F.transform(entries, lambda x: F.concat(x["b"], x["h"])), ""), 256).alias("h")).withColumnRenamed("up", "b")
+        one = rows.sparkSession.range(1).select(F.lit("").alias("b")).join(now, "b", "left").select(F.lit(k).alias("k"), F.coalesce("h", F.sha2(F.lit(""), 256)).alias("h"))
         parts = one if parts is None else parts.unionByName(one)
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "h"))), lambda x: x["h"]), "")
     return parts.agg(F.sha2(F.concat(F.lit(domain), joined), 256).alias("root"))

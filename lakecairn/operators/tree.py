@@ -10,6 +10,8 @@ from ..sources.scratch import written
 
 #: Levels that a recursive walk may have; deeper trees are refused, not cut.
 MAX_DEPTH = 4096
+#: Entries of a directory from which on it is hashed in groups.
+FLAT_ENTRIES = 1_000_000
 
 
 def path_index(edges: DataFrame, root: Column, *, parent: str = "parent_id", child: str = "child_id", name: str = "name") -> DataFrame:
@@ -68,18 +70,29 @@ def entry_hash(name: Column, entry_type: Column, child_hash: Column) -> Column:
     return F.concat(name, F.lit(":"), entry_type.cast("string"), F.lit(":"), child_hash)
 
 
-def directory_hashes(leaves: DataFrame, levels: int) -> DataFrame:
+def directory_hashes(leaves: DataFrame, levels: int, *, flat: int = FLAT_ENTRIES) -> DataFrame:
     """path, node_hash of every directory from leaves (path, node_hash), bottom-up, ``levels`` directories deep.
 
-    A directory's hash is that of its entries sorted by name. One aggregation a level;
-    a group is one directory's entries.
+    A directory's hash is that of its entries sorted by name. Of a directory with more than
+    ``flat`` entries it is that of their groups (by the first 3 digits of the name's digest, one
+    hash each), so no task sorts more than a group. One aggregation a level, and a small one for such.
     """
     from ..functions import paths as P
 
     done, now = None, leaves.select("path", "node_hash", F.lit(1).alias("entry_type"))
+
+    def hashed(entries: DataFrame, *keys: str) -> DataFrame:
+        sorted_ = F.transform(F.array_sort(F.collect_list(F.struct("name", "entry"))), lambda x: x["entry"])
+        return entries.groupBy(*keys).agg(digest(F.array_join(sorted_, "\n")).alias("node_hash"))
+
     for _ in range(levels):
-        entries = now.select(P.parent(F.col("path")).alias("dir"), P.name(F.col("path")).alias("name"), entry_hash(P.name(F.col("path")), F.col("entry_type"), F.col("node_hash")).alias("entry"))
-        now = entries.groupBy("dir").agg(digest(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("name", "entry"))), lambda x: x["entry"]), "\n")).alias("node_hash"))
+        name = P.name(F.col("path"))
+        entries = now.select(P.parent(F.col("path")).alias("dir"), name.alias("name"), entry_hash(name, F.col("entry_type"), F.col("node_hash")).alias("entry"))
+        large = entries.groupBy("dir").count().filter(F.col("count") > flat).select("dir", F.lit(True).alias("large"))
+        group = F.when(F.col("large"), F.substring(digest(F.col("name").cast("binary")), 1, 3)).otherwise("")
+        first = hashed(entries.join(large, "dir", "left").withColumn("group", group), "dir", "group")
+        second = first.filter("group <> ''").select("dir", F.col("group").alias("name"), F.concat("group", F.lit(":"), "node_hash").alias("entry"))
+        now = first.filter("group = ''").select("dir", "node_hash").unionByName(hashed(second, "dir"))
         now = now.select(F.col("dir").alias("path"), "node_hash", F.lit(2).alias("entry_type"))
         done = now if done is None else done.unionByName(now)
     return done.select("path", "node_hash")

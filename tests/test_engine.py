@@ -372,3 +372,42 @@ def test_a_cluster_needs_a_shared_folder(spark, monkeypatch):
     far = SimpleNamespace(conf=unset, sparkContext=SimpleNamespace(getConf=lambda: unset, _jsc=jsc, master="spark://host:7077"))
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         scratch.shared_dir(far)
+
+
+def test_root_hash_of_any_depth(spark, monkeypatch):
+    values = [f"row {i}" for i in range(500)]
+    df = spark.createDataFrame([(v,) for v in values], "v string")
+
+    def sha(x):
+        return hashlib.sha256(x.encode()).hexdigest()
+
+    def by_hand(levels):
+        now = [(sha(v), sha(v)) for v in values]
+        for level in range(levels, -1, -1):
+            groups = {}
+            for b, h in sorted(now):
+                groups.setdefault(b[: 3 * level], []).append(h if level == levels else b + h)
+            now = [(b, sha("".join(x))) for b, x in groups.items()]
+        return sha("lakecairn/v1" + now[0][1] + sha(""))
+
+    assert [storage.root_levels(n) for n in (0, 4096 * 65_536, 4096 * 65_536 + 1)] == [1, 1, 2]
+    for levels in (1, 2, 3):
+        monkeypatch.setattr(storage, "root_levels", lambda n, levels=levels: levels if n else 1)
+        assert storage.root_hash([("a", df, F.col("v")), ("none", df.limit(0), F.col("v"))]).first()["root"] == by_hand(levels)
+
+
+def test_flat_directories_are_hashed_in_groups(spark):
+    names = [f"n{i}" for i in range(40)]
+    leaves = spark.createDataFrame([(f"/big/{n}", f"h{n}") for n in names] + [("/small/a", "ha")], "path string, node_hash string")
+    got = {r["path"]: r["node_hash"] for r in tree.directory_hashes(leaves, 2, flat=10).collect()}
+
+    def sha(x):
+        return hashlib.sha256(x.encode()).hexdigest()
+
+    groups = {}
+    for n in sorted(names):
+        groups.setdefault(sha(n)[:3], []).append(f"{n}:1:h{n}")
+    big = sha("\n".join(f"{g}:{sha(chr(10).join(e))}" for g, e in sorted(groups.items())))
+    assert got["/big"] == big and got["/small"] == sha("a:1:ha") and got["/"] == sha(f"big:2:{big}\nsmall:2:{got['/small']}")
+    plain = {r["path"]: r["node_hash"] for r in tree.directory_hashes(leaves, 2).collect()}
+    assert plain["/big"] == sha("\n".join(f"{n}:1:h{n}" for n in sorted(names)))
