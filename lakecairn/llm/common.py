@@ -2,13 +2,9 @@
 
 from __future__ import annotations
 
-import atexit
 import contextlib
 import ctypes
 import gc
-import shutil
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -17,14 +13,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
+from ..sources.scratch import drop_written as drop_written
+from ..sources.scratch import only_result as only_result
+from ..sources.scratch import written as written
+
 #: Upper-case to lower-case for A-Z only, on UTF-8 bytes.
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 #: Lower-cases A-Z and turns every ASCII byte outside [0-9a-z] into a space; bytes of non-ASCII characters stay.
 WORDS = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 #: Rows handed to a text function at once; bounds the memory beside the Arrow batch.
 SLICE_ROWS = 256
-#: Tables of written() and their folders' names, the latest last.
-WRITTEN: list[tuple[DataFrame, str]] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,57 +39,6 @@ def space_words(raw: bytes) -> list[bytes]:
     return raw.translate(LOWER).split()
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is set and all runs in one process."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        jdir = spark.sparkContext._jsc.sc().getCheckpointDir()
-        found = jdir.get() if jdir.isDefined() else None
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        found = tempfile.mkdtemp(prefix="lakecairn-")
-        atexit.register(shutil.rmtree, found, True)
-        spark.sparkContext.setCheckpointDir(found)
-    return found
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: cuts the lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    WRITTEN.append((out, path.rsplit("/", 1)[-1]))
-    return out
-
-
-def drop_written(df: DataFrame) -> None:
-    """Removes the files of a table of written() that nothing will read again."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    for parent in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(parent)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
-@contextlib.contextmanager
-def only_result() -> Iterator[Callable[[DataFrame], DataFrame]]:
-    """Removes the tables that written() made inside the block, but for those that the given function was handed."""
-    start, kept = len(WRITTEN), []
-
-    def keep(df: DataFrame) -> DataFrame:
-        kept.append(df)
-        return df
-
-    yield keep
-    left = {f.rsplit("/", 1)[0].rsplit("/", 1)[-1] for df in kept for f in df.inputFiles()}
-    for df, name in WRITTEN[start:]:
-        if name not in left:
-            drop_written(df)
-    WRITTEN[start:] = [x for x in WRITTEN[start:] if x[1] in left]
-
-
 def shielded(docs: DataFrame, text_col: str) -> tuple[DataFrame, Callable[[str], str], Callable[[DataFrame], DataFrame]]:
     """docs under plain column names, the plain name of a column, and the way back to all columns of docs.
 

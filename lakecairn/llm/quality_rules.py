@@ -100,13 +100,21 @@ def ledger(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -
     return out.withColumn("failed", failed)
 
 
+def written_ledger(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The ledger as a table in the shared folder: every rule is evaluated once, whatever is asked of it later."""
+    return C.written(ledger(docs, id_col=id_col, text_col=text_col), "ledger")
+
+
 def judged(ledger_: DataFrame, policy: str) -> DataFrame:
     """The ledger with ``kept``: no bit of the policy's mask is set."""
     return ledger_.withColumn("kept", F.col("failed").bitwiseAND(F.lit(POLICIES[policy])) == 0)
 
 
 def ablations(ledger_: DataFrame, policy: str) -> DataFrame:
-    """For each rule of the policy: texts that fail it, and texts that only it rejects. One pass, no text read."""
+    """For each rule of the policy: texts that fail it, and texts that only it rejects, in one pass over the ledger.
+
+    Hand in a written ledger (written_ledger) to judge it by several policies: no text is read again.
+    """
     mask = POLICIES[policy]
     rules = [r for r in RULES if BIT[r] & mask]
     hit = F.col("failed").bitwiseAND(F.lit(mask))

@@ -51,5 +51,35 @@ f AS (SELECT *, ((n_words < 50)::INT + 2 * (100 * n_repeat_words > 50 * n_words)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (failed & 3) <> 0 AS base_failed, (failed & 79) = 0 AS kept, failed FROM f"""
 
 
+def _matches(order: int, kind: str, pattern: str, value: int, least: int, before: str = "0") -> str:
+    """Matches of a pattern in every text: the place is the length of all gaps and matches before it."""
+    p = pattern.replace("'", "''")
+    return f"""SELECT rid, {order} AS ord, '{kind}' AS kind, w[i] AS w, v[i] AS v, list_sum(list_transform(gaps[1 : i], lambda g: length(g))) + coalesce(list_sum(list_transform(w[1 : i - 1], lambda g: length(g))), 0) AS a0, {before} AS skip
+  FROM (SELECT rid, string_split_regex(x, '{p}') AS gaps, regexp_extract_all(x, '{p}') AS w, regexp_extract_all(x, '{p}', {value}) AS v FROM t) q, unnest(range(1, len(w) + 1)) u(i) WHERE length(v[i]) >= {least}"""
+
+
+_TOKEN = "[A-Za-z0-9_-]"
+_SPACE = r"\x20\t-\r"
+SECRETS = f"""
+WITH t AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS x, coalesce(source, chr(1)) AS repo, coalesce(doc_id::VARCHAR, chr(1)) AS owner FROM documents),
+m0 AS ({" UNION ALL ".join((
+    _matches(0, "assign", r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 8),
+    _matches(1, "access", "AKIA[A-Z0-9]+", 0, 16),
+    _matches(2, "hex", "[0-9a-f]{32,}", 0, 32),
+    _matches(3, "github", "gh[pousr]_[A-Za-z0-9]{36,}", 0, 40),
+    _matches(4, "slack", "xox[abeoprs]-[A-Za-z0-9-]{10,}", 0, 15),
+    _matches(5, "jwt", rf"(?:^|[^A-Za-z0-9_-])(eyJ{_TOKEN}{{8,}}\.eyJ{_TOKEN}{{8,}}\.{_TOKEN}{{8,}})", 1, 28, "length(w[i]) - length(v[i])"),
+    _matches(6, "pem", "-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----", 0, 1),
+    _matches(7, "login", rf"""[a-z][a-z0-9+.-]{{1,20}}://[^{_SPACE}/:@"'<>]{{1,64}}:([^{_SPACE}/@"'<>]{{3,128}})@""", 1, 3),
+))}),
+m AS (SELECT rid, ord, kind, v, a0 + skip AS a, a0 + length(w) AS b FROM m0),
+o AS (SELECT v, count(DISTINCT repo) AS n_repos, count(DISTINCT owner) AS n_owners FROM m JOIN t USING (rid) GROUP BY 1),
+e AS (SELECT *, kind || ':' || a || ':' || b AS said, n_repos < 3 AND n_owners < 3 AS live FROM m JOIN o USING (v)),
+g AS (SELECT rid, count(*) FILTER (ord = 0) AS n_assign, count(*) FILTER (ord = 1) AS n_access, count(*) FILTER (ord = 2) AS n_hex, string_agg(said, ',' ORDER BY a, ord) FILTER (ord < 3) AS base, string_agg(said, ',' ORDER BY a, ord) AS spans,
+  count(*) FILTER (live) AS n_live, count(*) FILTER (NOT live) AS n_copied, string_agg(live::VARCHAR, ',' ORDER BY a, ord) AS live, string_agg(n_repos::VARCHAR, ',' ORDER BY a, ord) AS n_repos, string_agg(n_owners::VARCHAR, ',' ORDER BY a, ord) AS n_owners FROM e GROUP BY 1)
+SELECT doc_id, coalesce(n_assign, 0)::BIGINT AS n_assign, coalesce(n_access, 0)::BIGINT AS n_access, coalesce(n_hex, 0)::BIGINT AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans,
+  coalesce(n_live, 0)::BIGINT AS n_live, coalesce(n_copied, 0)::BIGINT AS n_copied, coalesce(live, '') AS live, coalesce(n_repos, '') AS n_repos, coalesce(n_owners, '') AS n_owners FROM t LEFT JOIN g USING (rid)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_decontaminate": DECONTAMINATE, "op9_quality_rules": QUALITY_RULES}
+    return {"op10_secret_scan": SECRETS, "op4_decontaminate": DECONTAMINATE, "op9_quality_rules": QUALITY_RULES}

@@ -167,4 +167,6 @@ def redact(docs: DataFrame, *, copied_repos: int = COPIED_REPOS, copied_owners:
 
 
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan(C.table(spark, sf_dir, "documents"))
+    said = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",").alias(c)
+    out = scan(C.table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_live", "n_copied", said("live"), said("n_repos"), said("n_owners"))
