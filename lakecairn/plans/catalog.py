@@ -64,14 +64,17 @@ def _chunk_sql(sizes: tuple[int, int, int]) -> str:
     small, large = (chunking.mask_bits(n) for n in (average - least, most - average))
     warm = max(small, large)
     gear = ", ".join(str(int(g) % (1 << warm)) for g in chunking.gear_table())
-    h = " + ".join(f"(lag(g, {k}, 0) OVER o << {k})" for k in range(warm))
-    since = [" + ".join(f"(lead(g, {j}, 0) OVER o << {k - j})" for j in range(k + 1)) for k in range(warm)]
+    near = ", ".join(f"lag(g, {k}, 0) OVER o AS p{k}, lead(g, {k}, 0) OVER o AS n{k}" for k in range(1, warm))
+    h = " + ".join(f"(p{k} << {k})" for k in range(warm))
+    since = [" + ".join(f"(n{j} << {k - j})" for j in range(k + 1)) for k in range(warm)]
     w = " ".join(f"WHEN ({x}) % {1 << small} = 0 THEN {k}" for k, x in enumerate(since))
     return f"""
   d AS (SELECT doc_id, hex(encode(text)) AS x, octet_length(encode(text)) AS n FROM documents WHERE text <> ''),
-  b AS (SELECT doc_id, unnest(range(n)) AS i, unnest(list_transform(regexp_extract_all(x, '..'), lambda p: [{gear}][CAST('0x' || p AS INTEGER) + 1])) AS g FROM d),
-  r AS (SELECT doc_id, i, {h} AS h, CASE {w} END AS w FROM b WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
-  l AS (SELECT doc_id, list(i ORDER BY i) FILTER (h % {1 << small} = 0) AS cs, list(i ORDER BY i) FILTER (h % {1 << large} = 0) AS cl, list(i * {warm} + w ORDER BY i) FILTER (w IS NOT NULL) AS ws FROM r GROUP BY 1),
+  gear AS (SELECT unnest(range(256)) AS b, unnest([{gear}]) AS g),
+  b AS (SELECT doc_id, i, g FROM (SELECT doc_id, unnest(range(n)) AS i, CAST('0x' || unnest(regexp_extract_all(x, '..')) AS INTEGER) AS b FROM d) JOIN gear USING (b)),
+  q AS MATERIALIZED (SELECT doc_id, i, g AS p0, g AS n0, {near} FROM b WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+  r AS MATERIALIZED (SELECT doc_id, i, {h} AS h, CASE {w} END AS w FROM q),
+  l AS MATERIALIZED (SELECT doc_id, list(i ORDER BY i) FILTER (h % {1 << small} = 0) AS cs, list(i ORDER BY i) FILTER (h % {1 << large} = 0) AS cl, list(i * {warm} + w ORDER BY i) FILTER (w IS NOT NULL) AS ws FROM r GROUP BY 1),
   c(doc_id, seq, start, stop) AS (
     SELECT doc_id, -1, 0::BIGINT, 0::BIGINT FROM d UNION ALL
     SELECT doc_id, seq + 1, s, CASE WHEN last - s <= {least} THEN last ELSE coalesce(
