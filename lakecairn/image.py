@@ -1,9 +1,10 @@
 """A dataset image: a directory tree stored as files, slices and drops in versions.
 
-Files of at most the profile's inline threshold keep their content in the files table;
-larger ones are chunked, deduplicated, classified, encoded and packed into slabs. A
-version is its own files and slices and a list of folders of drops, most of them written
-by earlier commits; it is published by adding one pointer.
+Contents of at most the profile's inline threshold stand in a table of their own, each
+once, however many files share it; larger files are chunked, deduplicated, classified,
+encoded and packed into slabs. A version is its own files and slices, which hold no
+contents, and lists of folders of drops and inline contents, most of them written by
+earlier commits; it is published by adding one pointer.
 """
 
 from __future__ import annotations
@@ -24,6 +25,10 @@ from .sources.scratch import only_result, written
 from .streaming.store import Versions
 
 
+#: Tables that hold contents: a version lists the folders of each.
+PAYLOADS = ("drops", "inline", "dictionaries")
+
+
 class ImageError(ValueError):
     pass
 
@@ -38,10 +43,11 @@ class Image(Versions):
         def write(root: str) -> dict:
             plain = tree.numbering(_attributed(files)).withColumnRenamed("inode", "file_id")
             _rows(plain, profile).write.parquet(f"{root}/files")
+            _contents(plain, profile).write.parquet(f"{root}/inline")
             self._store(plain, profile, root, base=base.drops() if base else None)
             if base:
                 storage.references(self.spark.read.parquet(f"{root}/slices"), base.drops()).write.parquet(f"{root}/references")
-            return {**self._entry(root, [f"{root}/drops"], [f"{root}/dictionaries"]), "layer": base is not None}
+            return {**self._entry(root), "layer": base is not None}
 
         return self.publish(write, op, params=profile.name)
 
@@ -54,10 +60,11 @@ class Image(Versions):
             made["drops"] = made["drops"].withColumn("slab", F.col("slab") + first_slab)
             storage.write(made, root)
 
-    def _entry(self, root: str, drops: list[str], dictionaries: list[str]) -> dict:
-        """What the history keeps of a version: the folders of its drops and dictionaries, and its root hash."""
+    def _entry(self, root: str, before: dict | None = None, new: str | None = None) -> dict:
+        """What the history keeps of a version: the folders of its payloads (those of an earlier entry and those below new) and its root hash."""
+        folders = {name: [*(before[name] if before else []), f"{new or root}/{name}"] for name in PAYLOADS}
         read = self.spark.read.parquet
-        return {"drops": drops, "dictionaries": dictionaries, "root": _root(read(f"{root}/files"), read(f"{root}/slices"), read(*drops))}
+        return {**folders, "root": _root(read(f"{root}/files"), read(f"{root}/slices"), read(*folders["drops"]))}
 
     # Tables
 
@@ -70,6 +77,10 @@ class Image(Versions):
     def drops(self) -> DataFrame:
         return self.spark.read.parquet(*self.entry()["drops"])
 
+    def inline(self) -> DataFrame:
+        """content_id, content of the inline contents."""
+        return self.spark.read.parquet(*self.entry()["inline"])
+
     def references(self) -> DataFrame:
         """Rows of drops for what a layer takes from its base (the sentinel codec, no payload); none for an image that stands alone."""
         if not self.entry().get("layer"):
@@ -89,9 +100,10 @@ class Image(Versions):
         files = self.files() if files is None else files
         drops = self.drops() if base is None else self.drops().unionByName(base.drops())
         dictionaries = self.dictionaries() if base is None else self.dictionaries().unionByName(base.dictionaries())
-        large = files.filter("content is null").select("file_id", "path", "mtime_ns")
+        large = files.filter("not inline").select("file_id", "path", "mtime_ns")
         read = storage.read_files(self.slices().join(large.select("file_id"), "file_id", "left_semi"), drops, dictionaries=dictionaries)
-        return files.filter("content is not null").select("path", "mtime_ns", "content").unionByName(large.join(read, "file_id").select("path", "mtime_ns", "content"))
+        small = files.filter("inline").join(self.inline(), "content_id").select("path", "mtime_ns", "content")
+        return small.unionByName(large.join(read, "file_id").select("path", "mtime_ns", "content"))
 
     def ls(self, path: str = "/") -> DataFrame:
         if path != "/" and not self.edges().filter((F.col("child") == path) & (F.col("entry_type") == 2)).head(1):
@@ -123,8 +135,8 @@ class Image(Versions):
             files = self.files().filter(F.col("path").isin(*wanted))
         if length is None:
             return self.contents(files).select("path", P.byte_range(F.col("content"), F.lit(offset), F.lit(None)).alias("content"))
-        small = files.filter("content is not null").select("path", P.byte_range(F.col("content"), F.lit(offset), F.lit(length)).alias("content"))
-        large = files.filter("content is null").select("file_id", "path")
+        small = files.filter("inline").join(self.inline(), "content_id").select("path", P.byte_range(F.col("content"), F.lit(offset), F.lit(length)).alias("content"))
+        large = files.filter("not inline").select("file_id", "path")
         part = storage.read_range(self.slices().join(large.select("file_id"), "file_id", "left_semi"), self.drops(), offset, length, dictionaries=self.dictionaries())
         return small.unionByName(large.join(part, "file_id", "left").select("path", F.coalesce("content", F.lit(b"")).alias("content")))
 
@@ -176,7 +188,7 @@ class Image(Versions):
 
     def dedup(self) -> DataFrame:
         """Drop references and inline contents together."""
-        refs = self.slices().select("drop_id", "drop_len").unionByName(self.files().filter("content is not null").select(F.col("content_id").alias("drop_id"), F.col("size").cast("int").alias("drop_len")))
+        refs = self.slices().select("drop_id", "drop_len").unionByName(self.files().filter("inline").select(F.col("content_id").alias("drop_id"), F.col("size").cast("int").alias("drop_len")))
         return dedup.report(refs, length="drop_len")
 
     def counters(self) -> DataFrame:
@@ -192,7 +204,7 @@ class Image(Versions):
 
     def check(self) -> DataFrame:
         """checked, passed, failed over drops and inline contents."""
-        inline = self.files().filter("content is not null").select((digest(F.col("content")) == F.col("content_id")).alias("ok"))
+        inline = self.inline().select((digest(F.col("content")) == F.col("content_id")).alias("ok"))
         drops = storage.plain(self.drops(), self.dictionaries()).select((digest(F.col("chunk")) == F.col("drop_id")).alias("ok"))
         both = inline.unionByName(drops)
         return both.agg(F.count("*").alias("checked"), F.coalesce(F.sum(F.col("ok").cast("long")), F.lit(0)).alias("passed"), F.coalesce(F.sum((~F.col("ok")).cast("long")), F.lit(0)).alias("failed"))
@@ -206,7 +218,8 @@ class Image(Versions):
         gaps = self.slices().groupBy("file_id").agg(F.sum("drop_len").alias("sum"), F.max("file_end").alias("end"), F.min("file_start").alias("start"))
         broken = gaps.filter("sum <> end or start <> 0").agg(F.count("*").alias("n")).select(F.lit("slice_gap").alias("rule"), "n")
         known = self.drops().select("drop_id").unionByName(self.references().select("drop_id"))
-        lost = self.slices().join(known, "drop_id", "left_anti").agg(F.count("*").alias("n")).select(F.lit("missing_drop").alias("rule"), "n")
+        unknown = self.files().filter("inline").join(self.inline().select("content_id"), "content_id", "left_anti").select(F.col("content_id").alias("drop_id"))
+        lost = self.slices().join(known, "drop_id", "left_anti").select("drop_id").unionByName(unknown).agg(F.count("*").alias("n")).select(F.lit("missing_drop").alias("rule"), "n")
         changed = self.spark.createDataFrame([("root", int(self.root_id() != self.entry()["root"]))], "rule string, n long")
         return tree.violations(self.edges(), self.files()).unionByName(broken).unionByName(lost).unionByName(changed)
 
@@ -238,7 +251,7 @@ class Image(Versions):
         """A version without the paths of gone (those brought among them) and with the files brought (path, mtime_ns, content)."""
         profile = select(profile) if isinstance(profile, str) else profile
         now = self.entry()
-        files, slices, drops = self.files(), self.slices(), self.drops()
+        files, slices, drops, inline = self.files(), self.slices(), self.drops(), self.inline()
         ids = files.agg(F.coalesce(F.max("file_id"), F.lit(0)).alias("n")).first()["n"]
         slabs = drops.agg(F.coalesce(F.max("slab"), F.lit(-1)).alias("n")).first()["n"] + 1
 
@@ -246,10 +259,11 @@ class Image(Versions):
             plain = tree.numbering(_attributed(brought)).withColumn("file_id", F.col("inode") + ids).drop("inode")
             left = files.join(gone.unionByName(brought.select("path")), "path", "left_anti").select(*files.columns)
             left.unionByName(_rows(plain, profile)).write.parquet(f"{root}/files")
+            _contents(plain, profile).join(inline.select("content_id"), "content_id", "left_anti").write.parquet(f"{root}/new/inline")
             self._store(plain, profile, f"{root}/new", base=drops, first_slab=slabs)
             kept = slices.join(left.select("file_id"), "file_id", "left_semi").select(*slices.columns)
             kept.unionByName(self.spark.read.parquet(f"{root}/new/slices")).write.parquet(f"{root}/slices")
-            return self._entry(root, [*now["drops"], f"{root}/new/drops"], [*now["dictionaries"], f"{root}/new/dictionaries"])
+            return self._entry(root, now, f"{root}/new")
 
         return self.publish(write, op, params=profile.name)
 
@@ -270,8 +284,9 @@ class Image(Versions):
             slices = other.slices().join(changed.select("file_id"), "file_id", "left_semi").select(*other.slices().columns)
             slices.write.parquet(f"{at}/slices")
             new = storage.layer(storage.referenced(other.drops(), slices), self.drops())
-            storage.write({"drops": new, "dictionaries": other.dictionaries()}, at)
-            return {**self._entry(at, [f"{at}/drops"], [f"{at}/dictionaries"]), "base": self.entry()["root"]}
+            small = other.inline().join(changed.select("content_id"), "content_id", "left_semi").join(self.inline().select("content_id"), "content_id", "left_anti")
+            storage.write({"drops": new, "inline": small, "dictionaries": other.dictionaries()}, at)
+            return {**self._entry(at), "base": self.entry()["root"]}
 
         out.publish(write, "delta")
         return out
@@ -282,7 +297,7 @@ class Image(Versions):
         if said.get("base") != self.entry()["root"]:
             raise ImageError("the delta applies to another state")
         now = self.entry()
-        files, slices, drops = self.files(), self.slices(), self.drops()
+        files, slices, drops, inline = self.files(), self.slices(), self.drops(), self.inline()
         ids = files.agg(F.coalesce(F.max("file_id"), F.lit(0)).alias("n")).first()["n"]
         slabs = drops.agg(F.coalesce(F.max("slab"), F.lit(-1)).alias("n")).first()["n"] + 1
         brought, removed = delta.files(), self.spark.read.parquet(f"{said['path']}/removed")
@@ -292,8 +307,9 @@ class Image(Versions):
             left.unionByName(brought.withColumn("file_id", F.col("file_id") + ids + 1)).write.parquet(f"{root}/files")
             kept = slices.join(left.select("file_id"), "file_id", "left_semi").select(*slices.columns)
             kept.unionByName(delta.slices().withColumn("file_id", F.col("file_id") + ids + 1)).write.parquet(f"{root}/slices")
-            storage.write({"drops": delta.drops().withColumn("slab", F.col("slab") + slabs), "dictionaries": delta.dictionaries()}, root)
-            return self._entry(root, [*now["drops"], f"{root}/drops"], [*now["dictionaries"], f"{root}/dictionaries"])
+            new = delta.inline().join(inline.select("content_id"), "content_id", "left_anti")
+            storage.write({"drops": delta.drops().withColumn("slab", F.col("slab") + slabs), "inline": new, "dictionaries": delta.dictionaries()}, root)
+            return self._entry(root, now)
 
         return self.publish(write, "apply")
 
@@ -326,8 +342,9 @@ class Image(Versions):
                 need = drops.join(first, ["drop_id", "layer"], "left_semi").drop("layer")
                 need = written(storage.referenced(need, out.spark.read.parquet(f"{at}/slices")).drop("slab", "offset"), "flat")
                 dictionaries = numbered([x.dictionaries() for x in layers]).drop("layer").dropDuplicates(["dict_id"])
-                storage.write({"drops": storage.packed(need).select(*layers[0].drops().columns), "dictionaries": dictionaries}, at)
-            return out._entry(at, [f"{at}/drops"], [f"{at}/dictionaries"])
+                small = numbered([x.inline() for x in layers]).drop("layer").join(out.spark.read.parquet(f"{at}/files").select("content_id"), "content_id", "left_semi").dropDuplicates(["content_id"])
+                storage.write({"drops": storage.packed(need).select(*layers[0].drops().columns), "inline": small, "dictionaries": dictionaries}, at)
+            return out._entry(at)
 
         out.publish(write, "flatten")
         return out
@@ -338,13 +355,14 @@ class Image(Versions):
 
     def compact(self) -> int:
         """Referenced drops copied into full slabs without decoding; files and slices as they are."""
-        files, slices, drops, dictionaries = self.files(), self.slices(), self.drops(), self.dictionaries()
+        files, slices, drops, inline, dictionaries = self.files(), self.slices(), self.drops(), self.inline(), self.dictionaries()
 
         def write(root: str) -> dict:
             files.write.parquet(f"{root}/files")
             slices.write.parquet(f"{root}/slices")
-            storage.write({"drops": storage.compact(drops, slices).select(*drops.columns), "dictionaries": dictionaries.dropDuplicates(["dict_id"])}, root)
-            return self._entry(root, [f"{root}/drops"], [f"{root}/dictionaries"])
+            small = inline.join(files.select("content_id"), "content_id", "left_semi")
+            storage.write({"drops": storage.compact(drops, slices).select(*drops.columns), "inline": small, "dictionaries": dictionaries.dropDuplicates(["dict_id"])}, root)
+            return self._entry(root)
 
         return self.publish(write, "compact")
 
@@ -354,9 +372,13 @@ def _attributed(files: DataFrame) -> DataFrame:
 
 
 def _rows(plain: DataFrame, profile: Profile) -> DataFrame:
-    """The files table: contents up to the inline threshold stay in it."""
-    inline = F.when(F.col("size") <= profile.inline_threshold, F.col("content"))
-    return plain.select("file_id", "path", "parent", "name", "kind", "mode", "size", "mtime_ns", digest(F.col("content")).alias("content_id"), inline.alias("content"))
+    """The files table: which content each file has, and whether that is an inline one."""
+    return plain.select("file_id", "path", "parent", "name", "kind", "mode", "size", "mtime_ns", digest(F.col("content")).alias("content_id"), (F.col("size") <= profile.inline_threshold).alias("inline"))
+
+
+def _contents(plain: DataFrame, profile: Profile) -> DataFrame:
+    """content_id, content of the files up to the inline threshold, each content once."""
+    return plain.filter(F.col("size") <= profile.inline_threshold).select(digest(F.col("content")).alias("content_id"), "content").dropDuplicates(["content_id"])
 
 
 def _root(files: DataFrame, slices: DataFrame, drops: DataFrame) -> str:

@@ -237,10 +237,20 @@ def inode_numbering(spark: SparkSession, sf: str) -> DataFrame:
     return tree.numbering(S.documents(spark, sf).select("path"))
 
 
-@query("SELECT * FROM (VALUES ('bad_name', 0::BIGINT), ('duplicate_name', 0), ('orphan', 0), ('missing_file', 0)) t(rule, n)")
+@query("""SELECT 'bad_name' AS rule, count(*) FILTER (doc_id % 13 = 0) AS n FROM documents UNION ALL SELECT 'duplicate_name', count(*) FILTER (doc_id % 5 = 0) FROM documents
+UNION ALL SELECT 'orphan', count(*) FILTER (doc_id % 7 = 0) FROM documents UNION ALL SELECT 'missing_file', count(*) FILTER (doc_id % 11 = 0) + count(*) FILTER (doc_id % 55 = 0) FROM documents""")
 def structure_violations(spark: SparkSession, sf: str) -> DataFrame:
-    files = S.documents(spark, sf).select("path")
-    return tree.violations(S.edges(files), files)
+    """A tree with faults of every kind: names with a slash, edges that come twice, parents that nothing leads to, files that are gone."""
+    files = S.documents(spark, sf).select("path", "file_id")
+    number = F.col("file_id").cast("string")
+
+    def edge(where: str, parent: Column, name: Column, child: Column, kind: int) -> DataFrame:
+        return files.filter(where).select(parent.alias("parent"), name.alias("name"), child.alias("child"), F.lit(kind).alias("entry_type"))
+
+    edges = S.edges(files.select("path")).unionByName(edge("file_id % 5 = 0", P.parent(F.col("path")), P.name(F.col("path")), F.col("path"), 1))
+    edges = edges.unionByName(edge("file_id % 7 = 0", F.concat(F.lit("/nowhere/"), number), F.lit("x"), F.concat(F.lit("/nowhere/"), number, F.lit("/x")), 2))
+    edges = edges.unionByName(edge("file_id % 13 = 0", F.lit("/"), F.concat(F.lit("a/b"), number), F.concat(F.lit("/a/b"), number), 2))
+    return tree.violations(edges, files.filter("file_id % 11 <> 0").select("path"))
 
 
 @query("""SELECT page_id, regexp_extract(url, '^([^:]+):', 1) AS scheme, regexp_replace(regexp_replace('/' || url || '/', '/+', '/', 'g'), '(.)/$', '\\1') AS path FROM pages""")
@@ -436,35 +446,36 @@ def drop_locators(spark: SparkSession, sf: str) -> DataFrame:
     return locate(d, index).select("drop_id", "uri")
 
 
-@query("SELECT c AS codec, count(*) AS n, count(*) AS same FROM (VALUES " + ", ".join(f"('{c}')" for c in CODECS) + ") t(c), documents GROUP BY c")
+@query(f"SELECT doc_id AS file_id, octet_length(encode(text)) AS size, {len(CODECS)}::BIGINT AS n_same FROM documents")
 def codec_round_trips(spark: SparkSession, sf: str) -> DataFrame:
     """Every codec over every document, decoded again."""
-    names = list(CODECS)
 
-    @F.pandas_udf("array<boolean>")
+    @F.pandas_udf("long")
     def same(raw: pd.Series) -> pd.Series:
-        return raw.map(round_trips)
+        return raw.map(lambda r: sum(round_trips(bytes(r))))
+
+    return _docs(spark, sf).select("file_id", F.octet_length("content").cast("long").alias("size"), same(F.col("content")).alias("n_same"))
+
 
-    d = _docs(spark, sf).select(F.explode(F.arrays_zip(F.array(*map(F.lit, names)).alias("codec"), same(F.col("content")).alias("ok"))).alias("x"))
-    return d.groupBy(F.col("x.codec").alias("codec")).agg(F.count("*").alias("n"), F.sum(F.col("x.ok").cast("long")).alias("same"))
+_DISTINCT = "SELECT sha256(text) AS drop_id, max(octet_length(encode(text))) AS plain_len, true AS sound"
 
 
-@query("SELECT count(DISTINCT text) AS n, count(DISTINCT text) AS sound, 0::BIGINT AS larger FROM documents")
+@query(f"{_DISTINCT}, false AS larger FROM documents WHERE text <> '' GROUP BY 1")
 def tournament(spark: SparkSession, sf: str) -> DataFrame:
     """Every choice decodes to its content and none is larger."""
     u = chunking.unique_drops(chunking.chunks(_docs(spark, sf), SIZES, whole=True))
     e = storage.encoded(storage.classified(u), select("max-ratio").tournament())
     ok = digest(storage.decode(F.col("payload"), F.col("codec"), F.col("plain_len"))) == F.col("drop_id")
-    return e.agg(F.count("*").alias("n"), F.sum(ok.cast("long")).alias("sound"), F.sum((F.col("enc_len") > F.col("plain_len")).cast("long")).alias("larger"))
+    return e.select("drop_id", "plain_len", ok.alias("sound"), (F.col("enc_len") > F.col("plain_len")).alias("larger"))
 
 
-@query("SELECT count(DISTINCT text) AS n, count(DISTINCT text) AS sound FROM documents")
+@query(f"{_DISTINCT} FROM documents WHERE text <> '' GROUP BY 1")
 def dictionary_round_trip(spark: SparkSession, sf: str) -> DataFrame:
     """Dictionaries by class, drops encoded with them where that is smaller, decoded again."""
     u = storage.classified(chunking.unique_drops(chunking.chunks(_docs(spark, sf), SIZES, whole=True)))
     e = storage.with_dictionaries(u, storage.train_dictionaries(u))
     back = F.coalesce(storage.decode_with_dictionary(F.col("dict_payload"), F.col("dictionary"), F.octet_length("chunk")), F.col("chunk"))
-    return e.agg(F.count("*").alias("n"), F.sum((digest(back) == F.col("drop_id")).cast("long")).alias("sound"))
+    return e.select("drop_id", F.octet_length("chunk").cast("long").alias("plain_len"), (digest(back) == F.col("drop_id")).alias("sound"))
 
 
 @query("SELECT count(DISTINCT text) AS checked, count(DISTINCT text) AS passed, 0::BIGINT AS failed FROM documents")
@@ -525,17 +536,18 @@ def image_counters(spark: SparkSession, sf: str) -> DataFrame:
     return _image(spark, S.documents(spark, sf)).counters().select("n_files", "n_dirs")
 
 
-@query("SELECT count(*) AS n, true AS sound FROM documents")
+@query("SELECT '/' || lang || '/' || source || '/' || doc_id AS path, octet_length(encode(text)) AS size, sha256(text) AS content_id, octet_length(encode(text)) > 4096 AND sha256(text) IN (SELECT sha256(text) FROM documents WHERE source IN ('src0', 'src1', 'src2')) AS in_base FROM documents")
 def layered_image(spark: SparkSession, sf: str) -> DataFrame:
-    """An image of all documents stored on top of one of three sources, read with its base."""
+    """An image of all documents as whole files, stored on top of one of three sources and read with its base."""
     files = S.documents(spark, sf)
-    base = _image(spark, files.filter(F.col("path").rlike("/src[0-2]/")))
+    base = _image(spark, files.filter(F.col("path").rlike("/src[0-2]/")), "max-write")
     from ..image import Image
 
     layer = Image(spark, _scratch(spark, "layer"))
-    layer.build(files.select("path", F.lit(0).cast("long").alias("mtime_ns"), "content"), "max-speed", base=base)
-    read = layer.contents(base=base).select("path", digest(F.col("content")).alias("a")).join(files.select("path", digest(F.col("content")).alias("b")), "path")
-    return read.agg(F.count("*").alias("n"), F.min(F.col("a") == F.col("b")).alias("sound"))
+    layer.build(files.select("path", F.lit(0).cast("long").alias("mtime_ns"), "content"), "max-write", base=base)
+    taken = layer.references().select(F.col("drop_id").alias("content_id"), F.lit(True).alias("taken"))
+    read = layer.contents(base=base).select("path", F.octet_length("content").cast("long").alias("size"), digest(F.col("content")).alias("content_id"))
+    return read.join(taken, "content_id", "left").select("path", "size", "content_id", F.coalesce("taken", F.lit(False)).alias("in_base"))
 
 
 @query("SELECT * FROM (VALUES ('bad_name', 0::BIGINT), ('duplicate_name', 0), ('orphan', 0), ('missing_file', 0), ('slice_gap', 0), ('missing_drop', 0), ('root', 0)) t(rule, n)")
