@@ -197,3 +197,19 @@ def test_benchmark_command(spark, made, capfd):
     assert run(spark, ["benchmark", str(tmp / "src"), str(tmp / "bench"), "--runs", "1", "--profile", "max-speed"]) == 0
     lines = [x.split("\t") for x in capfd.readouterr().out.strip().splitlines()]
     assert lines[0][:3] == ["dataset", "profile", "op"] and [x[2] for x in lines[1:]] == ["build", "check", "extract"]
+
+
+def test_inline_contents_stand_once(spark, tmp_path):
+    image = Image(spark, str(tmp_path / "i"))
+    rows = [(f"/a{i}", 0, bytearray(b"same")) for i in range(50)] + [("/b", 0, bytearray(b"")), ("/c", 0, bytearray(b"")), ("/d", 0, None)]
+    image.build(spark.createDataFrame(rows, "path string, mtime_ns long, content binary"))
+    assert sorted(bytes(r["content"]) for r in image.inline().collect()) == [b"", b"same"]
+    image.change([("add", "/e", b"same"), ("add", "/f", b"other"), ("delete", "/b", None)])
+    assert [bytes(r["content"]) for r in spark.read.parquet(image.entry()["inline"][-1]).collect()] == [b"other"]
+    assert {r["path"]: bytes(r["content"]) for r in image.contents().collect()} == {f"/a{i}": b"same" for i in range(50)} | {"/c": b"", "/d": b"", "/e": b"same", "/f": b"other"}
+    image.change([("delete", "/f", None)])
+    image.compact()
+    assert sorted(bytes(r["content"]) for r in image.inline().collect()) == [b"", b"same"]
+    first = image.inline().limit(1).collect()
+    spark.createDataFrame(first, image.inline().schema).write.mode("overwrite").parquet(image.entry()["inline"][0])
+    assert {r["rule"]: r["n"] for r in image.verify().collect()}["missing_drop"] > 0
