@@ -280,9 +280,9 @@ def score(docs: DataFrame, learn: Column, *, id_col: str = "doc_id", text_col: s
     rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"), F.coalesce(learn, F.lit(False)).alias("learn"))
     kind = rows.schema["doc_id"].dataType
     fields = [("chunk", T.LongType()), ("gram", T.LongType()), ("token", T.BinaryType()), ("n", T.LongType()), ("ids", T.ArrayType(kind)), ("learn", T.ArrayType(T.BooleanType())), ("sizes", T.ArrayType(T.LongType())), ("texts", T.BinaryType())]
-    packed = C.written(rows.mapInArrow(_packed(to_arrow_type(kind)), T.StructType([T.StructField(*f) for f in fields])), "packed")
+    packed = C.written(rows.mapInArrow(_packed(to_arrow_type(kind)), T.StructType([T.StructField(*f) for f in fields])), "packed", "zstd")
     grams_ = packed.filter("gram is not null").select("chunk", "gram", "n")
-    totals = C.written(grams_.groupBy("gram").agg(F.sum("n").alias("n")), "grams")
+    totals = C.written(grams_.groupBy("gram").agg(F.sum("n").alias("n")), "grams", "zstd")
     pairs = np.zeros((256, 256), np.int64)
     for r in totals.groupBy(F.col("gram").bitwiseAND(F.lit(0xFFFF)).alias("pair")).agg(F.sum("n").alias("n")).collect():
         pairs[r["pair"] >> 8, r["pair"] & 255] = r["n"]
@@ -291,7 +291,7 @@ def score(docs: DataFrame, learn: Column, *, id_col: str = "doc_id", text_col: s
     bits = totals.groupBy(suffix.alias("suffix")).applyInArrow(build, "gram long, value double")
     of_grams = grams_.select("chunk", "gram").join(bits, "gram").select("chunk", "gram", F.lit(None).cast("binary").alias("token"), F.col("value"))
     words = packed.filter("token is not null")
-    tokens = C.written(words.groupBy("token").agg(F.sum("n").alias("total")), "tokens")
+    tokens = C.written(words.groupBy("token").agg(F.sum("n").alias("total")), "tokens", "zstd")
     seen = tokens.filter("total > 0").agg(F.coalesce(F.sum("total"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     whole = packed.filter("texts is not null").agg(F.coalesce(F.sum(F.size(F.filter("learn", lambda x: x))), F.lit(0)).alias("ends"), F.count("*").alias("chunks")).first()
     ends = whole["ends"]
