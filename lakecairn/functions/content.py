@@ -13,6 +13,8 @@ from pyspark.sql import types as T
 
 #: Bytes of content that classification looks at.
 SAMPLE = 4096
+#: Samples whose bytes are counted together.
+RATED_AT_ONCE = 512
 
 # Class ids, thresholds and magic numbers of the public formats, first match wins.
 CLASS_IDS = {"text": 1, "code": 2, "binary": 3, "compressed": 4, "media": 5, "sparse": 6, "incompressible": 7}
@@ -65,14 +67,18 @@ def sample_ratios(content: pd.Series) -> pd.DataFrame:
     printable = np.zeros(256, bool)
     printable[32:127] = True
     printable[[9, 10, 13]] = True
-    out = np.zeros((len(content), 3))
-    for i, raw in enumerate(content):
-        if raw:
-            counts = np.bincount(np.frombuffer(raw[:SAMPLE], np.uint8), minlength=256)
-            n = counts.sum()
-            p = counts[counts > 0] / n
-            out[i] = -(p * np.log2(p)).sum() + 0.0, counts[0] / n, counts[printable].sum() / n
-    return pd.DataFrame(out, columns=["entropy", "zero_ratio", "printable_ratio"])
+    times = np.arange(SAMPLE + 1, dtype=float)
+    weight = times * np.log2(np.maximum(times, 1))
+    parts = [np.zeros((0, 3))]
+    for at in range(0, len(content), RATED_AT_ONCE):
+        samples = [(raw or b"")[:SAMPLE] for raw in content.iloc[at : at + RATED_AT_ONCE]]
+        sizes = np.fromiter(map(len, samples), np.int64, len(samples))
+        place = np.repeat(np.arange(len(samples)) * 256, sizes) + np.frombuffer(b"".join(samples), np.uint8)
+        counts = np.bincount(place, minlength=256 * len(samples)).reshape(-1, 256)
+        n = np.maximum(sizes, 1)
+        entropy = np.maximum(np.log2(n) - weight[counts].sum(axis=1) / n, 0.0)
+        parts.append(np.stack([entropy, counts[:, 0] / n, counts[:, printable].sum(axis=1) / n], axis=1))
+    return pd.DataFrame(np.concatenate(parts), columns=["entropy", "zero_ratio", "printable_ratio"])
 
 
 def content_class(content: Column, ratios: Column) -> Column:
