@@ -44,9 +44,10 @@ CONTENT = 0.75
 #: Labelled rows of each class that the fit may gather on the driver, and bytes of text of each class.
 SAMPLE_ROWS = 3_000
 SAMPLE_BYTES = 24_000_000
-#: A word is toxic texts' own if its share of them is so many times its share of ordinary texts (half a text added), and at least OWN_SHARE.
+#: A word is toxic texts' own if its share of them is so many times its share of ordinary texts (half a text added), and it stands in at least OWN_SHARE of them or in OWN_TEXTS.
 OWN_RATIO = 30.0
 OWN_SHARE = 0.02
+OWN_TEXTS = 22
 #: Savings of a window, in bytes, whose shares of the windows are measured; from the second on they add up.
 STEPS = (2, 4, 6, 8, 10, 12, 16)
 #: Ridge of the calibration.
@@ -115,9 +116,9 @@ def features(windows: Iterator[bytes], plain: Callable, toxic: Callable) -> np.n
 
 
 def own_words(toxic: list[list[bytes]], ordinary: list[list[bytes]]) -> frozenset[bytes]:
-    """Words that mark the toxic texts, see OWN_RATIO and OWN_SHARE."""
+    """Words that mark the toxic texts, see OWN_RATIO, OWN_SHARE and OWN_TEXTS."""
     held = [Counter(w for words in texts for w in set(words)) for texts in (toxic, ordinary)]
-    least = OWN_SHARE * len(toxic)
+    least = min(OWN_SHARE * len(toxic), OWN_TEXTS)
     return frozenset(w for w, k in held[0].items() if k >= least and k * max(1, len(ordinary)) >= OWN_RATIO * (held[1][w] + 0.5) * len(toxic))
 
 
