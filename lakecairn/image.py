@@ -192,8 +192,8 @@ class Image(Versions):
         return dedup.report(refs, length="drop_len")
 
     def counters(self) -> DataFrame:
-        """n_files, n_dirs, n_drops, n_slabs."""
-        f = self.edges().agg(F.sum((F.col("entry_type") == 1).cast("long")).alias("n_files"), (F.sum((F.col("entry_type") == 2).cast("long")) + 1).alias("n_dirs"))
+        """n_files, n_dirs, n_drops, n_slabs; an image of no files has its root and nothing else."""
+        f = self.edges().agg(F.count_if(F.col("entry_type") == 1).alias("n_files"), (F.count_if(F.col("entry_type") == 2) + 1).alias("n_dirs"))
         d = self.drops().agg(F.count("*").alias("n_drops"), F.countDistinct("slab").alias("n_slabs"))
         one = F.lit(1).alias("k")
         return f.select(one, "*").join(d.select(one, "*"), "k").drop("k")

@@ -213,3 +213,9 @@ def test_inline_contents_stand_once(spark, tmp_path):
     first = image.inline().limit(1).collect()
     spark.createDataFrame(first, image.inline().schema).write.mode("overwrite").parquet(image.entry()["inline"][0])
     assert {r["rule"]: r["n"] for r in image.verify().collect()}["missing_drop"] > 0
+
+
+def test_counters_of_no_files(spark, tmp_path):
+    """image_counters over documents without rows: no file, and the root alone."""
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    assert catalog.queries()["image_counters"](spark, str(tmp_path)).collect() == [(0, 1)]
