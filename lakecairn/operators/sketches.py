@@ -12,9 +12,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.hashing import splitmix64
+from ..sources.scratch import bounded
 
-#: Bits of a part of a filter; parts are merged one by one, so no task holds a whole large filter.
-PART_BITS = 1 << 20
+#: Bits of a word of a filter, as a power of two: a filter is a table of words, so it may be of any size.
+WORD_BITS = 6
 
 
 def bits_for(n: int, rate: float) -> int:
@@ -35,33 +36,22 @@ def places(ids: list[str], bits: int, k: int) -> np.ndarray:
 
 
 def build(ids: DataFrame, n: int, rate: float = 0.01, *, id_col: str = "drop_id") -> DataFrame:
-    """part, filter: the filter in parts of PART_BITS bits, merged by OR over the tasks' own parts."""
+    """word, bits: the words of the filter that have a bit, each batch's own merged by OR."""
     bits, k = bits_for(n, rate), hashes_for(rate)
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts: dict[int, np.ndarray] = {}
         for batch in batches:
             if batch.num_rows:
                 at = np.unique(places(batch.column(0).to_pylist(), bits, k))
-                for p in np.unique(at // np.uint64(PART_BITS)).tolist():
-                    own = parts.setdefault(int(p), np.zeros(PART_BITS, bool))
-                    own[(at[at // np.uint64(PART_BITS) == p] % np.uint64(PART_BITS)).astype(np.int64)] = True
-        yield pa.RecordBatch.from_arrays([pa.array(list(parts), pa.int64()), pa.array([np.packbits(b).tobytes() for b in parts.values()], pa.binary())], ["part", "filter"])
+                words, first = np.unique(at >> np.uint64(WORD_BITS), return_index=True)
+                own = np.bitwise_or.reduceat(np.uint64(1) << (at & np.uint64((1 << WORD_BITS) - 1)), first)
+                yield pa.RecordBatch.from_arrays([pa.array(words.astype(np.int64)), pa.array(own.view(np.int64))], ["word", "bits"])
 
-    def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: dict[int, np.ndarray] = {}
-        for pdf in batches:
-            for p, f in zip(pdf["part"], pdf["filter"], strict=True):
-                own = np.frombuffer(f, np.uint8)
-                held[p] = held[p] | own if p in held else own
-        if held:
-            yield pd.DataFrame({"part": list(held), "filter": [x.tobytes() for x in held.values()]})
-
-    return ids.select(id_col).mapInArrow(local, "part long, filter binary").repartition("part").mapInPandas(merge, "part long, filter binary")
+    return bounded(ids.select(id_col)).mapInArrow(local, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits"))
 
 
 def probe(ids: DataFrame, filters: DataFrame, n: int, rate: float = 0.01, *, id_col: str = "drop_id") -> DataFrame:
-    """id, maybe: false says that the id was never added. Bits meet their part in a join, so the filter may be of any size."""
+    """id, maybe: false says that the id was never added. Bits meet their word of 8 bytes in a join, so the filter may be of any size."""
     bits, k = bits_for(n, rate), hashes_for(rate)
     if not bits:
         return ids.select(id_col, F.lit(False).alias("maybe"))
@@ -70,10 +60,7 @@ def probe(ids: DataFrame, filters: DataFrame, n: int, rate: float = 0.01, *, id_
     def at(own: pd.Series) -> pd.Series:
         return pd.Series(list(places(own.tolist(), bits, k).astype(np.int64)))
 
-    @F.pandas_udf("boolean")
-    def is_set(filters_: pd.Series, bit: pd.Series) -> pd.Series:
-        return pd.Series([f is not None and bool(f[b >> 3] >> (7 - b % 8) & 1) for f, b in zip(filters_, bit, strict=True)])
-
-    asked = ids.select(id_col, F.explode(at(F.col(id_col))).alias("bit"))
-    by_part = asked.withColumn("part", F.floor(F.col("bit") / PART_BITS)).join(filters, "part", "left")
-    return by_part.select(id_col, is_set(F.col("filter"), F.col("bit") % PART_BITS).alias("set")).groupBy(id_col).agg(F.min("set").alias("maybe"))
+    asked = bounded(ids).select(id_col, F.explode(at(F.col(id_col))).alias("bit"))
+    by_word = asked.withColumn("word", F.shiftright("bit", WORD_BITS)).join(filters, "word", "left")
+    is_set = F.getbit(F.coalesce("bits", F.lit(0)), (F.col("bit") % (1 << WORD_BITS)).cast("int"))
+    return by_word.groupBy(id_col).agg((F.min(is_set) == 1).alias("maybe"))

@@ -502,7 +502,7 @@ def bloom_membership(spark: SparkSession, sf: str) -> DataFrame:
     n = d.filter("member = 1").count()
     found = sketches.probe(d, sketches.build(d.filter("member = 1").select("drop_id"), n), n).join(d, "drop_id")
     yes = F.col("maybe").cast("long")
-    false = F.coalesce(F.sum(yes * (1 - F.col("member"))), F.lit(0)) <= 0.05 * F.sum(1 - F.col("member"))
+    false = F.coalesce(F.sum(yes * (1 - F.col("member"))), F.lit(0)) <= 0.05 * F.coalesce(F.sum(1 - F.col("member")), F.lit(0))
     return found.agg(F.count("*").alias("n"), F.sum(F.col("member").cast("long")).alias("members"), F.sum(yes * F.col("member")).alias("members_found"), false.alias("few_false"))
 
 

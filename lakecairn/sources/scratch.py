@@ -14,6 +14,17 @@ from pyspark.sql import DataFrame, SparkSession
 #: Tables of written() and their folders' names, the latest last.
 WRITTEN: list[tuple[DataFrame, str]] = []
 
+#: Bytes of contents that go to Python at once, in place of Spark's 64 MB: a worker holds a batch several times over.
+BATCH_BYTES = 4 << 20
+
+
+def bounded(df: DataFrame) -> DataFrame:
+    """df itself; Arrow batches of its session have about BATCH_BYTES from now on if nobody has set another size."""
+    name, spark = "spark.sql.execution.arrow.maxBytesPerBatch", df.sparkSession
+    if not spark._jsparkSession.conf().contains(name):
+        spark.conf.set(name, BATCH_BYTES)
+    return df
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir; a temporary one only where none is set and all runs in one process."""
