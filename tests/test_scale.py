@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import base64
 import lzma
 import random
 import re
@@ -12,9 +13,9 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from lakecairn.functions import filters
+from lakecairn.functions import filters, hashing
 from lakecairn.functions.codecs import CODECS
-from lakecairn.operators import sketches
+from lakecairn.operators import changes, redundancy, sketches
 from lakecairn.plans import catalog
 from lakecairn.sources import scratch
 
@@ -94,3 +95,9 @@ def test_round_trips_are_spread(spark):
     made = catalog.queries()["codec_round_trips"](spark, "/root/testdata/sf0.001")
     parts = made.groupBy(F.spark_partition_id()).count().count()
     assert parts > spark.sparkContext.defaultParallelism
+
+
+def test_empty_texts_are_contents(spark, tmp_path):
+    texts = [(1, "a"), (2, ""), (3, None), (4, "a"), (5, "")]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert [tuple(r) for r in catalog.queries()["verify_content"](spark, str(tmp_path)).collect()] == [(2, 2, 0)]
