@@ -101,3 +101,20 @@ def test_empty_texts_are_contents(spark, tmp_path):
     texts = [(1, "a"), (2, ""), (3, None), (4, "a"), (5, "")]
     spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     assert [tuple(r) for r in catalog.queries()["verify_content"](spark, str(tmp_path)).collect()] == [(2, 2, 0)]
+
+
+def test_shares_of_many_secrets():
+    secrets = [bytes([i]) * (1 + i % 7) + b"x" for i in range(200)]
+    seeds = [b"s%d" % i for i in range(200)]
+    made = redundancy.share_many(secrets, 3, 5, seeds)
+    assert made == [redundancy.share(s, 3, 5, x) for s, x in zip(secrets, seeds, strict=True)]
+    assert made[2][0] == bytes.fromhex("01a2a45561")
+    some = [[own[j] for j in ((0, 1, 2), (4, 0, 3), (0, 1, 2, 3))[i % 3]] for i, own in enumerate(made)]
+    assert redundancy.combine_many(some) == secrets
+    calls, whole = [], redundancy.multiply
+    try:
+        redundancy.multiply = lambda a, b: calls.append(1) or whole(a, b)
+        redundancy.combine_many(redundancy.share_many(secrets, 3, 5, seeds))
+    finally:
+        redundancy.multiply = whole
+    assert len(calls) < len(secrets)
