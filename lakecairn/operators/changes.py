@@ -5,12 +5,15 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import digest
+from ..sources.scratch import bounded
+
+#: Rows that replay() returns together.
+ROWS_AT_ONCE = 10_000
 
 # Operations of an epoch.
 EPOCH_OPS = {"add": 0, "remove": 1, "modify": 2, "chmod": 3, "rename": 4, "mkdir": 5, "rmdir": 6}
@@ -140,36 +143,44 @@ def replay(ops: DataFrame, root: str = "root") -> DataFrame:
     """
     out = f"{root} {ops.schema[root].dataType.simpleString()}, path string, kind string, drop_id string, mode int"
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, state = None, {}
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, state, under, rows, kinds = None, {}, {}, [], None
 
-        def done() -> pd.DataFrame:
-            return pd.DataFrame([(now, p, *v) for p, v in state.items()], columns=[root, "path", "kind", "drop_id", "mode"])
+        def done() -> pa.RecordBatch:
+            columns = zip(*rows, strict=True) if rows else [[]] * 5
+            return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, kinds, strict=True)], [root, "path", "kind", "drop_id", "mode"])
 
-        for pdf in batches:
-            for r in pdf.itertuples(index=False):
-                key = getattr(r, root)
+        for batch in batches:
+            kinds = [batch.schema.types[0], pa.string(), pa.string(), pa.string(), pa.int32()]
+            for key, *op in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if key != now:
-                    if state:
+                    rows += [(now, p, *v) for p, v in state.items()]
+                    if len(rows) >= ROWS_AT_ONCE:
                         yield done()
-                    now, state = key, {}
-                _apply(state, r.op, r.path, r.to, r.drop_id, None if pd.isna(r.mode) else int(r.mode))
-        if state:
+                        rows.clear()
+                    now, state, under = key, {}, {}
+                _apply(state, *op, under)
+        rows += [(now, p, *v) for p, v in state.items()]
+        for at in range(0, len(every := rows), ROWS_AT_ONCE):
+            rows = every[at : at + ROWS_AT_ONCE]
             yield done()
 
-    return ops.select(root, "epoch", "pos", "op", "path", "to", "drop_id", "mode").repartition(root).sortWithinPartitions(root, "epoch", "pos").mapInPandas(run, out)
+    placed = bounded(ops).select(root, "epoch", "pos", "op", "path", "to", "drop_id", "mode").repartition(root).sortWithinPartitions(root, "epoch", "pos")
+    return placed.select(root, "op", "path", "to", "drop_id", "mode").mapInArrow(run, out)
 
 
 class EpochError(ValueError):
     pass
 
 
-def _apply(state: dict[str, tuple], op: str, path: str, to: str | None, drop_id: str | None, mode: int | None) -> None:
-    below = [p for p in state if p.startswith(path + "/")] if op in ("remove", "rmdir", "rename") else []
+def _apply(state: dict[str, tuple], op: str, path: str, to: str | None, drop_id: str | None, mode: int | None, under: dict[str, int] | None = None) -> None:
+    """One operation. ``under`` has the count of paths below each path and is kept up to date; with it, only renames of what has any look through the state."""
+    below = [p for p in state if p.startswith(path + "/")] if op in ("remove", "rmdir", "rename") and (under is None or under.get(path)) else []
     if op in ("add", "mkdir"):
         if path in state:
             raise EpochError(f"{op}: {path} exists")
         state[path] = ("file" if op == "add" else "dir", drop_id if op == "add" else None, mode)
+        _count(under, path, 1)
         return
     if path not in state:
         raise EpochError(f"{op}: no {path}")
@@ -182,10 +193,20 @@ def _apply(state: dict[str, tuple], op: str, path: str, to: str | None, drop_id:
         if below:
             raise EpochError(f"{op}: {path} is not empty")
         del state[path]
+        _count(under, path, -1)
     elif op == "rename":
         if to is None or to in state:
             raise EpochError(f"rename: {to} exists")
         for p in [path, *below]:
             state[to + p[len(path) :]] = state.pop(p)
+            _count(under, p, -1)
+            _count(under, to + p[len(path) :], 1)
     else:
         raise EpochError(f"unknown operation {op}")
+
+
+def _count(under: dict[str, int] | None, path: str, n: int) -> None:
+    if under is not None:
+        while (cut := path.rfind("/")) >= 0:
+            path = path[:cut]
+            under[path] = under.get(path, 0) + n

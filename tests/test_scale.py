@@ -118,3 +118,32 @@ def test_shares_of_many_secrets():
     finally:
         redundancy.multiply = whole
     assert len(calls) < len(secrets)
+
+
+def test_replay_of_many_roots_in_few_batches(spark, monkeypatch):
+    rows = [(i, 0, 0, "mkdir", "/in", None, None, 1) for i in range(300)] + [(i, 1, 0, "add", "/in/f", None, "x", 2) for i in range(300)]
+    ops = spark.createDataFrame(rows, "root long, epoch int, pos long, op string, path string, to string, drop_id string, mode int").coalesce(1)
+    sizes = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            sizes.add(1)
+            yield b
+
+    own = type(ops).mapInArrow
+    monkeypatch.setattr(type(ops), "mapInArrow", lambda self, f, schema: own(self, lambda batches: count(f(batches)), schema))
+    assert changes.replay(ops).count() == 600
+    assert sizes.value <= 8
+
+
+def test_removals_do_not_look_through_the_state():
+    class State(dict):
+        def __iter__(self):
+            raise AssertionError("looked through")
+
+    state, under = State(), {}
+    for i in range(50):
+        changes._apply(state, "add", f"/in/{i}", None, "x", 1, under)
+    for i in range(50):
+        changes._apply(state, "remove", f"/in/{i}", None, None, None, under)
+    assert not len(state) and not any(under.values())
