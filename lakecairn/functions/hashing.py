@@ -18,9 +18,10 @@ def digest(content: Column) -> Column:
 
 def text_digest(hex_digest: Column) -> Column:
     """Lower-case base32 without padding, after the name of the digest."""
-    bits = F.rpad(F.concat_ws("", F.transform(F.sequence(F.lit(1), F.length(hex_digest)), lambda i: F.lpad(F.conv(F.substring(hex_digest, i, F.lit(1)), 16, 2), 4, "0"))), 260, "0")
-    letters = F.transform(F.sequence(F.lit(0), F.lit(51)), lambda k: F.substring(F.lit(BASE32), F.conv(F.substring(bits, k * 5 + 1, F.lit(5)), 2, 10).cast("int") + 1, F.lit(1)))
-    return F.concat(F.lit("s2:"), F.concat_ws("", letters))
+    padded = F.concat(hex_digest, F.lit("0"))
+    groups = [F.lpad(F.conv(F.substring(padded, at, 10), 16, 32), 8, "0") for at in range(1, 61, 10)]  # 40 bits are 10 hex digits or 8 letters
+    groups.append(F.lpad(F.conv(F.substring(padded, 61, 5), 16, 32), 4, "0"))
+    return F.concat(F.lit("s2:"), F.translate(F.concat(*groups), "0123456789ABCDEFGHIJKLMNOPQRSTUV", BASE32))
 
 
 def splitmix64(x: np.ndarray) -> np.ndarray:

@@ -147,3 +147,10 @@ def test_removals_do_not_look_through_the_state():
     for i in range(50):
         changes._apply(state, "remove", f"/in/{i}", None, None, None, under)
     assert not len(state) and not any(under.values())
+
+
+def test_text_digests_need_no_function_for_each_letter(spark):
+    made = spark.range(1000).select(F.sha2(F.col("id").cast("string"), 256).alias("d")).select("d", hashing.text_digest(F.col("d")).alias("t"))
+    assert all(r["t"] == "s2:" + base64.b32encode(bytes.fromhex(r["d"])).decode().lower().rstrip("=") for r in made.collect())
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert "lambda" not in plan
