@@ -41,22 +41,22 @@ class Image(Versions):
         profile = select(profile) if isinstance(profile, str) else profile
 
         def write(root: str) -> dict:
-            plain = tree.numbering(_attributed(files)).withColumnRenamed("inode", "file_id")
+            plain = _attributed(files)
             _rows(plain, profile).write.parquet(f"{root}/files")
             _contents(plain, profile).write.parquet(f"{root}/inline")
-            self._store(plain, profile, root, base=base.drops() if base else None)
+            self._store(plain, self.spark.read.parquet(f"{root}/files"), profile, root, base=base.drops() if base else None)
             if base:
                 storage.references(self.spark.read.parquet(f"{root}/slices"), base.drops()).write.parquet(f"{root}/references")
             return {**self._entry(root), "layer": base is not None}
 
         return self.publish(write, op, params=profile.name)
 
-    def _store(self, plain: DataFrame, profile: Profile, root: str, *, base: DataFrame | None = None, first_slab: int = 0) -> None:
-        """Slices, drops and dictionaries of the files above the inline threshold, written below root."""
+    def _store(self, plain: DataFrame, ids: DataFrame, profile: Profile, root: str, *, base: DataFrame | None = None, first_slab: int = 0) -> None:
+        """Slices, drops and dictionaries of the files above the inline threshold, written below root; ids are rows of the files table."""
         large = plain.filter(F.col("size") > profile.inline_threshold)
         dictionaries = (profile.max_dict_size, profile.min_class_size) if profile.dictionaries else None
         with only_result():
-            made = storage.build(large, profile.sizes, profile.tournament(), whole=profile.whole_files, dictionaries=dictionaries, special=not profile.whole_files, base=base)
+            made = storage.build(large, profile.sizes, profile.tournament(), whole=profile.whole_files, dictionaries=dictionaries, special=not profile.whole_files, base=base, ids=ids)
             made["drops"] = made["drops"].withColumn("slab", F.col("slab") + first_slab)
             storage.write(made, root)
 
@@ -100,10 +100,10 @@ class Image(Versions):
         files = self.files() if files is None else files
         drops = self.drops() if base is None else self.drops().unionByName(base.drops())
         dictionaries = self.dictionaries() if base is None else self.dictionaries().unionByName(base.dictionaries())
-        large = files.filter("not inline").select("file_id", "path", "mtime_ns")
-        read = storage.read_files(self.slices().join(large.select("file_id"), "file_id", "left_semi"), drops, dictionaries=dictionaries)
+        large = files.filter("not inline").select("file_id", F.struct("file_id", "path", "mtime_ns").alias("file"))
+        read = storage.read_files(self.slices().join(large, "file_id"), drops, key="file", dictionaries=dictionaries)
         small = files.filter("inline").join(self.inline(), "content_id").select("path", "mtime_ns", "content")
-        return small.unionByName(large.join(read, "file_id").select("path", "mtime_ns", "content"))
+        return small.unionByName(read.select("file.path", "file.mtime_ns", "content"))
 
     def ls(self, path: str = "/") -> DataFrame:
         if path != "/" and not self.edges().filter((F.col("child") == path) & (F.col("entry_type") == 2)).head(1):
@@ -256,11 +256,12 @@ class Image(Versions):
         slabs = drops.agg(F.coalesce(F.max("slab"), F.lit(-1)).alias("n")).first()["n"] + 1
 
         def write(root: str) -> dict:
-            plain = tree.numbering(_attributed(brought)).withColumn("file_id", F.col("inode") + ids).drop("inode")
+            plain = _attributed(brought)
+            own = written(_rows(plain, profile, ids), "own")
             left = files.join(gone.unionByName(brought.select("path")), "path", "left_anti").select(*files.columns)
-            left.unionByName(_rows(plain, profile)).write.parquet(f"{root}/files")
+            left.unionByName(own).write.parquet(f"{root}/files")
             _contents(plain, profile).join(inline.select("content_id"), "content_id", "left_anti").write.parquet(f"{root}/new/inline")
-            self._store(plain, profile, f"{root}/new", base=drops, first_slab=slabs)
+            self._store(plain, own, profile, f"{root}/new", base=drops, first_slab=slabs)
             kept = slices.join(left.select("file_id"), "file_id", "left_semi").select(*slices.columns)
             kept.unionByName(self.spark.read.parquet(f"{root}/new/slices")).write.parquet(f"{root}/slices")
             return self._entry(root, now, f"{root}/new")
@@ -337,13 +338,13 @@ class Image(Versions):
                 rows.select(*columns).write.parquet(f"{at}/files")
                 slices = numbered([x.slices() for x in layers]).withColumnRenamed("file_id", "old").join(order.select("layer", "old", "file_id"), ["layer", "old"])
                 slices.select(*layers[0].slices().columns).write.parquet(f"{at}/slices")
-                drops = numbered([x.drops() for x in layers])
-                first = drops.groupBy("drop_id").agg(F.min("layer").alias("layer"))
-                need = drops.join(first, ["drop_id", "layer"], "left_semi").drop("layer")
-                need = written(storage.referenced(need, out.spark.read.parquet(f"{at}/slices")).drop("slab", "offset"), "flat")
+                drops = numbered([x.drops() for x in layers]).drop("slab", "offset")
+                first = drops.groupBy("drop_id").agg(F.min(F.struct("layer", "enc_len")).alias("x")).select("drop_id", "x.*")
+                need = written(storage.referenced(first, out.spark.read.parquet(f"{at}/slices")), "need")
+                placed = drops.join(storage.packed(need).drop("enc_len"), ["drop_id", "layer"])
                 dictionaries = numbered([x.dictionaries() for x in layers]).drop("layer").dropDuplicates(["dict_id"])
                 small = numbered([x.inline() for x in layers]).drop("layer").join(out.spark.read.parquet(f"{at}/files").select("content_id"), "content_id", "left_semi").dropDuplicates(["content_id"])
-                storage.write({"drops": storage.packed(need).select(*layers[0].drops().columns), "inline": small, "dictionaries": dictionaries}, at)
+                storage.write({"drops": placed.select(*layers[0].drops().columns), "inline": small, "dictionaries": dictionaries}, at)
             return out._entry(at)
 
         out.publish(write, "flatten")
@@ -371,9 +372,10 @@ def _attributed(files: DataFrame) -> DataFrame:
     return S.with_attributes(files.select("path", "mtime_ns", F.coalesce("content", F.lit(b"")).alias("content")))
 
 
-def _rows(plain: DataFrame, profile: Profile) -> DataFrame:
-    """The files table: which content each file has, and whether that is an inline one."""
-    return plain.select("file_id", "path", "parent", "name", "kind", "mode", "size", "mtime_ns", digest(F.col("content")).alias("content_id"), (F.col("size") <= profile.inline_threshold).alias("inline"))
+def _rows(plain: DataFrame, profile: Profile, before: int = 0) -> DataFrame:
+    """The files table, numbered from behind ``before``: which content each file has, and whether that is an inline one. Rows are numbered without their contents."""
+    rows = plain.select("path", "parent", "name", "kind", "mode", "size", "mtime_ns", digest(F.col("content")).alias("content_id"), (F.col("size") <= profile.inline_threshold).alias("inline"))
+    return tree.numbering(rows).select((F.col("inode") + before).alias("file_id"), *rows.columns)
 
 
 def _contents(plain: DataFrame, profile: Profile) -> DataFrame:

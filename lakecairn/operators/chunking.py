@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import digest, splitmix64
+from ..sources.scratch import bounded
 
 #: Fixed value: where the gear table's chain of mixed numbers begins.
 GEAR_SEED = 0x0123456789ABCDEF
@@ -131,7 +132,7 @@ def chunks(files: DataFrame, sizes: tuple[int, int, int] = DEFAULT_SIZES, *, key
 
     names = [key, "seq", "file_start", "file_end", "chunk", *(["category"] if category else [])]
     more = ", category string" if category else ""
-    return files.select(key, "content", *(["path"] if category else [])).mapInArrow(run, f"{key} {kind}, seq int, file_start long, file_end long, chunk binary{more}")
+    return bounded(files).select(key, "content", *([F.col("path").alias("__path")] if category else [])).mapInArrow(run, f"{key} {kind}, seq int, file_start long, file_end long, chunk binary{more}")
 
 
 def with_ids(chunked: DataFrame) -> DataFrame:

@@ -9,13 +9,14 @@ import re
 import time
 from collections import Counter
 
+import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from lakecairn.functions import filters, hashing
 from lakecairn.functions.codecs import CODECS
-from lakecairn.operators import changes, redundancy, sketches
+from lakecairn.operators import changes, redundancy, sketches, storage
 from lakecairn.plans import catalog
 from lakecairn.sources import scratch
 
@@ -154,3 +155,22 @@ def test_text_digests_need_no_function_for_each_letter(spark):
     assert all(r["t"] == "s2:" + base64.b32encode(bytes.fromhex(r["d"])).decode().lower().rstrip("=") for r in made.collect())
     plan = made._jdf.queryExecution().executedPlan().toString()
     assert "lambda" not in plan
+
+
+def test_files_leave_in_bounded_batches():
+    part = {"seq": 0, "drop_id": "d", "drop_start": 0, "drop_len": 3 << 20, "codec": 0, "plain_len": 3 << 20, "dict_id": None, "payload": bytes(3 << 20)}
+    kind = pa.list_(pa.struct([("seq", pa.int32()), ("drop_id", pa.string()), ("drop_start", pa.int32()), ("drop_len", pa.int32()), ("codec", pa.int32()), ("plain_len", pa.int64()), ("dict_id", pa.int32()), ("payload", pa.binary())]))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(5), pa.int64()), pa.array([[part], [part], [part, part], [part], [part]], kind)], ["key", "parts"])
+    made = list(storage._joiner({})([batch]))
+    assert [b.column(0).to_pylist() for b in made] == [[0, 1], [2], [3, 4]]
+    assert [len(c) >> 20 for b in made for c in b.column(1).to_pylist()] == [3, 3, 6, 3, 3]
+
+
+def test_contents_are_not_moved_for_their_number(spark):
+    rows = [(10 + i, f"/f/{i}", bytearray(bytes(range(256)) * (1 + i % 3))) for i in range(9)]
+    named = spark.createDataFrame(rows, "file_id long, path string, content binary")
+    own = storage.build(named.select("path", "content"), (64, 256, 1024), ids=named.select("path", "file_id"))
+    usual = storage.build(named.select("file_id", "content"), (64, 256, 1024))
+    assert {tuple(r) for r in own["slices"].collect()} == {tuple(r) for r in usual["slices"].select(*own["slices"].columns).collect()}
+    read = storage.read_files(own["slices"].join(named.select("file_id", F.struct("path").alias("file")), "file_id"), own["drops"], key="file")
+    assert {r["path"]: bytes(r["content"]) for r in read.select("file.path", "content").collect()} == {p: bytes(c) for _, p, c in rows}
