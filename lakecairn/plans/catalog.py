@@ -477,7 +477,7 @@ def tournament(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"{_DISTINCT} FROM documents WHERE text <> '' GROUP BY 1")
 def dictionary_round_trip(spark: SparkSession, sf: str) -> DataFrame:
     """Dictionaries by class, drops encoded with them where that is smaller, decoded again."""
-    u = storage.classified(chunking.unique_drops(chunking.chunks(_docs(spark, sf), SIZES, whole=True)))
+    u = written(storage.classified(chunking.unique_drops(chunking.chunks(_docs(spark, sf), SIZES, whole=True))), "drops", "zstd")
     e = storage.with_dictionaries(u, storage.train_dictionaries(u))
     back = F.coalesce(storage.decode_with_dictionary(F.col("dict_payload"), F.col("dictionary"), F.octet_length("chunk")), F.col("chunk"))
     return e.select("drop_id", F.octet_length("chunk").cast("long").alias("plain_len"), (digest(back) == F.col("drop_id")).alias("sound"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import hashlib
 import lzma
 import random
 import re
@@ -174,3 +175,13 @@ def test_contents_are_not_moved_for_their_number(spark):
     assert {tuple(r) for r in own["slices"].collect()} == {tuple(r) for r in usual["slices"].select(*own["slices"].columns).collect()}
     read = storage.read_files(own["slices"].join(named.select("file_id", F.struct("path").alias("file")), "file_id"), own["drops"], key="file")
     assert {r["path"]: bytes(r["content"]) for r in read.select("file.path", "content").collect()} == {p: bytes(c) for _, p, c in rows}
+
+
+def test_dictionaries_travel_with_the_code(spark):
+    texts = [f"line {i} of a text with words that come again {i % 7} and again {i % 11}, and a number {i * i}".encode() for i in range(400)]
+    rows = [(hashlib.sha256(t).hexdigest(), len(t), "text", CODECS["zstd"].id, len(CODECS["zstd"].compress(t)), bytearray(CODECS["zstd"].compress(t))) for t in texts]
+    drops = spark.createDataFrame(rows, "drop_id string, plain_len long, class string, codec int, enc_len long, payload binary")
+    made, found = storage.with_profile_dictionaries(drops, 2048, 50)
+    assert made.filter("dict_id is not null and enc_len = octet_length(payload)").count() > 300
+    assert "Join" not in made._jdf.queryExecution().optimizedPlan().toString()
+    assert {r["drop_id"]: bytes(r["chunk"]) for r in storage.plain(made, found).collect()} == {r[0]: t for r, t in zip(rows, texts, strict=True)}
